@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("scalars",)
+_MODULES = ("scalars", "ingest", "frames")
 
 
 class Inputs:
