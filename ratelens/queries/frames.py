@@ -99,14 +99,14 @@ def worst(t):
     f"""WITH {_WORST}, p AS (SELECT clip_id, score, row_number() OVER (PARTITION BY clip_id ORDER BY score) AS k,
           count(*) OVER (PARTITION BY clip_id) AS n FROM frame_scores),
         g AS (SELECT clip_id, count(*)::BIGINT AS frames, avg(score) AS mean, max(score) FILTER (WHERE k = ceil(n * 0.1::DOUBLE)) AS p10 FROM p GROUP BY clip_id)
-        SELECT clip_id, frames, round(mean, 6) AS mean, p10, round(worst, 6) AS worst_1s, round(least(mean, worst + 4), 6) AS gate FROM g JOIN worst USING (clip_id)""",
+        SELECT clip_id, frames, round(mean, 9) AS mean, p10, round(worst, 9) AS worst_1s, round(least(mean, worst + 4), 9) AS gate FROM g JOIN worst USING (clip_id)""",
     uses="frame_scores",
 )
 def pooled(t):
     out = frames.pool_scores(t.frame_scores, ["clip_id"])
     return out.select(
-        "clip_id", "frames", F.round("mean", 6).alias("mean"), "p10", F.round("worst_1s", 6).alias("worst_1s"),
-        F.round("gate", 6).alias("gate"),
+        "clip_id", "frames", F.round("mean", 9).alias("mean"), "p10", F.round("worst_1s", 9).alias("worst_1s"),
+        F.round("gate", 9).alias("gate"),
     )
 
 

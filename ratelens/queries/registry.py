@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("scalars", "ingest", "frames")
+_MODULES = ("scalars", "ingest", "frames", "ranking")
 
 
 class Inputs:
@@ -37,9 +37,10 @@ def query(name: str, sql: str | None = None, uses: str = "") -> Callable[[Callab
         if sql is not None:
             ctes = [f"{view} AS ({binding_sql(view)})" for view in uses.split()]
             body = sql.strip()
-            if ctes and body.upper().startswith("WITH "):
-                body = ", ".join(ctes) + ", " + body[5:]
-                body = "WITH " + body
+            if ctes and body.upper().startswith("WITH RECURSIVE "):
+                body = "WITH RECURSIVE " + ", ".join(ctes) + ", " + body[15:]
+            elif ctes and body.upper().startswith("WITH "):
+                body = "WITH " + ", ".join(ctes) + ", " + body[5:]
             elif ctes:
                 body = "WITH " + ", ".join(ctes) + " " + body
             _ORACLES[name] = body
