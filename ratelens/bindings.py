@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.plans.ordered import neighbour, position, value_chunk
+from ratelens.plans.ordered import ordered, value_chunk
 
 
 @dataclass(frozen=True)
@@ -203,10 +203,16 @@ _FRAME_SQL = {
 }
 
 
-def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _numbered_events(spark: SparkSession, sf_dir: str, *, with_before: bool = False) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("_micros", F.unix_micros(F.col("ts").cast("timestamp")))
     chunked = value_chunk(events, ["user_id"], "_micros")
-    return position(chunked, ["user_id"], ["ts", "event_id"], out="frame_no")
+    return ordered(
+        chunked,
+        ["user_id"],
+        ["ts", "event_id"],
+        running={"frame_no": ("sum", F.lit(1).cast("long"))},
+        before={"_before": "value"} if with_before else None,
+    )
 
 
 def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +225,7 @@ def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = neighbour(
-        _numbered_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], {"_before": "value"}, step=-1
-    )
+    rows = _numbered_events(spark, sf_dir, with_before=True)
     k = F.expr(_K)
     return rows.select(
         F.col("user_id").alias("clip_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens import policy
-from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, frame_chunk, neighbour, position
+from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, frame_chunk, neighbour, ordered
 
 
 def nearest_rank(
@@ -102,24 +102,32 @@ def worst_consecutive(
     return whole.join(lowest, by, "left").select(*by, F.coalesce("_low", "_all").alias("worst"))
 
 
+def _cadence(steps: DataFrame, by: list[str]) -> DataFrame:
+    """Upper median of ``_g`` from its histogram ``(by, _g, _c, _s)``, with row count and score sum.
+
+    The histogram is small: k different steps need a span of k*k/2 frames.
+    """
+    counted = F.when(F.col("_g").isNotNull(), F.col("_c")).otherwise(0)
+    upto = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_g")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    ranked = steps.withColumn("_upto", F.sum(counted).over(upto)).withColumn(
+        "_rank", F.floor(F.sum(counted).over(whole) / 2) + 1
+    )
+    hit = F.min(F.when((F.col("_upto") >= F.col("_rank")) & F.col("_g").isNotNull(), F.col("_g")))
+    return ranked.groupBy(*by).agg(
+        F.coalesce(hit, F.lit(1)).cast("long").alias("cadence"), F.sum("_c").alias("frames"), F.sum("_s").alias("_sum")
+    )
+
+
 def upper_median_step(df: DataFrame, by: Sequence[str], order: str, *, frames_per_chunk: int = FRAMES_PER_CHUNK) -> DataFrame:
     """Upper median of the gaps between consecutive ``order`` values; 1 for a single row."""
     by = list(by)
     rows = df.select(*by, order).withColumn(CHUNK, frame_chunk(F.col(order), frames_per_chunk))
     gaps = neighbour(rows, by, [order], {"_before": order}, step=-1)
-    gaps = gaps.withColumn("_g", F.col(order) - F.col("_before")).groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_c"))
-    gaps = gaps.withColumn("_c", F.when(F.col("_g").isNotNull(), F.col("_c")).otherwise(0))
-    # Distinct gaps only: k different gaps need a span of k*k/2 frames, so this stays small.
-    upto = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_g")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranked = gaps.withColumn("_upto", F.sum("_c").over(upto)).withColumn(
-        "_rank", F.floor(F.sum("_c").over(whole) / 2) + 1
-    )
-    return ranked.groupBy(*by).agg(
-        F.coalesce(F.min(F.when((F.col("_upto") >= F.col("_rank")) & (F.col("_c") > 0), F.col("_g"))), F.lit(1))
-        .cast("long")
-        .alias("cadence")
+    steps = gaps.groupBy(*by, (F.col(order) - F.col("_before")).alias("_g")).agg(
+        F.count(F.lit(1)).alias("_c"), F.lit(0.0).alias("_s")
     )
+    return _cadence(steps, by).select(*by, "cadence")
 
 
 def pool_scores(
@@ -138,18 +146,26 @@ def pool_scores(
     """
     by = list(by)
     rate = F.when(F.col(fps) > 0, F.col(fps).cast("double")).otherwise(F.lit(default_fps))
-    cadence = upper_median_step(frame_scores, by, frame, frames_per_chunk=frames_per_chunk)
-    size = F.greatest(F.lit(1), F.ceil(F.col("_rate") / F.greatest(F.lit(1), F.col("cadence"))))
-    rows = frame_scores.select(*by, frame, score, rate.alias("_rate")).join(cadence, by)
+    rows = frame_scores.select(*by, frame, score, rate.alias("_rate"))
     rows = rows.withColumn(CHUNK, frame_chunk(F.col(frame), frames_per_chunk))
-    rows = position(rows, by, [frame], out="_pos")
-    worst = worst_consecutive(rows, by, "_pos", score, size, frames_per_chunk=frames_per_chunk)
-    mean = frame_scores.groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), F.avg(score).alias("mean"))
-    p10 = nearest_rank(frame_scores, by, score, {"p10": 0.10})
-    gate = F.least("mean", F.col("worst") + policy.TEMPORAL_DROP_TOLERANCE)
-    return mean.join(p10, by).join(worst, by).select(
-        *by, "frames", "mean", "p10", F.col("worst").alias("worst_1s"), gate.alias("gate")
+    rows = ordered(
+        rows, by, [frame], running={"_pos": ("sum", F.lit(1).cast("long"))}, before={"_before": frame}
     )
+    # One aggregate of the steps yields row count, mean and cadence together.
+    steps = rows.groupBy(*by, (F.col(frame) - F.col("_before")).alias("_g")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(score).alias("_s")
+    )
+    clips = _cadence(steps, by)
+    size = F.greatest(F.lit(1), F.ceil(F.col("_rate") / F.greatest(F.lit(1), F.col("cadence"))))
+    rolled = rolling_means(
+        rows.join(clips.select(*by, "cadence"), by), by, "_pos", score, size, frames_per_chunk=frames_per_chunk
+    )
+    worst = rolled.groupBy(*by).agg(F.min("mean").alias("_low"))
+    p10 = nearest_rank(frame_scores, by, score, {"p10": 0.10})
+    out = clips.withColumn("mean", F.col("_sum") / F.col("frames")).join(p10, by).join(worst, by, "left")
+    out = out.withColumn("worst_1s", F.coalesce("_low", "mean"))
+    gate = F.least("mean", F.col("worst_1s") + policy.TEMPORAL_DROP_TOLERANCE)
+    return out.select(*by, "frames", "mean", "p10", "worst_1s", gate.alias("gate"))
 
 
 def scout_metrics(frame_metrics: DataFrame, by: Sequence[str], *, frame: str = "frame_idx") -> tuple[DataFrame, DataFrame]:
@@ -276,7 +292,7 @@ def check_cadence(
     extra = [F.col(average_fps).alias("_avg")] if average_fps else [F.lit(None).cast("double").alias("_avg")]
     rows = timestamps.select(*by, order, F.col(time).alias("_t"), F.col(fps).cast("double").alias("_f"), *extra)
     rows = rows.withColumn(CHUNK, frame_chunk(F.col(order), frames_per_chunk))
-    rows = position(neighbour(rows, by, [order], {"_before": "_t"}, step=-1), by, [order], out="_i")
+    rows = ordered(rows, by, [order], running={"_i": ("sum", F.lit(1).cast("long"))}, before={"_before": "_t"})
     drift = F.col("_t") - F.col("_i") / F.col("_f")
     step = F.col("_t") - F.col("_before")
     finite = F.col("_t").isNotNull() & ~F.isnan("_t") & (F.abs("_t") < float("inf"))

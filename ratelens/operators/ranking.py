@@ -12,25 +12,38 @@ from ratelens.plans.ordered import ROWS_PER_CHUNK, running, value_chunk
 from ratelens.policy import Profile
 
 
-def midrank(
-    df: DataFrame, by: Sequence[str], value: str, *, out: str = "midrank", rows_per_chunk: int = ROWS_PER_CHUNK
+def midranks(
+    df: DataFrame, by: Sequence[str], ranks: dict[str, str], *, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """Tie-averaged rank of ``value`` within its group, scaled to [0, 1]; 0.5 for a single row.
+    """Tie-averaged rank within the group, scaled to [0, 1], for each ``output -> column``; 0.5 for a single row.
 
-    Ranks are worked out on counts of distinct values, so ties collapse before
-    the shuffle, and joined back.
+    All columns are unpivoted to (column, value) and counted per distinct value
+    first, so ties collapse before the shuffle and one ordered pass serves every
+    column. The ranks are then joined back.
     """
     by = list(by)
-    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = running(
-        value_chunk(counts, by, "_v", rows_per_chunk=rows_per_chunk), by, ["_v"], {"_below": ("sum", F.col("_c"))}
+    pairs = F.array(*[F.struct(F.lit(out).alias("_m"), F.col(c).cast("double").alias("_v")) for out, c in ranks.items()])
+    keys = [*by, "_m"]
+    counts = df.select(*by, F.inline(pairs)).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    below = running(
+        value_chunk(counts, keys, "_v", rows_per_chunk=rows_per_chunk), keys, ["_v"], {"_below": ("sum", F.col("_c"))}
     )
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     rank = F.when(F.col("_n") == 1, 0.5).otherwise(
         (F.col("_below") + (F.col("_c") - 1) / 2.0) / F.nullif(F.col("_n") - 1, F.lit(0))
     )
-    ranks = counts.join(sizes, by).select(*by, F.col("_v").alias(value), rank.alias(out))
-    return df.join(ranks, [*by, value], "left")
+    table = below.join(sizes, keys).select(*keys, "_v", rank.alias("_rank"))
+    out = df
+    for name, column in ranks.items():
+        one = table.filter(F.col("_m") == name).select(*by, F.col("_v").alias(f"_v_{name}"), F.col("_rank").alias(name))
+        out = out.withColumn(f"_v_{name}", F.col(column).cast("double")).join(one, [*by, f"_v_{name}"], "left")
+    return out.select(*df.columns, *ranks)
+
+
+def midrank(
+    df: DataFrame, by: Sequence[str], value: str, *, out: str = "midrank", rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    return midranks(df, by, {out: value}, rows_per_chunk=rows_per_chunk)
 
 
 def _component(raw: Column, scale: float, rank: Column) -> Column:
@@ -49,8 +62,8 @@ def score_risk(observations: DataFrame, by: Sequence[str], *, rows_per_chunk: in
     rows = observations
     for name in ("dark", "flat_or_gradient", "high_frequency_or_noise", "text_edge_like"):
         rows = rows.withColumn(name, _unit(F.col(name)) if name in rows.columns else F.lit(0.0))
-    for value, rank in (("si_p90", "si_rank"), ("ti_p90", "ti_rank"), ("max_scene_score", "transition_rank")):
-        rows = midrank(rows, by, value, out=rank, rows_per_chunk=rows_per_chunk)
+    ranked = {"si_rank": "si_p90", "ti_rank": "ti_p90", "transition_rank": "max_scene_score"}
+    rows = midranks(rows, by, ranked, rows_per_chunk=rows_per_chunk)
     rows = (
         rows.withColumn("spatial_detail", _component(F.col("si_p90"), 100.0, F.col("si_rank")))
         .withColumn("motion", _component(F.col("ti_p90"), 50.0, F.col("ti_rank")))

@@ -76,89 +76,93 @@ def _merge(kind: str, left: Column, right: Column) -> Column:
     return F.greatest(left, right) if kind == "max" else F.least(left, right)
 
 
-def running(
+def ordered(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column | str],
-    results: dict[str, tuple[str, Column]],
     *,
+    running: dict[str, tuple[str, Column]] | None = None,
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
     chunk: str = CHUNK,
     include_current: bool = False,
 ) -> DataFrame:
-    """Running sum/max/min along ``order`` within ``by``.
+    """Add ordered results within ``by``, in one pass over the rows plus one over chunk totals.
 
-    ``results`` maps an output name to ``(kind, expression)``. By default the
-    current row is left out (the value *before* the row).
+    ``running``: output -> (sum/max/min, expression) over all rows before this
+    one (``include_current`` adds the row itself). ``before`` / ``after``: output
+    -> column of the previous / next row (needs ``order`` to be column names).
     """
-    by = list(by)
-    inner = (
-        Window.partitionBy(*by, chunk)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    )
-    totals = df.groupBy(*by, chunk).agg(
-        *[_fold(kind, expr).alias(f"_t_{name}") for name, (kind, expr) in results.items()]
-    )
-    before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    place = Window.partitionBy(*by).orderBy(chunk)
+    by, order = list(by), list(order)
+    running, before, after = running or {}, before or {}, after or {}
+    totals = [_fold(kind, expr).alias(f"_t_{name}") for name, (kind, expr) in running.items()]
+    key = F.struct(*order) if before or after else None
+    last = F.struct(*[F.col(c).alias(n) for n, c in before.items()]) if before else None
+    first = F.struct(*[F.col(c).alias(n) for n, c in after.items()]) if after else None
+    if before:
+        totals.append(F.max_by(last, key).alias("_last"))
+    if after:
+        totals.append(F.min_by(first, key).alias("_first"))
+    chunks = df.groupBy(*by, chunk).agg(*totals)
+    line = Window.partitionBy(*by).orderBy(chunk)
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [_fold(kind, F.col(f"_t_{name}")).over(earlier).alias(f"_c_{name}") for name, (kind, _) in running.items()]
+    if before:
+        carried.append(F.lag("_last").over(line).alias("_c_last"))
+    if after:
+        carried.append(F.lead("_first").over(line).alias("_c_first"))
+    # Only groups of several chunks carry anything over; the others drop out here.
+    whole = Window.partitionBy(*by)
     carry = (
-        totals.select(
-            *by,
-            chunk,
-            F.row_number().over(place).alias("_place"),
-            *[_fold(kind, F.col(f"_t_{name}")).over(before).alias(f"_c_{name}") for name, (kind, _) in results.items()],
-        )
-        .filter(F.col("_place") > 1)
-        .drop("_place")
+        chunks.select(*by, chunk, F.count(F.lit(1)).over(whole).alias("_chunks"), *carried)
+        .filter(F.col("_chunks") > 1)
+        .drop("_chunks")
     )
     out = df.join(carry, [*by, chunk], "left")
-    for name, (kind, expr) in results.items():
-        out = out.withColumn(f"_w_{name}", _fold(kind, expr).over(inner))
-    for name, (kind, _) in results.items():
-        out = out.withColumn(name, _merge(kind, F.col(f"_w_{name}"), F.col(f"_c_{name}")))
-    return out.drop(*[f"_w_{n}" for n in results], *[f"_c_{n}" for n in results])
+    inner = Window.partitionBy(*by, chunk).orderBy(*order)
+    frame = inner.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    temporary = []
+    for name, (kind, expr) in running.items():
+        out = out.withColumn(f"_w_{name}", _fold(kind, expr).over(frame))
+        temporary += [f"_w_{name}", f"_c_{name}"]
+    if before:
+        out = out.withColumn("_w_last", F.lag(last).over(inner))
+        temporary += ["_w_last", "_c_last"]
+    if after:
+        out = out.withColumn("_w_first", F.lead(first).over(inner))
+        temporary += ["_w_first", "_c_first"]
+    results = {n: _merge(kind, F.col(f"_w_{n}"), F.col(f"_c_{n}")) for n, (kind, _) in running.items()}
+    results |= {n: F.coalesce("_w_last", "_c_last")[n] for n in before}
+    results |= {n: F.coalesce("_w_first", "_c_first")[n] for n in after}
+    kept = [c for c in df.columns if c not in results]
+    return out.select(*kept, *[value.alias(n) for n, value in results.items()])
 
 
-def position(
+def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column | str],
+    results: dict[str, tuple[str, Column]],
     *,
-    out: str = "pos",
     chunk: str = CHUNK,
+    include_current: bool = False,
+) -> DataFrame:
+    """Running sum/max/min of the rows before each row."""
+    return ordered(df, by, order, running=results, chunk=chunk, include_current=include_current)
+
+
+def position(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], *, out: str = "pos", chunk: str = CHUNK
 ) -> DataFrame:
     """0-based rank of each row along ``order`` (a distributed row_number)."""
-    return running(df, by, order, {out: ("sum", F.lit(1))}, chunk=chunk).withColumn(
-        out, F.col(out).cast("long")
-    )
+    numbered = ordered(df, by, order, running={out: ("sum", F.lit(1).cast("long"))}, chunk=chunk)
+    return numbered
 
 
 def neighbour(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    results: dict[str, str],
-    *,
-    step: int,
-    chunk: str = CHUNK,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], results: dict[str, str], *, step: int, chunk: str = CHUNK
 ) -> DataFrame:
-    """Value of a column in the previous (``step=-1``) or next (``step=1``) row.
-
-    ``results`` maps an output name to a source column.
-    """
-    by = list(by)
-    inner = Window.partitionBy(*by, chunk).orderBy(*order)
-    outer = Window.partitionBy(*by).orderBy(chunk)
-    shift = F.lag if step < 0 else F.lead
-    pick = F.max_by if step < 0 else F.min_by
-    key = F.struct(*order)
-    edge = F.struct(*[F.col(source).alias(name) for name, source in results.items()])
-    edges = df.groupBy(*by, chunk).agg(pick(edge, key).alias("_edge"))
-    carry = edges.select(*by, chunk, shift("_edge").over(outer).alias("_carry")).filter(
-        F.col("_carry").isNotNull()
-    )
-    out = df.join(carry, [*by, chunk], "left")
-    out = out.withColumn("_near", F.coalesce(shift(edge).over(inner), F.col("_carry")))
-    for name in results:
-        out = out.withColumn(name, F.col("_near")[name])
-    return out.drop("_near", "_carry")
+    """Columns of the previous (``step=-1``) or next (``step=1``) row."""
+    if step < 0:
+        return ordered(df, by, order, before=results, chunk=chunk)
+    return ordered(df, by, order, after=results, chunk=chunk)

@@ -252,7 +252,7 @@ def guard(t):
     f"""WITH {_RISK_SQL}, len AS (SELECT source_id, max(start_sec) + 2 AS total FROM observations GROUP BY source_id),
       k AS (SELECT r.source_id, window_id, start_sec, difficulty, start_sec + 1 AS c, total, least(7, CAST(floor((start_sec + 1) * 8 / total) AS INTEGER)) AS bin
         FROM risk r JOIN len ON len.source_id = r.source_id)
-      SELECT source_id, bin::INTEGER AS bin, window_id, start_sec, round(difficulty, 7) AS difficulty FROM (SELECT *, row_number() OVER (PARTITION BY source_id, bin
+      SELECT source_id, bin::INTEGER AS bin, window_id, start_sec, round(difficulty, 5) AS difficulty FROM (SELECT *, row_number() OVER (PARTITION BY source_id, bin
         ORDER BY round(difficulty, 9) DESC, abs(c - total * (bin + 0.5) / 8), start_sec, window_id) AS rn FROM k) x WHERE rn = 1""",
     uses="observations",
 )
@@ -261,7 +261,7 @@ def coverage(t):
     lengths = o.groupBy("source_id").agg((F.max("start_sec") + 2).alias("total_sec"))
     rows = ranking.score_risk(o, ["source_id"]).join(lengths, "source_id").withColumn("difficulty", F.round("difficulty", 9))
     out = ranking.coverage_top1(rows, ["source_id"], F.lit(8), F.col("total_sec"))
-    return out.withColumn("difficulty", F.round("difficulty", 7))
+    return out.withColumn("difficulty", F.round("difficulty", 5))
 
 
 @query(
