@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens import policy
-from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, frame_chunk, neighbour, ordered
+from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, frame_chunk, frame_chunks, ordered
 
 
 def nearest_rank(
@@ -56,22 +56,31 @@ def rolling_means(
     size: Column,
     *,
     frames_per_chunk: int = FRAMES_PER_CHUNK,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Mean of every full window of ``size`` consecutive rows, keyed by its last position.
 
     ``pos`` is a dense 0-based position and ``size`` may differ per group, which
     a window frame cannot express. Each row enters the running sum at its
-    position and leaves it ``size`` later. A row is also sent to the following
-    chunk when a window there still reaches back to it, so chunks are independent.
+    position and leaves it ``size`` later. Groups longer than a chunk are cut
+    into chunks: a row is also sent to the following chunk when a window there
+    still reaches back to it, so chunks are independent. ``bounded`` says that no
+    group is longer (checked here when not given).
     """
     by = list(by)
     rows = df.select(*by, F.col(pos).cast("long").alias("_p"), F.col(value).alias("_v"), size.cast("long").alias("_s"))
-    own = frame_chunk(F.col("_p"), frames_per_chunk)
-    last = frame_chunk(F.col("_p") + F.col("_s") - 1, frames_per_chunk)
-    rows = rows.select("*", F.explode(F.sequence(own, last)).alias(CHUNK)).withColumn("_own", F.col(CHUNK) == own)
+    if bounded is None:
+        top = df.agg(F.max(pos)).first()[0]
+        bounded = top is None or top < frames_per_chunk
+    keys = by if bounded else [*by, CHUNK]
+    if bounded:
+        rows = rows.withColumn("_own", F.lit(True))
+    else:
+        own = frame_chunk(F.col("_p"), frames_per_chunk)
+        last = frame_chunk(F.col("_p") + F.col("_s") - 1, frames_per_chunk)
+        rows = rows.select("*", F.explode(F.sequence(own, last)).alias(CHUNK)).withColumn("_own", F.col(CHUNK) == own)
     events = rows.select(
-        *by,
-        CHUNK,
+        *keys,
         "_s",
         F.inline(
             F.array(
@@ -83,7 +92,7 @@ def rolling_means(
             )
         ),
     )
-    run = Window.partitionBy(*by, CHUNK).orderBy("_at", "_in").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*keys).orderBy("_at", "_in").rowsBetween(Window.unboundedPreceding, 0)
     return (
         events.withColumn("_sum", F.sum("_d").over(run))
         .filter(F.col("_real") & (F.col("_at") >= F.col("_s") - 1))
@@ -122,8 +131,8 @@ def _cadence(steps: DataFrame, by: list[str]) -> DataFrame:
 def upper_median_step(df: DataFrame, by: Sequence[str], order: str, *, frames_per_chunk: int = FRAMES_PER_CHUNK) -> DataFrame:
     """Upper median of the gaps between consecutive ``order`` values; 1 for a single row."""
     by = list(by)
-    rows = df.select(*by, order).withColumn(CHUNK, frame_chunk(F.col(order), frames_per_chunk))
-    gaps = neighbour(rows, by, [order], {"_before": order}, step=-1)
+    rows = frame_chunks(df.select(*by, order), order, frames_per_chunk=frames_per_chunk)
+    gaps = ordered(rows, by, [order], before={"_before": order})
     steps = gaps.groupBy(*by, (F.col(order) - F.col("_before")).alias("_g")).agg(
         F.count(F.lit(1)).alias("_c"), F.lit(0.0).alias("_s")
     )
@@ -147,7 +156,8 @@ def pool_scores(
     by = list(by)
     rate = F.when(F.col(fps) > 0, F.col(fps).cast("double")).otherwise(F.lit(default_fps))
     rows = frame_scores.select(*by, frame, score, rate.alias("_rate"))
-    rows = rows.withColumn(CHUNK, frame_chunk(F.col(frame), frames_per_chunk))
+    rows = frame_chunks(rows, frame, frames_per_chunk=frames_per_chunk)
+    bounded = CHUNK not in rows.columns
     rows = ordered(
         rows, by, [frame], running={"_pos": ("sum", F.lit(1).cast("long"))}, before={"_before": frame}
     )
@@ -158,7 +168,8 @@ def pool_scores(
     clips = _cadence(steps, by)
     size = F.greatest(F.lit(1), F.ceil(F.col("_rate") / F.greatest(F.lit(1), F.col("cadence"))))
     rolled = rolling_means(
-        rows.join(clips.select(*by, "cadence"), by), by, "_pos", score, size, frames_per_chunk=frames_per_chunk
+        rows.join(clips.select(*by, "cadence"), by), by, "_pos", score, size, frames_per_chunk=frames_per_chunk,
+        bounded=bounded or None,
     )
     worst = rolled.groupBy(*by).agg(F.min("mean").alias("_low"))
     p10 = nearest_rank(frame_scores, by, score, {"p10": 0.10})
@@ -291,7 +302,7 @@ def check_cadence(
     by = list(by)
     extra = [F.col(average_fps).alias("_avg")] if average_fps else [F.lit(None).cast("double").alias("_avg")]
     rows = timestamps.select(*by, order, F.col(time).alias("_t"), F.col(fps).cast("double").alias("_f"), *extra)
-    rows = rows.withColumn(CHUNK, frame_chunk(F.col(order), frames_per_chunk))
+    rows = frame_chunks(rows, order, frames_per_chunk=frames_per_chunk)
     rows = ordered(rows, by, [order], running={"_i": ("sum", F.lit(1).cast("long"))}, before={"_before": "_t"})
     drift = F.col("_t") - F.col("_i") / F.col("_f")
     step = F.col("_t") - F.col("_before")

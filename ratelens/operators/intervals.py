@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, ROWS_PER_CHUNK, frame_chunk, neighbour, running, value_chunk
+from ratelens.plans.ordered import FRAMES_PER_CHUNK, ROWS_PER_CHUNK, frame_chunks, ordered, value_chunk
 from ratelens.policy import SCENE_CHANGE_THRESHOLD, WINDOW_EPSILON
 from ratelens.session import cut
 
@@ -33,8 +33,8 @@ def shots_from_cuts(
     ends = frames.groupBy(*by).agg((F.max(frame) + 1).alias("_end"))
     starts = frames.filter((F.col(frame) > 0) & (F.col(score) >= threshold)).select(*by, F.col(frame).alias("start_frame"))
     starts = starts.unionByName(ends.select(*by, F.lit(0).cast("long").alias("start_frame")))
-    starts = starts.withColumn(CHUNK, frame_chunk(F.col("start_frame"), frames_per_chunk))
-    shots = neighbour(starts, by, ["start_frame"], {"_next": "start_frame"}, step=1)
+    starts = frame_chunks(starts, "start_frame", frames_per_chunk=frames_per_chunk)
+    shots = ordered(starts, by, ["start_frame"], after={"_next": "start_frame"})
     return shots.join(ends, by).select(*by, "start_frame", F.coalesce("_next", "_end").alias("end_frame"))
 
 
@@ -89,7 +89,7 @@ def has_self_overlap(
     by = list(by)
     rows = value_chunk(intervals, by, start, rows_per_chunk=rows_per_chunk)
     end = F.col(start) + F.col(duration)
-    rows = running(rows, by, [start, tie], {"_before": ("max", end)})
+    rows = ordered(rows, by, [start, tie], running={"_before": ("max", end)})
     return rows.groupBy(*by).agg(
         F.coalesce(F.bool_or(F.col(start) < F.col("_before") - epsilon), F.lit(False)).alias("overlapping")
     )
@@ -116,7 +116,7 @@ def largest_gap(
     rows = intervals.select(*by, F.col(start).alias("_s"), F.col(duration).alias("_d"), F.lit(0).alias("_tail")).unionByName(tail)
     rows = value_chunk(rows, by, "_s", rows_per_chunk=rows_per_chunk)
     end = F.when(F.col("_tail") == 0, F.col("_s") + F.col("_d"))
-    rows = running(rows, by, ["_s", "_tail", "_d"], {"_before": ("max", end)})
+    rows = ordered(rows, by, ["_s", "_tail", "_d"], running={"_before": ("max", end)})
     low = F.greatest(F.lit(0.0), F.coalesce("_before", F.lit(0.0)))
     # Intervals beyond the end of the source may sort after the tail; only gaps inside count for it.
     gap = F.col("_s") - low
@@ -162,15 +162,16 @@ def align_to_cuts(
         .join(lengths, by)
         .filter((F.col("_c") > epsilon) & (F.col("_c") < F.col("_total") - epsilon))
     )
+    inside = cut(inside)  # used three times below
     crossed = _crossed(windows, inside, by, window, epsilon, bin_sec)
     edges = inside.select(*by, "_c").unionByName(lengths.select(*by, F.lit(0.0).alias("_c")))
     edges = value_chunk(edges, by, "_c", rows_per_chunk=rows_per_chunk)
     shots = (
-        neighbour(edges, by, ["_c"], {"_r": "_c"}, step=1)
+        ordered(edges, by, ["_c"], after={"_r": "_c"})
         .join(lengths, by)
         .select(*by, F.col("_c").alias("_l"), F.coalesce("_r", "_total").alias("_r"))
     )
-    rows = windows.join(crossed, [*by, window], "left").withColumn("_x", F.coalesce("_x", F.lit(False)))
+    rows = cut(windows.join(crossed, [*by, window], "left").withColumn("_x", F.coalesce("_x", F.lit(False))))
     moving = rows.filter(F.col("_x") & ~F.array_contains("reasons", "transition_risk")).select(
         *by, window, "start_sec", "duration_sec"
     )
@@ -207,9 +208,9 @@ def _nearest_shot(moving: DataFrame, shots: DataFrame, by: list[str], window: st
     asks = moving.select(*keys, F.col("start_sec").alias("_at"), F.lit(1).alias("_q"), F.lit(None).cast("double").alias("_left"), F.lit(None).cast("double").alias("_right"), F.col(window).cast("string").alias("_w"))
     line = value_chunk(lefts.unionByName(rights).unionByName(asks), keys, "_at", rows_per_chunk=rows_per_chunk)
     order = ["_at", "_q", F.coalesce("_w", F.lit(""))]
-    line = running(line, keys, order, {"_before": ("max", F.col("_left"))})
+    line = ordered(line, keys, order, running={"_before": ("max", F.col("_left"))})
     back = [F.desc("_at"), F.desc("_q"), F.desc(F.coalesce("_w", F.lit("")))]
-    line = running(line.withColumn("_rev", -F.col(CHUNK)), keys, back, {"_after": ("min", F.col("_right"))}, chunk="_rev")
+    line = ordered(line, keys, back, running={"_after": ("min", F.col("_right"))}, descending=True)
     asked = line.filter(F.col("_q") == 1)
     moved_left, moved_right = F.col("_at") - F.col("_before"), F.col("_after") - F.col("_at")
     target = (
@@ -247,7 +248,7 @@ def guard_alignment(
     off_bin = F.coalesce(
         (center < index * F.col(total) / F.col(bins)) | (center >= (index + 1) * F.col(total) / F.col(bins)), F.lit(False)
     )
-    rows = rows.withColumn("_off", off_bin)
+    rows = cut(rows.withColumn("_off", off_bin))
     keep = [*by, F.col(window).alias("id"), F.struct(*order, window).alias("rank")]
     peers = rows.select(*keep, "start_sec", "duration_sec")
     moved = rows.filter(~F.col("_off") & (F.col("new_start") != F.col("start_sec"))).select(
@@ -352,9 +353,8 @@ def _disjoint_by_doubling(
         *by, (F.col("_x.e") - epsilon).alias("_at"), F.lit(0).alias("_q"), none.alias("_offer"), F.col("_x").alias("_ask")
     )
     line = value_chunk(offers.unionByName(asks), by, "_at", rows_per_chunk=rows_per_chunk)
-    line = line.withColumn("_rev", -F.col(CHUNK))
     back = [F.desc("_at"), F.desc("_q"), F.desc(F.coalesce("_offer.id", "_ask.id"))]
-    line = running(line, by, back, {"_next": ("min", F.col("_offer"))}, chunk="_rev")
+    line = ordered(line, by, back, running={"_next": ("min", F.col("_offer"))}, descending=True)
     hops = line.filter(F.col("_q") == 0).select(
         *by, F.col("_ask").alias("_x"), F.col("_next"), F.when(F.col("_next").isNotNull(), 1).otherwise(0).cast("long").alias("_hops")
     )

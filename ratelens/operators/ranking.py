@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens import policy
-from ratelens.plans.ordered import ROWS_PER_CHUNK, running, value_chunk
+from ratelens.plans.ordered import ROWS_PER_CHUNK, ordered, value_chunk
 from ratelens.policy import Profile
 
 
@@ -17,26 +17,20 @@ def midranks(
 ) -> DataFrame:
     """Tie-averaged rank within the group, scaled to [0, 1], for each ``output -> column``; 0.5 for a single row.
 
-    All columns are unpivoted to (column, value) and counted per distinct value
-    first, so ties collapse before the shuffle and one ordered pass serves every
-    column. The ranks are then joined back.
+    Ranks are worked out on counts of distinct values, so ties collapse before
+    the shuffle, and joined back.
     """
     by = list(by)
-    pairs = F.array(*[F.struct(F.lit(out).alias("_m"), F.col(c).cast("double").alias("_v")) for out, c in ranks.items()])
-    keys = [*by, "_m"]
-    counts = df.select(*by, F.inline(pairs)).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    below = running(
-        value_chunk(counts, keys, "_v", rows_per_chunk=rows_per_chunk), keys, ["_v"], {"_below": ("sum", F.col("_c"))}
-    )
-    rank = F.when(F.col("_n") == 1, 0.5).otherwise(
-        (F.col("_below") + (F.col("_c") - 1) / 2.0) / F.nullif(F.col("_n") - 1, F.lit(0))
-    )
-    table = below.join(sizes, keys).select(*keys, "_v", rank.alias("_rank"))
-    out = df
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    out = df.join(sizes, by)
     for name, column in ranks.items():
-        one = table.filter(F.col("_m") == name).select(*by, F.col("_v").alias(f"_v_{name}"), F.col("_rank").alias(name))
-        out = out.withColumn(f"_v_{name}", F.col(column).cast("double")).join(one, [*by, f"_v_{name}"], "left")
+        counts = df.groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        counts = value_chunk(counts, by, "_v", rows_per_chunk=rows_per_chunk)
+        below = ordered(counts, by, ["_v"], running={"_below": ("sum", F.col("_c"))})
+        middle = F.col("_below") + (F.col("_c") - 1) / 2.0
+        below = below.select(*by, F.col("_v").alias(column), middle.alias(f"_m_{name}"))
+        rank = F.when(F.col("_n") == 1, 0.5).otherwise(F.col(f"_m_{name}") / F.nullif(F.col("_n") - 1, F.lit(0)))
+        out = out.join(below, [*by, column], "left").withColumn(name, rank).drop(f"_m_{name}")
     return out.select(*df.columns, *ranks)
 
 

@@ -18,6 +18,7 @@ from ratelens.functions import rate
 from ratelens.functions.identity import unit_hash
 from ratelens.operators.ranking import adaptive_window_count, content_stats
 from ratelens.policy import WINDOW_EPSILON, Profile
+from ratelens.session import cut
 
 MAX_SCOUTS = 128  # fixed value: the largest scout grid a profile may ask for
 WHOLE = "search:whole-video"
@@ -372,11 +373,13 @@ def sample_plan(
     )
     long = sources.filter(F.col(total) > profile.whole_video_max_sec)
     good, bad = _planable(risk.join(long, source, "left_semi"), long, profile, source, total)
+    good, bad = cut(good), cut(bad)
     seen = risk.join(good, source, "left_semi")
     stats = content_stats(seen, [source])
     rows = _observed(seen, long, profile, source, total).groupBy(source, "_len").agg(F.array_sort(F.collect_list("_o")).alias("_obs"))
     rows = rows.join(stats, source)
-    rows = _plan_columns(rows, profile, source)
+    # One row per source, read by every pool below: plan once.
+    rows = cut(_plan_columns(rows, profile, source).drop("_obs", "_by_start", "_cover", "_top", "_base"))
     whole_why = F.when(F.col("_pc") < F.col("_rh") + 1, "insufficient_independent_capacity").when(
         F.col("_failed"), "insufficient_coverage_capacity"
     )

@@ -1,18 +1,19 @@
 """Ordered computations inside a group whose size is not bounded.
 
 A plain ``Window.partitionBy(key).orderBy(x)`` sends every row of a key to one
-task. One clip, source or title may hold a third of all rows, so the operators
-never do that on raw rows. They work in three steps instead:
-
-1. give every row a *chunk*: a range of the order column. Frame numbers are
-   dense, so ``frame div 65536`` is enough (:func:`frame_chunk`). For other
-   columns only keys that are too large are cut, into equal ranges of their own
-   span (:func:`value_chunk`);
-2. run the window on ``(key, chunk)``;
-3. add what the earlier chunks contribute, which is one small row per chunk
-   (:func:`running`, :func:`neighbour`).
-
-A key that fits into one chunk takes the same path with nothing to add.
+task. One clip, source or title may hold a third of all rows, so raw rows are
+only windowed like that after a check that no key is too large. Where one is:
+
+1. rows get a *chunk*: a range of the order column. Frame numbers are dense, so
+   ``frame div 65536`` is enough (:func:`frame_chunks`). For other columns only
+   the hot keys are cut, into equal ranges of their own span
+   (:func:`value_chunk`);
+2. the window runs on ``(key, chunk)``;
+3. what the earlier chunks contribute is joined in: one small row per chunk
+   (:func:`ordered`).
+
+Both checks are one map-side-combined aggregate over narrow columns. A frame
+without the chunk column needs no cutting and gets the plain window.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratelens.session import cut
+
 FRAMES_PER_CHUNK = 1 << 16
 ROWS_PER_CHUNK = 1_000_000
 #: A key outside the ``MAX_HOT_KEYS`` largest ones holds less than 1/4096 of all
@@ -35,6 +38,16 @@ def frame_chunk(position: Column, frames_per_chunk: int = FRAMES_PER_CHUNK) -> C
     return F.floor(position / F.lit(frames_per_chunk)).cast("long")
 
 
+def frame_chunks(
+    df: DataFrame, frame: str, *, frames_per_chunk: int = FRAMES_PER_CHUNK, out: str = CHUNK
+) -> DataFrame:
+    """Add ``out`` when some group may span more than one chunk of frame numbers."""
+    low, high = df.agg(F.min(frame), F.max(frame)).first()
+    if low is None or high - low < frames_per_chunk:
+        return df
+    return df.withColumn(out, frame_chunk(F.col(frame), frames_per_chunk))
+
+
 def value_chunk(
     df: DataFrame,
     by: Sequence[str],
@@ -43,12 +56,12 @@ def value_chunk(
     rows_per_chunk: int = ROWS_PER_CHUNK,
     out: str = CHUNK,
 ) -> DataFrame:
-    """Add ``out``: 0 for ordinary keys, a range index of ``value`` for hot ones.
+    """Add ``out`` when some key is too large: a range index of ``value`` for such keys, 0 for others.
 
-    The hot keys come from one map-side-combined count. At most
-    ``MAX_HOT_KEYS`` of them can be large, which is what makes the broadcast
-    bounded whatever the input size. Chunk bounds are arithmetic on exact
-    count/min/max, so evaluating them twice gives the same chunks.
+    At most ``MAX_HOT_KEYS`` keys can hold 1/4096 of the rows or more, which
+    bounds both the result of the check and the broadcast, whatever the input
+    size. Chunk bounds are arithmetic on exact count/min/max, so evaluating the
+    frame twice gives the same chunks.
     """
     value = F.col(value) if isinstance(value, str) else value
     value = value.cast("double")
@@ -60,19 +73,24 @@ def value_chunk(
         .limit(MAX_HOT_KEYS)
         .withColumn("_parts", F.ceil(F.col("_n") / F.lit(rows_per_chunk)))
     )
+    hot = spans.collect()  # at most MAX_HOT_KEYS rows
+    if not hot:
+        return df
+    known = F.broadcast(df.sparkSession.createDataFrame(hot, spans.schema))
     part = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts"))
-    joined = df.join(F.broadcast(spans), list(by), "left")
     chunk = F.coalesce(F.least(part, F.col("_parts") - 1), F.lit(0)).cast("long")
-    return joined.withColumn(out, chunk).drop("_n", "_lo", "_hi", "_parts")
+    return df.join(known, list(by), "left").withColumn(out, chunk).drop("_n", "_lo", "_hi", "_parts")
 
 
 def _fold(kind: str, column: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](column)
 
 
-def _merge(kind: str, left: Column, right: Column) -> Column:
+def _merge(kind: str, left: Column, right: Column | None) -> Column:
     if kind == "sum":
-        return F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))
+        return F.coalesce(left, F.lit(0)) + (F.coalesce(right, F.lit(0)) if right is not None else F.lit(0))
+    if right is None:
+        return left
     return F.greatest(left, right) if kind == "max" else F.least(left, right)
 
 
@@ -85,84 +103,71 @@ def ordered(
     before: dict[str, str] | None = None,
     after: dict[str, str] | None = None,
     chunk: str = CHUNK,
-    include_current: bool = False,
+    descending: bool = False,
 ) -> DataFrame:
-    """Add ordered results within ``by``, in one pass over the rows plus one over chunk totals.
+    """Add ordered results within ``by``.
 
     ``running``: output -> (sum/max/min, expression) over all rows before this
-    one (``include_current`` adds the row itself). ``before`` / ``after``: output
-    -> column of the previous / next row (needs ``order`` to be column names).
+    one. ``before`` / ``after``: output -> column of the previous / next row
+    (needs ``order`` to be column names). With ``descending``, ``order`` runs
+    against the chunk order. The carry of the chunks is materialised, so that
+    the plan does not double with every ordered step.
     """
     by, order = list(by), list(order)
     running, before, after = running or {}, before or {}, after or {}
-    totals = [_fold(kind, expr).alias(f"_t_{name}") for name, (kind, expr) in running.items()]
-    key = F.struct(*order) if before or after else None
+    chunked = chunk in df.columns
     last = F.struct(*[F.col(c).alias(n) for n, c in before.items()]) if before else None
     first = F.struct(*[F.col(c).alias(n) for n, c in after.items()]) if after else None
-    if before:
-        totals.append(F.max_by(last, key).alias("_last"))
-    if after:
-        totals.append(F.min_by(first, key).alias("_first"))
-    chunks = df.groupBy(*by, chunk).agg(*totals)
-    line = Window.partitionBy(*by).orderBy(chunk)
-    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [_fold(kind, F.col(f"_t_{name}")).over(earlier).alias(f"_c_{name}") for name, (kind, _) in running.items()]
-    if before:
-        carried.append(F.lag("_last").over(line).alias("_c_last"))
-    if after:
-        carried.append(F.lead("_first").over(line).alias("_c_first"))
-    # Only groups of several chunks carry anything over; the others drop out here.
-    whole = Window.partitionBy(*by)
-    carry = (
-        chunks.select(*by, chunk, F.count(F.lit(1)).over(whole).alias("_chunks"), *carried)
-        .filter(F.col("_chunks") > 1)
-        .drop("_chunks")
-    )
-    out = df.join(carry, [*by, chunk], "left")
-    inner = Window.partitionBy(*by, chunk).orderBy(*order)
-    frame = inner.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    temporary = []
+    out, keys = df, by
+    if chunked:
+        keys = [*by, chunk]
+        carry = _carry(df, by, order, running, last, first, chunk, descending)
+        out = df.join(carry, keys, "left")
+    inner = Window.partitionBy(*keys).orderBy(*order)
+    frame = inner.rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, expr) in running.items():
         out = out.withColumn(f"_w_{name}", _fold(kind, expr).over(frame))
-        temporary += [f"_w_{name}", f"_c_{name}"]
     if before:
         out = out.withColumn("_w_last", F.lag(last).over(inner))
-        temporary += ["_w_last", "_c_last"]
     if after:
         out = out.withColumn("_w_first", F.lead(first).over(inner))
-        temporary += ["_w_first", "_c_first"]
-    results = {n: _merge(kind, F.col(f"_w_{n}"), F.col(f"_c_{n}")) for n, (kind, _) in running.items()}
-    results |= {n: F.coalesce("_w_last", "_c_last")[n] for n in before}
-    results |= {n: F.coalesce("_w_first", "_c_first")[n] for n in after}
+
+    def with_carry(name: str) -> Column:
+        return F.coalesce(f"_w_{name}", f"_c_{name}") if chunked else F.col(f"_w_{name}")
+
+    results = {
+        n: _merge(kind, F.col(f"_w_{n}"), F.col(f"_c_{n}") if chunked else None) for n, (kind, _) in running.items()
+    }
+    results |= {n: with_carry("last")[n] for n in before}
+    results |= {n: with_carry("first")[n] for n in after}
     kept = [c for c in df.columns if c not in results]
     return out.select(*kept, *[value.alias(n) for n, value in results.items()])
 
 
-def running(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column | str],
-    results: dict[str, tuple[str, Column]],
-    *,
-    chunk: str = CHUNK,
-    include_current: bool = False,
-) -> DataFrame:
-    """Running sum/max/min of the rows before each row."""
-    return ordered(df, by, order, running=results, chunk=chunk, include_current=include_current)
+def _carry(df, by, order, running, last, first, chunk, descending) -> DataFrame:
+    """What the chunks before (and after) each chunk contribute; only keys with several chunks."""
+    totals = [_fold(kind, expr).alias(f"_t_{name}") for name, (kind, expr) in running.items()]
+    if last is not None:
+        totals.append(F.max_by(last, F.struct(*order)).alias("_last"))
+    if first is not None:
+        totals.append(F.min_by(first, F.struct(*order)).alias("_first"))
+    chunks = df.groupBy(*by, chunk).agg(*totals)
+    whole = Window.partitionBy(*by)
+    line = whole.orderBy(F.desc(chunk) if descending else F.asc(chunk))
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [
+        _fold(kind, F.col(f"_t_{name}")).over(earlier).alias(f"_c_{name}") for name, (kind, _) in running.items()
+    ]
+    if last is not None:
+        carried.append(F.lag("_last").over(line).alias("_c_last"))
+    if first is not None:
+        carried.append(F.lead("_first").over(line).alias("_c_first"))
+    rows = chunks.select(*by, chunk, F.count(F.lit(1)).over(whole).alias("_chunks"), *carried)
+    return cut(rows.filter(F.col("_chunks") > 1).drop("_chunks"))
 
 
 def position(
     df: DataFrame, by: Sequence[str], order: Sequence[Column | str], *, out: str = "pos", chunk: str = CHUNK
 ) -> DataFrame:
     """0-based rank of each row along ``order`` (a distributed row_number)."""
-    numbered = ordered(df, by, order, running={out: ("sum", F.lit(1).cast("long"))}, chunk=chunk)
-    return numbered
-
-
-def neighbour(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], results: dict[str, str], *, step: int, chunk: str = CHUNK
-) -> DataFrame:
-    """Columns of the previous (``step=-1``) or next (``step=1``) row."""
-    if step < 0:
-        return ordered(df, by, order, before=results, chunk=chunk)
-    return ordered(df, by, order, after=results, chunk=chunk)
+    return ordered(df, by, order, running={out: ("sum", F.lit(1).cast("long"))}, chunk=chunk)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ratelens.functions.identity import unit_hash
 from ratelens.operators import intervals, ranking, sampling
 from ratelens.queries.registry import query
+from ratelens.session import cut
 
 
 def _midrank_sql(value, name):
@@ -291,7 +292,7 @@ def _scouted(t):
         F.floor(draw("scene") * 16).cast("double").alias("max_scene_score"), draw("dark").alias("dark"),
     )
     rows = rows.withColumn("cut_count", F.when(F.col("max_scene_score") >= 10, 1).otherwise(0))
-    return ranking.score_risk(rows, ["source_id"])
+    return cut(ranking.score_risk(rows, ["source_id"]))
 
 
 @query("w13_greedy_diverse_pick")
