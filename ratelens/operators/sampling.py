@@ -303,6 +303,15 @@ def _observed(risk: DataFrame, sources: DataFrame, profile: Profile, source: str
     )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` into the configured number of partitions.
+
+    Folding a plan costs far more time per byte than a scan, so partitions must
+    not be merged by their size in bytes as they would be otherwise.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _planable(risk: DataFrame, sources: DataFrame, profile: Profile, source: str, total: str) -> tuple[DataFrame, DataFrame]:
     """(matching, other) source keys: observations must be the scout grid's windows, each once."""
     grid = scout_grid(sources, profile, source=source, total=total).filter("pool = 'scout'")
@@ -332,7 +341,7 @@ def greedy_diverse_pick(
     """
     good, _ = _planable(risk, sources, profile, source, total)
     obs = _observed(risk.join(good, source, "left_semi"), sources, profile, source, total)
-    arrays = obs.groupBy(source, "_len").agg(F.array_sort(F.collect_list("_o")).alias("_obs"))
+    arrays = _spread(obs, source).groupBy(source, "_len").agg(F.array_sort(F.collect_list("_o")).alias("_obs"))
     held = chosen.join(good, source, "left_semi").groupBy(source).agg(
         F.array_sort(
             F.collect_list(_held(F.col("scout_id").cast("string"), F.col("start_sec"), F.array().cast("array<string>")))
@@ -376,7 +385,7 @@ def sample_plan(
     good, bad = cut(good), cut(bad)
     seen = risk.join(good, source, "left_semi")
     stats = content_stats(seen, [source])
-    rows = _observed(seen, long, profile, source, total).groupBy(source, "_len").agg(F.array_sort(F.collect_list("_o")).alias("_obs"))
+    rows = _spread(_observed(seen, long, profile, source, total), source).groupBy(source, "_len").agg(F.array_sort(F.collect_list("_o")).alias("_obs"))
     rows = rows.join(stats, source)
     # One row per source, read by every pool below: plan once.
     rows = cut(_plan_columns(rows, profile, source).drop("_obs", "_by_start", "_cover", "_top", "_base"))
