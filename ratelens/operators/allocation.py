@@ -47,7 +47,7 @@ def pareto(
 def _frontier(states: DataFrame, limit: int) -> DataFrame:
     """Prune each (title, slot) to its frontier and bin it when it has more than ``limit`` states.
 
-    Groups hold at most limit * limit states here, so a plain window is bounded.
+    Groups hold at most limit * limit states (limit + 1 at the leaves), so a plain window is bounded.
     Along the frontier quality rises with bytes; the first state of a quality bin
     is therefore its cheapest.
     """
@@ -98,6 +98,27 @@ def _merge(level: DataFrame, limit: int) -> DataFrame:
     return _frontier(sums.unionByName(alone), limit)
 
 
+def _thinned(leaves: DataFrame, limit: int) -> DataFrame:
+    """Bin the frontier of shots with more than ``limit`` candidates by aggregation.
+
+    One shot may have any number of candidates; no window sees them all. Each
+    quality bin keeps its cheapest state, and the best state is kept as well.
+    """
+    keys = ["title_id", "slot"]
+    stats = leaves.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("quality").alias("_lo"), F.max("quality").alias("_hi")
+    ).filter(F.col("_n") > limit)
+    rows = leaves.join(stats, keys, "left")
+    big = F.col("_n").isNotNull()
+    small = rows.filter(~big).select(*leaves.columns)
+    place = F.floor((F.col("quality") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * (limit - 2))
+    bins = F.when(F.col("quality") == F.col("_hi"), F.lit(limit)).otherwise(F.coalesce(place, F.lit(0)))
+    entry = F.struct(*[F.col(c) for c in leaves.columns if c not in keys])
+    kept = rows.filter(big).groupBy(*keys, bins.alias("_bin")).agg(F.min_by(entry, F.struct("size", (-F.col("quality")).alias("q"))).alias("_e"))
+    kept = kept.select(*keys, "_e.*").withColumn("approximate", F.lit(True))
+    return small.unionByName(kept)
+
+
 def _slots(shots: DataFrame, rows_per_chunk: int) -> DataFrame:
     """Dense 0-based slot of every (title, shot) and the title's shot count and frames."""
     once = shots.groupBy("title_id", "shot_idx").agg(F.max("frames").cast("long").alias("frames"))
@@ -121,8 +142,7 @@ def _levels(candidates: DataFrame, titles: DataFrame, limit: int, rows_per_chunk
         F.col("cand_id").cast("int").alias("left_id"), F.lit(None).cast("int").alias("right_id"),
         F.lit(False).alias("approximate"), F.col("budget").cast("long").alias("budget"), F.col("slots").cast("long").alias("slots"),
     )
-    # The leaves are already frontiers, possibly large ones; only binning is left to do there.
-    levels = [cut(_frontier(leaves, limit))]
+    levels = [cut(_frontier(_thinned(leaves, limit), limit))]
     deepest = levels[0].agg(F.max("slots")).first()[0] or 1
     while deepest > 1:
         levels.append(cut(_merge(levels[-1], limit)))

@@ -12,6 +12,7 @@ from ratelens.functions.rate import predicted_bytes
 from ratelens.operators.frames import rolling_means
 from ratelens.operators.intervals import largest_gap
 from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, ROWS_PER_CHUNK, frame_chunks, ordered, value_chunk
+from ratelens.session import cut
 
 
 def verify_holdouts(selection: DataFrame, holdout_trials: DataFrame, *, source: str = "source_id") -> tuple[DataFrame, DataFrame]:
@@ -76,7 +77,7 @@ def promote_failed(
     touched = failed.select(source).distinct()
     rows = windows.join(touched, source, "left_semi").join(failed.select(source, "window_id", F.lit(True).alias("_f")), [source, "window_id"], "left")
     lost = (F.col("pool") == "holdout") & F.col("_f").isNotNull()
-    rows = rows.withColumn("_lost", lost).drop("_f")
+    rows = cut(rows.withColumn("_lost", lost).drop("_f"))  # read by every step below
 
     def tagged(reason: str) -> Column:
         return F.array_distinct(F.concat("reasons", F.array(F.lit(reason))))
@@ -92,6 +93,7 @@ def promote_failed(
         occupied.join(blind_lost, source, "left_semi"), [source], totals.join(blind_lost, source, "left_semi"), min_length=sample_sec,
         total=total, rows_per_chunk=rows_per_chunk,
     )
+    gaps = cut(gaps)
     fresh = gaps.filter(F.col("gap_sec").isNotNull()).select(
         source, F.lit(f"holdout:unscouted:{refinement_round}").alias("window_id"), F.lit("holdout").alias("pool"), "start_sec", "duration_sec",
         F.array(F.lit("unscouted_validation"), F.lit("fresh_gap_holdout")).alias("reasons"), F.lit(None).cast("string").alias("scout_id"),
