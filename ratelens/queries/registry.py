@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("scalars", "ingest", "frames", "ranking", "selecting")
+_MODULES = ("scalars", "ingest", "frames", "ranking", "selecting", "planning", "reporting")
 
 
 class Inputs:

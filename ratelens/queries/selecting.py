@@ -336,7 +336,7 @@ def picks(t):
 
 @query(
     "q12_relax_target",
-    f"""WITH {_COMBOS_SQL}, f AS (SELECT c.*, budget, low_mean >= 86 AND low_worst >= 82 AND mean >= 90 AS good, least(mean, low_mean + 4, low_worst + 8) AS top FROM c JOIN bud ON bud.title_id = c.title_id),
+    f"""WITH {_COMBOS_SQL}, f AS (SELECT c.*, CAST(trunc(budget * (30 + c.title_id % 40) / 100) AS BIGINT) AS budget, low_mean >= 86 AND low_worst >= 82 AND mean >= 90 AS good, least(mean, low_mean + 4, low_worst + 8) AS top FROM c JOIN bud ON bud.title_id = c.title_id),
     g AS (SELECT title_id, bool_or(good AND bytes <= budget) AS fits, min(bytes) FILTER (WHERE good) AS need, max(top) FILTER (WHERE bytes <= budget) AS top FROM f GROUP BY 1)
     SELECT n.title_id, CASE WHEN need IS NULL THEN 'quality_unreachable' ELSE 'size_blocked' END AS failure_kind,
       CASE WHEN need IS NOT NULL THEN round(greatest(0.001::DOUBLE, ceil((need + 1000) / 0.98::DOUBLE) / 1e6), 9) END AS required_ratio,
@@ -345,7 +345,7 @@ def picks(t):
 )
 def relax(t):
     titles = _titles(t).selectExpr(
-        "title_id", "target", "CAST(budget AS BIGINT) AS budget", "CAST(1000 AS BIGINT) AS audio_bytes", "CAST(1000 AS BIGINT) AS max_output_bytes", "CAST(1000000 AS BIGINT) AS source_bytes"
+        "title_id", "target", "CAST(budget * (30 + title_id % 40) / 100 AS BIGINT) AS budget", "CAST(1000 AS BIGINT) AS audio_bytes", "CAST(1000 AS BIGINT) AS max_output_bytes", "CAST(1000000 AS BIGINT) AS source_bytes"
     )
     out = allocation.relax_target(t.shot_candidates, titles, state_limit=2048)
     return out.withColumn("required_ratio", F.round("required_ratio", 9))

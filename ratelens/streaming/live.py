@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ratelens.operators.reports import estimated_savings, queue_metrics
-from ratelens.sources.manifest import latest_records
 
 # Which event states mean which item status. Other states change nothing.
 STATUS_BY_STATE = {
@@ -111,10 +110,11 @@ def upsert_state(spark: SparkSession, path: str, changed: DataFrame, *, item: st
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         touched = F.broadcast(rows.select("bucket").distinct())  # at most `buckets` values
-        rows = spark.read.parquet(path).join(touched, "bucket", "left_semi").unionByName(rows, allowMissingColumns=True)
-    merged = latest_records(rows, item, "last_seq")
+        # A changed row carries the item's whole state, so it replaces the stored one.
+        old = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(rows.select(item), item, "left_anti")
+        rows = old.unionByName(rows, allowMissingColumns=True)
     (
-        merged.repartition("bucket")
+        rows.repartition("bucket")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
 
