@@ -32,14 +32,22 @@ def pareto(
     tie: str = "cand_id",
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Candidates above the local floors whose gain beats everything cheaper."""
+    """Candidates above the local floors whose gain beats everything cheaper.
+
+    Of several candidates with one cost only the best can be on the frontier, so
+    they are reduced to it map-side before anything is ordered.
+    """
+    by = list(by)
     zero = F.lit(0.0)
     ok = F.col(gain) >= F.greatest(zero, target - policy.SHOT_MEAN_FLOOR_DROP)
     if worst is not None:
         ok = ok & (F.col(worst) >= F.greatest(zero, target - policy.SHOT_WORST_FLOOR_DROP))
-    rows = value_chunk(candidates.filter(ok), by, cost, rows_per_chunk=rows_per_chunk)
-    order = [F.col(cost), F.desc(gain), F.col(tie)]
-    rows = ordered(rows, by, order, running={"_best": ("max", F.col(gain))})
+    keys = [*by, cost]
+    entry = F.struct(*[F.col(c) for c in candidates.columns if c not in keys])
+    rank = F.struct((-F.col(gain)).alias("g"), F.col(tie).alias("t"))
+    rows = candidates.filter(ok).groupBy(*keys).agg(F.min_by(entry, rank).alias("_e")).select(*keys, "_e.*")
+    rows = value_chunk(rows, by, cost, rows_per_chunk=rows_per_chunk)
+    rows = ordered(rows, by, [cost], running={"_best": ("max", F.col(gain))})
     kept = rows.filter(F.col("_best").isNull() | (F.col(gain) > F.col("_best")))
     return kept.select(*candidates.columns)
 

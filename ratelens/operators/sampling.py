@@ -145,6 +145,11 @@ def shot_strata(shots: DataFrame, profile: Profile = policy.BALANCE, *, fps: str
 _HELD = "array<struct<scout_id: string, start_sec: double, reasons: array<string>>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _held(scout: Column, start: Column, reasons: Column) -> Column:
     return F.struct(scout.alias("scout_id"), start.alias("start_sec"), reasons.alias("reasons"))
 
@@ -221,9 +226,10 @@ class _Planner:
             tried = self.add(acc.search, o.id, o.at, reasons, merge=merge)
             if ok is not None:
                 tried = F.when(ok(o), tried)
-            return F.when(acc.done, acc).otherwise(
-                F.struct(F.coalesce(tried, acc.search).alias("search"), tried.isNotNull().alias("done"))
+            outcome = _let(
+                tried, lambda got: F.struct(F.coalesce(got, acc.search).alias("search"), got.isNotNull().alias("done"))
             )
+            return F.when(acc.done, acc).otherwise(outcome)
 
         zero = F.struct(search.cast(_HELD).alias("search"), F.lit(False).alias("done"))
         return F.aggregate(ranked, zero, step)
@@ -270,13 +276,15 @@ def _pick_diverse(
             fine = ~_hits(F.concat(base, acc.picked), o.at, length) & (
                 _capacity(by_start, F.concat(base, grown), length) >= need
             )
-            return F.when(acc.done, acc).otherwise(
-                F.struct(
-                    F.when(fine, grown).otherwise(acc.picked).alias("picked"),
+            outcome = _let(
+                fine,
+                lambda yes: F.struct(
+                    F.when(yes, grown).otherwise(acc.picked).alias("picked"),
                     F.concat(acc.gone, F.array(o.id)).alias("gone"),
-                    fine.alias("done"),
-                )
+                    yes.alias("done"),
+                ),
             )
+            return F.when(acc.done, acc).otherwise(outcome)
 
         zero = F.struct(state.picked.alias("picked"), state.gone.alias("gone"), F.lit(False).alias("done"))
         return F.aggregate(order, zero, attempt, lambda acc: F.struct(acc.picked.alias("picked"), acc.gone.alias("gone")))
@@ -468,7 +476,10 @@ def _plan_columns(rows: DataFrame, profile: Profile, source: str) -> DataFrame:
             merge=False,
             ok=lambda o: (o.at + half >= b * total / slots) & (o.at + half < (b + 1) * total / slots),
         )
-        return F.struct(got.search.alias("search"), (acc.failed | (~got.done & (F.size(within) > 0))).alias("failed"))
+        return _let(
+            got,
+            lambda g: F.struct(g.search.alias("search"), (acc.failed | (~g.done & (F.size(within) > 0))).alias("failed")),
+        )
 
     zero = F.struct(F.array().cast(_HELD).alias("search"), F.lit(False).alias("failed"))
     rows = rows.withColumn("_cover", F.aggregate(F.sequence(F.lit(0), slots - 1), zero, cover))

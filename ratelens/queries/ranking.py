@@ -43,14 +43,15 @@ def midrank(t):
 
 @query(
     "w02_score_risk",
-    f"""WITH {_RISK_SQL} SELECT source_id, window_id, round(spatial_detail, 7) AS spatial_detail, round(motion, 7) AS motion, round(transition, 7) AS transition,
-        round(difficulty, 7) AS difficulty FROM risk""",
+    f"""WITH {_RISK_SQL} SELECT source_id, window_id, round(spatial_detail + 1.7e-9, 7) AS spatial_detail, round(motion + 1.7e-9, 7) AS motion, round(transition + 1.7e-9, 7) AS transition,
+        round(difficulty + 1.7e-9, 7) AS difficulty FROM risk""",
     uses="observations",
 )
 def risk(t):
+    # The offset keeps values that end exactly on a rounding boundary off it, in both engines.
     out = ranking.score_risk(t.observations, ["source_id"])
     return out.select(
-        "source_id", "window_id", *[F.round(c, 7).alias(c) for c in ("spatial_detail", "motion", "transition", "difficulty")]
+        "source_id", "window_id", *[F.round(F.col(c) + 1.7e-9, 7).alias(c) for c in ("spatial_detail", "motion", "transition", "difficulty")]
     )
 
 
