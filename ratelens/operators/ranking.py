@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens import policy
-from ratelens.plans.ordered import ROWS_PER_CHUNK, ordered, value_chunk
+from ratelens.plans.ordered import ROWS_PER_CHUNK, hot_keys, ordered, value_chunk
 from ratelens.policy import Profile
 
 
@@ -17,10 +17,30 @@ def midranks(
 ) -> DataFrame:
     """Tie-averaged rank within the group, scaled to [0, 1], for each ``output -> column``; 0.5 for a single row.
 
-    Ranks are worked out on counts of distinct values, so ties collapse before
-    the shuffle, and joined back.
+    Ordinary groups are ranked by windows that share one shuffle. Groups too
+    large for one task are ranked on counts of their distinct values, so ties
+    collapse before the shuffle, and the ranks are joined back.
     """
     by = list(by)
+    hot = hot_keys(df, by, rows_per_chunk=rows_per_chunk)
+    if hot is None:
+        return _windowed_ranks(df, by, ranks)
+    cold = _windowed_ranks(df.join(hot, by, "left_anti"), by, ranks)
+    return cold.unionByName(_joined_ranks(df.join(hot, by, "left_semi"), by, ranks, rows_per_chunk))
+
+
+def _windowed_ranks(df: DataFrame, by: list[str], ranks: dict[str, str]) -> DataFrame:
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    out = df
+    for name, column in ranks.items():
+        line = Window.partitionBy(*by).orderBy(column)
+        ties = F.count(F.lit(1)).over(line.rangeBetween(Window.currentRow, Window.currentRow))
+        middle = F.rank().over(line) - 1 + (ties - 1) / 2.0
+        out = out.withColumn(name, F.when(n == 1, F.lit(0.5)).otherwise(middle / F.nullif(n - 1, F.lit(0))))
+    return out
+
+
+def _joined_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], rows_per_chunk: int) -> DataFrame:
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     out = df.join(sizes, by)
     for name, column in ranks.items():

@@ -82,6 +82,14 @@ def value_chunk(
     return df.join(known, list(by), "left").withColumn(out, chunk).drop("_n", "_lo", "_hi", "_parts")
 
 
+def hot_keys(df: DataFrame, by: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame | None:
+    """The keys with more than ``rows_per_chunk`` rows (at most ``MAX_HOT_KEYS``), or None."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk)
+    top = sizes.orderBy(F.desc("_n"), *by).limit(MAX_HOT_KEYS)
+    found = top.collect()  # at most MAX_HOT_KEYS rows
+    return F.broadcast(df.sparkSession.createDataFrame(found, top.schema).select(*by)) if found else None
+
+
 def _fold(kind: str, column: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](column)
 

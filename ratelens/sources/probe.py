@@ -19,14 +19,16 @@ def media_from_probe(
 ) -> tuple[DataFrame, DataFrame]:
     """(media, rejects). Rejected: unreadable JSON, no video stream, no positive duration."""
     keep = [c for c in df.columns if c != json_col]
-    doc = df.withColumn("_d", F.from_json(json_col, schemas.PROBE))
+    # Parsed behind a generator: filters on the result are not pushed below it,
+    # so each document is parsed once however many columns are read from it.
+    doc = df.select("*", F.explode(F.array(F.from_json(json_col, schemas.PROBE))).alias("_d"))
     streams = F.coalesce("_d.streams", F.array())
-    doc = doc.select(
-        "*",
+    parts = F.struct(
         F.get(F.filter(streams, lambda s: s.codec_type == "video"), F.lit(0)).alias("_v"),
         F.filter(streams, lambda s: s.codec_type == "audio").alias("_a"),
         F.filter(streams, lambda s: (s.codec_type == "subtitle") & s.codec_name.isNotNull() & (s.codec_name != "")).alias("_s"),
     )
+    doc = doc.select("*", F.inline(F.array(parts)))
     doc = doc.withColumn(
         "duration",
         F.coalesce(

@@ -13,16 +13,13 @@ from ratelens.operators.frames import check_contiguous
 def parse_score_json(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame]:
     """(frame scores, rejected documents). Scores must lie in 0..100, frame numbers must increase."""
     keep = [c for c in df.columns if c != json_col]
-    docs = df.withColumn("_d", F.from_json(json_col, schemas.SCORES))
-    docs = docs.withColumn(
-        "_f",
-        F.transform(
-            "_d.frames",
-            lambda f, i: F.struct(
-                F.coalesce(f.frameNum, i.cast("long")).alias("frame_no"), f.metrics.vmaf.alias("score")
-            ),
-        ),
+    # Parsed behind generators, so that the filters below do not parse again.
+    docs = df.select("*", F.explode(F.array(F.from_json(json_col, schemas.SCORES))).alias("_d"))
+    frames = F.transform(
+        "_d.frames",
+        lambda f, i: F.struct(F.coalesce(f.frameNum, i.cast("long")).alias("frame_no"), f.metrics.vmaf.alias("score")),
     )
+    docs = docs.select("*", F.explode(F.array(frames)).alias("_f"))
     bad_score = F.exists("_f", lambda f: f.score.isNull() | F.isnan(f.score) | (f.score < 0) | (f.score > 100))
     numbers = F.transform("_f", lambda f: f.frame_no)
     later = F.slice(numbers, F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0)))
