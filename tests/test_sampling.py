@@ -127,7 +127,7 @@ def test_alignment_and_guard_against_one_by_one(spark):
 
 def _scored(spark, sources, seed):
     grid = sampling.scout_grid(sources).filter("pool = 'scout'")
-    n = F.regexp_extract("window_id", "([0-9]+)", 1).cast("int") + seed
+    n = F.regexp_extract("window_id", "([0-9]+)", 1).try_cast("int") + seed
     rows = grid.select("source_id", "window_id", "start_sec", "duration_sec", (n * 17 % 130).cast("double").alias("si_p90"),
                        (n * 13 % 70).cast("double").alias("ti_p90"), (n * 7 % 16).cast("double").alias("max_scene_score"))
     return ranking.score_risk(rows.withColumn("cut_count", (F.col("max_scene_score") >= 10).cast("int")), ["source_id"])
