@@ -136,10 +136,11 @@ def _slots(shots: DataFrame, rows_per_chunk: int) -> DataFrame:
     return rows.select("title_id", "shot_idx", "frames", "slot").join(sizes, "title_id")
 
 
-def _levels(candidates: DataFrame, titles: DataFrame, limit: int, rows_per_chunk: int) -> list[DataFrame]:
+def _levels(candidates: DataFrame, titles: DataFrame, limit: int, rows_per_chunk: int, deepest: int) -> list[DataFrame]:
     """All merge levels, leaves first; the last one has one slot per title.
 
-    ``candidates`` carry slot, slots, frames; ``titles`` target and budget.
+    ``candidates`` carry slot, slots, frames; ``titles`` target and budget;
+    ``deepest`` is the largest shot count of a title.
     """
     if limit < 3:
         raise ValueError("state_limit must be at least 3")
@@ -151,7 +152,6 @@ def _levels(candidates: DataFrame, titles: DataFrame, limit: int, rows_per_chunk
         F.lit(False).alias("approximate"), F.col("budget").cast("long").alias("budget"), F.col("slots").cast("long").alias("slots"),
     )
     levels = [cut(_frontier(_thinned(leaves, limit), limit))]
-    deepest = levels[0].agg(F.max("slots")).first()[0] or 1
     while deepest > 1:
         levels.append(cut(_merge(levels[-1], limit)))
         deepest = (deepest + 1) // 2
@@ -188,18 +188,17 @@ def allocate_budget(
     """
     slots = cut(_slots(candidates, rows_per_chunk))
     rows = candidates.drop("frames").join(slots.select("title_id", "shot_idx", "slot", "slots", "frames"), ["title_id", "shot_idx"])
-    levels = _levels(rows, titles, state_limit, rows_per_chunk)
+    levels = _levels(rows, titles, state_limit, rows_per_chunk, _depth(slots))
     frames = slots.select("title_id", "total_frames").distinct()
-    chosen = cut(_choose(_roots(levels), titles, frames, maximize_quality))
+    chosen = cut(_choose(levels[-1], titles, frames, maximize_quality))
     out = chosen.select(
         "title_id", F.col("size").alias("video_bytes"), "mean_vmaf", "approximate"
     )
     return out, _trace(levels, chosen, slots)
 
 
-def _roots(levels: list[DataFrame]) -> DataFrame:
-    """A title is done at the first level where one slot is left, and passes through unchanged after it."""
-    return levels[-1]
+def _depth(slots: DataFrame) -> int:
+    return slots.agg(F.max("slots")).first()[0] or 1
 
 
 def _trace(levels: list[DataFrame], chosen: DataFrame, slots: DataFrame) -> DataFrame:
@@ -222,35 +221,51 @@ def relax_target(
     """For titles that do not fit: how large they would be, and the highest lower target that fits.
 
     ``titles``: ``title_id, target, budget, audio_bytes, max_output_bytes,
-    source_bytes``. The target is found by ten bisection steps on a 0.1 grid,
-    each step taken by all open titles at once. Titles that fit have no row.
+    source_bytes``. Targets lie on a 0.1 grid below the title's own. A lower
+    target only loosens the floors, so whatever fits a target fits all below it,
+    and the grid is searched six-fold: each round tries five targets of every
+    open title at once, four rounds for a thousand steps. Titles that fit have
+    no row.
     """
     slots = cut(_slots(candidates, rows_per_chunk))
+    depth = _depth(slots)
     rows = cut(candidates.drop("frames").join(slots.select("title_id", "shot_idx", "slot", "slots", "frames"), ["title_id", "shot_idx"]))
     frames = cut(slots.select("title_id", "total_frames").distinct())
 
     def solve(asked: DataFrame) -> DataFrame:
-        some = rows.join(asked.select("title_id"), "title_id", "left_semi")
-        return _choose(_roots(_levels(some, asked, state_limit, rows_per_chunk)), asked, frames, False)
-
-    known = titles.join(frames.select("title_id"), "title_id", "left_semi")
+        """``asked``: ``title_id, probe, target, budget``; the feasible ones with their smallest size."""
+        key = F.struct("title_id", "probe").alias("title_id")
+        probes = asked.select(key, "target", "budget")
+        part = asked.select("title_id", "probe").join(rows, "title_id")
+        part = part.select(key, *[F.col(c) for c in rows.columns if c != "title_id"])
+        total = asked.select("title_id", "probe").join(frames, "title_id").select(key, "total_frames")
+        best = _choose(_levels(part, probes, state_limit, rows_per_chunk, depth)[-1], probes, total, False)
+        return best.select("title_id.title_id", "title_id.probe", "size")
+
+    known = titles.join(frames.select("title_id"), "title_id", "left_semi").withColumn("probe", F.lit(0))
     open_ = cut(known.join(solve(known).select("title_id"), "title_id", "left_anti"))
-    required = cut(solve(open_.withColumn("budget", F.lit(None).cast("long"))).select("title_id", F.col("size").alias("_need")))
+    unlimited = open_.withColumn("budget", F.lit(None).cast("long"))
+    required = cut(solve(unlimited).select("title_id", F.col("size").alias("_need")))
     blocked = open_.join(required.select("title_id"), "title_id", "left_semi")
-    search = cut(blocked.select("title_id", "budget", F.lit(0.0).alias("_low"), F.col("target").cast("double").alias("_high"), F.lit(None).cast("double").alias("relaxed_target")))
-    for _ in range(10):
-        asked = search.withColumn("target", F.floor((F.col("_low") + F.col("_high")) * 5) / 10)
-        fits = solve(asked).select("title_id", F.lit(True).alias("_fits"))
-        step = asked.join(fits, "title_id", "left")
-        yes = F.col("_fits").isNotNull()
+    # _fits: highest step known to fit (-1: none); _over: lowest step known not to.
+    search = cut(blocked.select("title_id", "budget", F.lit(-1).alias("_fits"), F.ceil(F.col("target") * 10).cast("int").alias("_over")))
+    while not search.filter("_over - _fits > 1").isEmpty():
+        span = F.col("_over") - F.col("_fits")
+        steps = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("_fits") + F.ceil(span * i / 6).cast("int"))
+        steps = F.filter(F.array_distinct(steps), lambda p: p < F.col("_over"))
+        asked = cut(search.filter("_over - _fits > 1").select("title_id", "budget", F.explode(steps).alias("probe")))
+        asked = asked.withColumn("target", F.col("probe") / 10)
+        tried = asked.join(solve(asked).select("title_id", "probe", F.lit(True).alias("_ok")), ["title_id", "probe"], "left")
+        ends = tried.groupBy("title_id").agg(
+            F.max(F.when(F.col("_ok"), F.col("probe"))).alias("_f"), F.min(F.when(F.col("_ok").isNull(), F.col("probe"))).alias("_o")
+        )
         search = cut(
-            step.select(
-                "title_id", "budget", F.when(yes, F.col("target")).otherwise(F.col("_low")).alias("_low"),
-                F.when(yes, F.col("_high")).otherwise(F.col("target")).alias("_high"),
-                F.when(yes, F.col("target")).otherwise(F.col("relaxed_target")).alias("relaxed_target"),
+            search.join(ends, "title_id", "left").select(
+                "title_id", "budget", F.coalesce("_f", "_fits").alias("_fits"), F.coalesce("_o", "_over").alias("_over")
             )
         )
-    out = open_.join(required, "title_id", "left").join(search.select("title_id", "relaxed_target"), "title_id", "left")
+    found = search.select("title_id", F.when(F.col("_fits") >= 0, F.col("_fits") / 10).alias("relaxed_target"))
+    out = open_.join(required, "title_id", "left").join(found, "title_id", "left")
     full = F.ceil((F.col("_need") + F.col("audio_bytes")) / policy.CONTAINER_FACTOR) / F.col("source_bytes")
     ratio = F.when(F.col("_need").isNotNull(), F.greatest(F.col("max_output_bytes") / F.col("source_bytes"), full))
     kind = F.when(F.col("_need").isNotNull(), "size_blocked").when(F.col("budget") <= 0, "media_budget_too_small").otherwise("quality_unreachable")

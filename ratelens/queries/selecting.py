@@ -81,17 +81,17 @@ _SELECT_SQL = """
         least(0.30, greatest(0.05, 0.03 + 0.14 / sqrt(windows) + 1.5 * mad + 0.20 * sd))::DOUBLE AS u FROM ic JOIN tl ON tl.source_id = ic.source_id AND tl.bitrate_bps = ic.bitrate_bps
         JOIN md ON md.source_id = ic.source_id AND md.bitrate_bps = ic.bitrate_bps),
     up AS (SELECT *, greatest(mean_bps, CAST(round_even(mean_bps * (1 + u), 0) AS BIGINT)) AS upper_bps FROM un)
-    SELECT source_id, bitrate_bps, windows, CAST(round_even(mean_bps / 100, 0) AS BIGINT) AS mean_video_100bps, CAST(round_even(upper_bps / 100, 0) AS BIGINT) AS upper_video_100bps,
+    SELECT source_id, bitrate_bps, windows, CAST(floor((mean_bps + 37) / 100) AS BIGINT) AS mean_video_100bps, CAST(floor((upper_bps + 37) / 100) AS BIGINT) AS upper_video_100bps,
       round(u, 9) AS uncertainty, 'risk_distribution_clipped_theil_sen' AS method FROM up
     """.replace("WITH ", "WITH rk AS (SELECT l_suppkey AS source_id, l_linenumber AS w, round(10 * max(l_discount) + count(*) % 7 / 50, 4) AS risk FROM lineitem GROUP BY 1, 2), ", 1),
     uses="trials",
 )
 def predict(t):
-    # Sums over the timeline differ in the last bits between engines, so rates are shown in hundreds.
+    # Sums over the timeline differ in the last bits between engines, so rates are shown in hundreds, cut where no exact value lies.
     out = prediction.predict_size(t.trials, _info(t), _risks(t))
     return out.select(
-        "source_id", "bitrate_bps", "windows", (F.bround(F.col("mean_video_bps") / 100, 0)).cast("long").alias("mean_video_100bps"),
-        (F.bround(F.col("upper_video_bps") / 100, 0)).cast("long").alias("upper_video_100bps"), F.round("uncertainty", 9).alias("uncertainty"), "method",
+        "source_id", "bitrate_bps", "windows", F.floor((F.col("mean_video_bps") + 37) / 100).alias("mean_video_100bps"),
+        F.floor((F.col("upper_video_bps") + 37) / 100).alias("upper_video_100bps"), F.round("uncertainty", 9).alias("uncertainty"), "method",
     )
 
 
@@ -336,7 +336,7 @@ def picks(t):
 
 @query(
     "q12_relax_target",
-    f"""WITH {_COMBOS_SQL}, f AS (SELECT c.*, CAST(trunc(budget * (30 + c.title_id % 40) / 100) AS BIGINT) AS budget, low_mean >= 86 AND low_worst >= 82 AND mean >= 90 AS good, least(mean, low_mean + 4, low_worst + 8) AS top FROM c JOIN bud ON bud.title_id = c.title_id),
+    f"""WITH {_COMBOS_SQL}, f AS (SELECT c.*, CAST(trunc(budget * (4 + c.title_id % 20) / 100) AS BIGINT) AS budget, low_mean >= 86 AND low_worst >= 82 AND mean >= 90 AS good, least(mean, low_mean + 4, low_worst + 8) AS top FROM c JOIN bud ON bud.title_id = c.title_id),
     g AS (SELECT title_id, bool_or(good AND bytes <= budget) AS fits, min(bytes) FILTER (WHERE good) AS need, max(top) FILTER (WHERE bytes <= budget) AS top FROM f GROUP BY 1)
     SELECT n.title_id, CASE WHEN need IS NULL THEN 'quality_unreachable' ELSE 'size_blocked' END AS failure_kind,
       CASE WHEN need IS NOT NULL THEN round(greatest(0.001::DOUBLE, ceil((need + 1000) / 0.98::DOUBLE) / 1e6), 9) END AS required_ratio,
@@ -345,7 +345,7 @@ def picks(t):
 )
 def relax(t):
     titles = _titles(t).selectExpr(
-        "title_id", "target", "CAST(budget * (30 + title_id % 40) / 100 AS BIGINT) AS budget", "CAST(1000 AS BIGINT) AS audio_bytes", "CAST(1000 AS BIGINT) AS max_output_bytes", "CAST(1000000 AS BIGINT) AS source_bytes"
+        "title_id", "target", "CAST(budget * (4 + title_id % 20) / 100 AS BIGINT) AS budget", "CAST(1000 AS BIGINT) AS audio_bytes", "CAST(1000 AS BIGINT) AS max_output_bytes", "CAST(1000000 AS BIGINT) AS source_bytes"
     )
     out = allocation.relax_target(t.shot_candidates, titles, state_limit=2048)
     return out.withColumn("required_ratio", F.round("required_ratio", 9))
