@@ -73,7 +73,7 @@ _SELECT_SQL = """
         FROM trials t JOIN rk ON rk.source_id = t.source_id AND rk.w = t.window_id),
     pr AS (SELECT a.source_id, a.bitrate_bps, median((b.y - a.y) / (b.x - a.x)) AS m FROM x a JOIN x b ON a.source_id = b.source_id AND a.bitrate_bps = b.bitrate_bps AND a.window_id < b.window_id
         AND abs(b.x - a.x) > 1e-9 GROUP BY 1, 2),
-    sl AS (SELECT x.*, coalesce(least(0.75, greatest(-0.75, m)), 0)::DOUBLE AS s FROM x LEFT JOIN pr ON pr.source_id = x.source_id AND pr.bitrate_bps = x.bitrate_bps),
+    sl AS (SELECT x.*, (CASE WHEN m IS NULL THEN 0 ELSE least(0.75, greatest(-0.75, m)) END)::DOUBLE AS s FROM x LEFT JOIN pr ON pr.source_id = x.source_id AND pr.bitrate_bps = x.bitrate_bps),
     ic AS (SELECT source_id, bitrate_bps, count(*)::INTEGER AS windows, max(s) AS s, median(y - s * x) AS i FROM sl GROUP BY 1, 2),
     tl AS (SELECT ic.source_id, ic.bitrate_bps, avg(least(4, greatest(0.0001, i + s * risk))) AS c, stddev_pop(risk) AS sd FROM ic JOIN rk ON rk.source_id = ic.source_id GROUP BY 1, 2),
     md AS (SELECT x.source_id, x.bitrate_bps, median(abs(y - least(4, greatest(0.0001, i + s * x)))) AS mad FROM x JOIN ic ON ic.source_id = x.source_id AND ic.bitrate_bps = x.bitrate_bps GROUP BY 1, 2),
@@ -83,7 +83,7 @@ _SELECT_SQL = """
     up AS (SELECT *, greatest(mean_bps, CAST(round_even(mean_bps * (1 + u), 0) AS BIGINT)) AS upper_bps FROM un)
     SELECT source_id, bitrate_bps, windows, CAST(floor((mean_bps + 37) / 100) AS BIGINT) AS mean_video_100bps, CAST(floor((upper_bps + 37) / 100) AS BIGINT) AS upper_video_100bps,
       round(u, 9) AS uncertainty, 'risk_distribution_clipped_theil_sen' AS method FROM up
-    """.replace("WITH ", "WITH rk AS (SELECT l_suppkey AS source_id, l_linenumber AS w, round(10 * max(l_discount) + count(*) % 7 / 50, 4) AS risk FROM lineitem GROUP BY 1, 2), ", 1),
+    """.replace("WITH ", "WITH rk AS (SELECT l_suppkey AS source_id, l_linenumber AS w, round(10 * max(l_discount) + count(*) % 7 / 50 + l_linenumber * 0.0137131::DOUBLE, 9) AS risk FROM lineitem GROUP BY 1, 2), ", 1),
     uses="trials",
 )
 def predict(t):
@@ -97,7 +97,7 @@ def predict(t):
 
 def _risks(t):
     return table(t.spark, t.sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("window_id")).agg(
-        F.round(10 * F.max("l_discount") + F.count(F.lit(1)) % 7 / 50, 4).alias("risk")
+        F.round(10 * F.max("l_discount") + F.count(F.lit(1)) % 7 / 50 + F.col("window_id") * 0.0137131, 9).alias("risk")
     )
 
 
