@@ -12,7 +12,7 @@ from ratelens.functions.rate import predicted_bytes
 from ratelens.operators.frames import rolling_means
 from ratelens.operators.intervals import largest_gap
 from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, ROWS_PER_CHUNK, frame_chunks, ordered, value_chunk
-from ratelens.session import cut
+from ratelens.session import cut, spill
 
 
 def verify_holdouts(selection: DataFrame, holdout_trials: DataFrame, *, source: str = "source_id") -> tuple[DataFrame, DataFrame]:
@@ -181,6 +181,7 @@ def final_gate(
     target but no shot fails its floors, the shot with the largest
     frame-weighted deficit fails. Adds the clip's mean as ``clip_mean``.
     """
+    shots = cut(shots)  # small, and read by every step
     second = F.greatest(F.lit(1), F.ceil("fps"))
     clips = frame_scores.groupBy(clip).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("score").alias("clip_mean"), F.max(second).cast("long").alias("_sec")
@@ -197,6 +198,8 @@ def final_gate(
         clip, "frame_no", "score", "_second", F.coalesce("shot_idx", "_shot").alias("shot_idx"),
         (F.col("frame_no") - F.coalesce("_start", "_from")).alias("_pos"),
     )
+    rows = spill(rows, "gate-frames")  # one ordered pass over the frames, read four times below
+    clips = cut(clips)
     keys = [clip, "shot_idx"]
     inside = rolling_means(rows, keys, "_pos", "score", F.col("_second"), frames_per_chunk=frames_per_chunk, bounded=bounded or None)
     per_shot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.avg("score").alias("mean_vmaf"))

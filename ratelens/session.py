@@ -43,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spill(df: DataFrame, name: str = "spill") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it from there.
+
+    For frame-sized results that several later steps read: each of them then
+    scans only its own columns instead of repeating the shuffle behind ``df``.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
