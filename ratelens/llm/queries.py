@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelens.llm.credentials import credential_spans
+from ratelens.llm.language import subtitle_language
+from ratelens.llm.leakage import passage_leaks
+from ratelens.llm.licenses import license_scan
+from ratelens.llm.mixing import mix_families
 from ratelens.llm.near_logs import near_copies
+from ratelens.llm.nearest_windows import top_windows
+from ratelens.llm.quality import clip_quality
+from ratelens.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +43,194 @@ def op1_near_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(logs, words=2).withColumnRenamed("item_id", "doc_id")
 
 
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS t FROM (
+    SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)
+), runs AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS t FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), hit AS (
+  SELECT DISTINCT doc_id, item_id, i, runs.n FROM runs JOIN win USING (n, t)
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@_query("op3_passage_leaks", _OP3_SQL)
+def op3_passage_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as logs, benchmark items as evaluation cases; exact windows of ten words."""
+    logs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("log"))
+    cases = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
+    found = passage_leaks(logs, cases, window=10)
+    return found.select(
+        F.col("item_id").alias("doc_id"), "n_words", "n_hit", F.size("cases").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "cases"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query("op4_top_windows", _OP4_SQL)
+def op4_top_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as windows' feature vectors; every fiftieth one is a query."""
+    windows = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("window_id"), F.col("embedding").alias("features")
+    )
+    return top_windows(windows, windows.where("window_id % 50 = 0")).withColumnRenamed("window_id", "vec_id")
+
+
+_OP5_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+), src AS (
+  SELECT *, 1 + CAST(place % 3 AS BIGINT) AS w FROM (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+      row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM sized GROUP BY source)
+), filling AS (
+  SELECT *, 3 * source_size AS most,
+    coalesce(sum(3 * source_size) OVER o, 0)::DOUBLE AS capped, coalesce(sum(w) OVER o, 0)::DOUBLE AS gone,
+    (SELECT sum(source_size) FROM src)::DOUBLE AS total, (SELECT sum(w) FROM src)::DOUBLE AS ws
+  FROM src WINDOW o AS (ORDER BY (3 * source_size)::DOUBLE / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), lev AS (
+  SELECT min_by((total - capped) / (ws - gone), gone) AS level FROM filling
+  WHERE most >= (total - capped) / (ws - gone) * w
+), target AS (
+  SELECT src.*, least((3 * source_size)::DOUBLE, w * (SELECT coalesce(level, 0) FROM lev)) AS target FROM src
+), house AS (
+  SELECT total, block, (total + block // 2) // block AS seats FROM (
+    SELECT total, greatest(1, (total + 1048575) // 1048576) AS block FROM (
+      SELECT CAST(coalesce(sum(source_size), 0) AS BIGINT) AS total FROM src))
+), won AS (
+  SELECT place, count(*) AS quota FROM (
+    SELECT place, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, place) AS r FROM (
+      SELECT place, target,
+        unnest(range(0, CAST(ceil(seats * target / (SELECT sum(target) FROM target) * 1.1) AS BIGINT) + 10)) AS s
+      FROM target, house WHERE target > 0)) WHERE r <= (SELECT seats FROM house) GROUP BY place
+), plan AS (
+  SELECT target.*, least(coalesce(quota, 0) * (SELECT block FROM house), 3 * source_size) AS words
+  FROM target LEFT JOIN won USING (place)
+), laid AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source
+      ORDER BY md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))), doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized
+)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE
+    words // source_size * size + greatest(0, least(size, words % source_size - start)) END AS BIGINT) AS taken
+FROM laid JOIN plan ON laid.source IS NOT DISTINCT FROM plan.source
+"""
+
+
+@_query("op5_mix_families", _OP5_SQL)
+def op5_mix_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as logs, their sources as families."""
+    logs = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.col("source").alias("family"), F.col("text").alias("log")
+    )
+    return mix_families(logs).select(
+        F.col("item_id").alias("doc_id"), "size", F.col("family_size").alias("source_size"), "target", "taken"
+    )
+
+
+def _held_out(column: str):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+
+
+@_query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as texts; the model learns from labelled ones that are not held out."""
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), "toxic")
+    model = fit_toxicity(texts, marks.where(~_held_out("item_id")))
+    scored = score_toxicity(texts, model).withColumnRenamed("item_id", "doc_id")
+    return scored.select(
+        "doc_id", F.coalesce(_held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@_query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the folders source/lang/(64 documents); the first of a folder is its licence file."""
+    name = F.when(F.col("doc_id") % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.expr("doc_id DIV 64").cast("string"))
+    documents = _table(spark, sf_dir, "documents")
+    files = documents.select("doc_id", F.concat_ws("/", folder, name).alias("path"), F.col("text").alias("content"))
+    found = license_scan(files).dropDuplicates(["path"])
+    return files.select("doc_id", "path").join(found, "path")
+
+
+@_query("op8_subtitle_language")
+def op8_subtitle_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sidecar subtitles; languages are learned from those that are not held out."""
+    subtitles = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("subtitle_id"), F.col("text").alias("subtitle"), "lang"
+    )
+    known = subtitles.where(~_held_out("subtitle_id"))
+    found = subtitle_language(subtitles.drop("lang"), known).withColumnRenamed("subtitle_id", "doc_id")
+    return found.withColumn("held_out", F.coalesce(_held_out("doc_id"), F.lit(False)))
+
+
+@_query("op9_clip_quality")
+def op9_clip_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as logs, sources as roots, languages as folders; marks of documents that are not held out."""
+    logs = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.col("text").alias("log"), F.col("source").alias("root"), F.col("lang").alias("dir")
+    )
+    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("good"))
+    found = clip_quality(logs, marks.where(~_held_out("item_id"))).withColumnRenamed("item_id", "doc_id")
+    return found.withColumn("held_out", F.coalesce(_held_out("doc_id"), F.lit(False)))
+
+
+@_query("op10_credentials")
+def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tool logs."""
+    logs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("log"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "format")
+
+    def joined(some):
+        return F.array_join(
+            F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return credential_spans(logs).select(
+        F.col("item_id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"),
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return dict(QUERIES)
 

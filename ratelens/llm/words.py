@@ -8,7 +8,7 @@ bytes alone, so every executor and every run sees the same value.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +97,11 @@ def _long_word(values: np.ndarray) -> np.ndarray:
     return np.array([total], np.uint64)
 
 
-def hash_words(column: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): text ``i`` has the words ``hashes[bounds[i]:bounds[i + 1]]``, in order, A-Z folded."""
+def hash_words(column: pa.Array, kind: np.ndarray, lead: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): text ``i`` has the words ``hashes[bounds[i]:bounds[i + 1]]``, in order, A-Z folded.
+
+    With ``lead``, only the first ``lead`` bytes of each word are hashed.
+    """
     data, offsets = buffers(column)
     is_start = np.zeros(len(data) + 1, dtype=bool)
     is_start[offsets[:-1]] = True
@@ -115,6 +118,8 @@ def hash_words(column: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarr
         last = word.copy()
         last[:-1] &= ~word[1:] | first[1:]
         ends = np.flatnonzero(last)
+        if lead:
+            ends = np.minimum(ends, begins + lead - 1)
         values = _BYTE_FOLDED[part]
         if len(part) > PIECE:
             h = np.concatenate([_long_word(values[b : e + 1]) for b, e in zip(begins, ends)])
@@ -141,6 +146,16 @@ def combine(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return _mix(total)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of ``batch`` whose texts in ``column`` have ``most`` bytes together, or one text."""
+    _, offsets = buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def per_batch(run: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]) -> Callable:
     """``run`` as a ``mapInArrow`` function."""
 
