@@ -23,10 +23,10 @@ from ratelens.llm.words import ALNUM, combine, hash_words, slices
 from ratelens.session import spill
 
 #: Marked texts that a model is fitted on, at most about; which ones depends on the id's hash alone.
-SAMPLE = 15_000
+SAMPLE = 12_000
 SLOT_BITS = 20
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.6, 0.5
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 6.0, 0.0
 #: Bytes of a word's leading part, a feature that inflected and compound words share.
 LEAD = 5
 _SLICE = 4 << 20
