@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelens.llm.archives import archive_round_trip
 from ratelens.llm.credentials import credential_spans
 from ratelens.llm.language import subtitle_language
 from ratelens.llm.leakage import passage_leaks
@@ -43,6 +44,29 @@ def op1_near_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(logs, words=2).withColumnRenamed("item_id", "doc_id")
 
 
+_OP2_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first, CAST(unhex(h) AS BIT) AS bits FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + list_sum(list_transform(range(0, 5), lambda j: get_bit(bits, CAST(5 * k + j AS INT)) << (4 - j))) AS INT),
+    1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
+
+@_query("op2_probe_archives", _OP2_SQL)
+def op2_probe_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as probe documents, their URLs as paths."""
+    probes = _table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("source_id"), F.col("url").alias("path"), F.col("html").alias("probe")
+    )
+    return archive_round_trip(probes).drop("record_id").withColumnRenamed("source_id", "page_id")
+
+
 _OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(
