@@ -2,7 +2,7 @@
 
 Per language a suffix automaton of labelled text recognises every string that
 occurs in it. A subtitle is parsed greedily into phrases, each the longest match
-from where the last one ended; text of the automaton's own language has long
+from where the last one ended, or one character that the language lacks; text of the automaton's own language has long
 matches and so few phrases. The language with the fewest phrases per character
 wins.
 
@@ -150,11 +150,11 @@ class Languages:
             for state, count, table in zip(states, counts, self.tables):
                 to = table[state[:n] + symbol]
                 over = to == 0
-                count[:n] += over
+                count[:n] += over | (state[:n] == 0)  # a phrase starts here
                 np.copyto(to, table[symbol], where=over)
                 state[:n] = to
         for k, count in enumerate(counts):
-            totals[:, k] = np.bincount(text, count + 1, len(sizes))
+            totals[:, k] = np.bincount(text, count, len(sizes))
         return letters, totals
 
 
