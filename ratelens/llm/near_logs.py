@@ -252,8 +252,34 @@ def _pool_links(percent: int):
     return run
 
 
-def _blocks(count: str):
-    return F.ceil(F.col(count) / BLOCK).cast("int")
+def _block_pairs(rows: DataFrame, group: str, columns: list[str], alone: bool = False) -> DataFrame:
+    """Rows of groups that hold several parts, dealt to (group, p, q) so that all pairs across parts meet.
+
+    Only rows outside a group's largest part need partners: they are cut into
+    blocks p (side 0), all rows of the group into blocks q (side 1). A group that
+    is one block has side 1 only, unless ``alone`` asks for both.
+    """
+    sizes = rows.groupBy(group, "part").agg(F.count("*").alias("s"))
+    plan = (
+        sizes.groupBy(group)
+        .agg(F.sum("s").alias("all"), F.max(F.struct("s", "part")).alias("largest"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select(
+            group, F.col("largest.part").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nq"),
+            F.ceil((F.col("all") - F.col("largest.s")) / BLOCK).cast("int").alias("np"),
+        )
+    )
+    spread = rows.join(plan, group)
+    own = F.xxhash64("id")
+    right = spread.withColumn("q", F.pmod(own, F.col("nq")).cast("int")).withColumn(
+        "p", F.explode(F.sequence(F.lit(0), F.col("np") - 1))
+    )
+    left = spread.where("part != major" if alone else "part != major AND np * nq > 1").withColumn(
+        "p", F.pmod(own, F.col("np")).cast("int")
+    ).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    return left.select(group, "p", "q", *columns, F.lit(0).alias("side")).unionByName(
+        right.select(group, "p", "q", *columns, F.lit(1).alias("side"))
+    )
 
 
 def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -291,7 +317,7 @@ def near_copies(
     members = spill(
         features.select("id", "n", "d1", "d2")
         .join(copies, ["d1", "d2", "n"], "left")
-        .select("id", "n", F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")).alias("first")),
+        .select("id", "n", F.when(F.expr("n > 0 AND id IS NOT NULL"), F.coalesce("first", "id")).otherwise(F.col("id")).alias("first")),
         "near-members",
     )
     single = known.select("id", "bands", "sketch").join(
@@ -328,17 +354,9 @@ def near_copies(
     links = spill(star, "near-links")
     parted = spill(_parts(sketches, links), "near-parts")
 
-    # Buckets that still hold several parts: sketches, in block pairs where a bucket is large.
-    rows = buckets.select("id", "bucket", "m").join(parted, "id")
-    mixed = rows.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1")
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    paired = (
-        rows.join(mixed.select("bucket"), "bucket")
-        .withColumn("k", _blocks("m"))
-        .withColumn("own", own)
-        .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("bucket", F.least("own", "c").alias("p"), F.greatest("own", "c").alias("q"), "id", "part", "sketch")
-    )
+    # Buckets that still hold several parts: sketches of all but the largest part against all.
+    rows = buckets.select("id", "bucket").join(parted, "id")
+    paired = _block_pairs(rows, "bucket", ["id", "part", "sketch"]).drop("side")
     maybe = spill(
         paired.repartition("bucket", "p", "q")
         .sortWithinPartitions("bucket", "p", "q", "id")
@@ -354,29 +372,8 @@ def near_copies(
         "a", "b",
     ).select(F.col("node").alias("id"), F.col("component").alias("pool"))
     pooled = spill(pools.join(parted.select("id", "part"), "id"), "near-pools")
-    sizes = pooled.groupBy("pool", "part").agg(F.count("*").alias("s"))
-    plan = (
-        sizes.groupBy("pool")
-        .agg(F.sum("s").alias("all"), F.max(F.struct("s", "part")).alias("largest"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select(
-            "pool", F.col("largest.part").alias("major"), _blocks("all").alias("nq"),
-            F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("largest.s")) / BLOCK)).cast("int").alias("np"),
-        )
-    )
-    spread = pooled.join(plan, "pool").join(sets, "id")
-    right = spread.withColumn("q", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).withColumn(
-        "p", F.explode(F.sequence(F.lit(0), F.col("np") - 1))
-    )
-    left = (
-        spread.where("part != major")
-        .withColumn("p", F.pmod(F.xxhash64("id"), F.col("np")).cast("int"))
-        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    )
-    columns = ["pool", "p", "q", "id", "part", "shingles"]
     more = (
-        left.select(*columns, F.lit(0).alias("side"))
-        .unionByName(right.select(*columns, F.lit(1).alias("side")))
+        _block_pairs(pooled.join(sets, "id"), "pool", ["id", "part", "shingles"], alone=True)
         .groupBy("pool", "p", "q")
         .applyInArrow(_pool_links(percent), "a long, b long")
     )
