@@ -103,7 +103,6 @@ BINDINGS = {
             "bytes": "CAST(floor(min(l_extendedprice)) AS BIGINT) * (1 + cand)",
         },
         group_by=("l_suppkey", "l_linenumber", "cand"),
-        where="l_linenumber <= 4",
         helpers={"cand": "CAST(floor(l_quantity / 10) AS INT)"},
     ),
     "results": Binding(

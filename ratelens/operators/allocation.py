@@ -18,7 +18,6 @@ from ratelens import policy
 from ratelens.plans.ordered import ROWS_PER_CHUNK, ordered, value_chunk
 from ratelens.session import cut
 
-STATE_LIMIT = 256
 
 
 def pareto(
@@ -52,18 +51,28 @@ def pareto(
     return kept.select(*candidates.columns)
 
 
-def _frontier(states: DataFrame, limit: int) -> DataFrame:
-    """Prune each (title, slot) to its frontier and bin it when it has more than ``limit`` states.
+def _frontier(states: DataFrame, limit: int | None) -> DataFrame:
+    """Prune each (title, slot) to its frontier, and bin it when it has more than ``limit`` states.
 
-    Groups hold at most limit * limit states (limit + 1 at the leaves), so a plain window is bounded.
-    Along the frontier quality rises with bytes; the first state of a quality bin
-    is therefore its cheapest.
+    Of several states with one size only the best can be on the frontier, so they
+    are reduced to it map-side before anything is ordered. Along the frontier
+    quality rises with bytes; the first state of a quality bin is therefore its
+    cheapest.
     """
     keys = ["title_id", "slot"]
+    entry = F.struct(*[F.col(c) for c in states.columns if c not in (*keys, "size")])
+    rank = F.struct((-F.col("quality")).alias("q"), F.coalesce("left_id", F.lit(-1)).alias("l"), F.coalesce("right_id", F.lit(-1)).alias("r"))
+    best_of_size = F.min_by(entry, rank).alias("_e")
+    spread = F.max("approximate").alias("_a")
+    states = states.groupBy(*keys, "size").agg(best_of_size, spread).select(*keys, "size", "_e.*", "_a").drop("approximate").withColumnRenamed("_a", "approximate")
     by_size = Window.partitionBy(*keys).orderBy("size", F.desc("quality"), "left_id", "right_id")
     whole = Window.partitionBy(*keys)
     best = F.max("quality").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     front = states.withColumn("_best", best).filter(F.col("_best").isNull() | (F.col("quality") > F.col("_best")))
+    if limit is None:
+        return front.select(
+            *keys, F.row_number().over(by_size).alias("state_id"), "size", "quality", "left_id", "right_id", "approximate", "budget", "slots"
+        )
     front = front.select(
         "*",
         F.count(F.lit(1)).over(whole).alias("_n"),
@@ -82,7 +91,7 @@ def _frontier(states: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _merge(level: DataFrame, limit: int) -> DataFrame:
+def _merge(level: DataFrame, limit: int | None) -> DataFrame:
     """Sum neighbouring slots. The last slot of an odd level passes through."""
     lone = (F.col("slot") % 2 == 0) & (F.col("slot") == F.col("slots") - 1)
     parent = F.floor(F.col("slot") / 2).cast("long")
@@ -136,13 +145,13 @@ def _slots(shots: DataFrame, rows_per_chunk: int) -> DataFrame:
     return rows.select("title_id", "shot_idx", "frames", "slot").join(sizes, "title_id")
 
 
-def _levels(candidates: DataFrame, titles: DataFrame, limit: int, rows_per_chunk: int, deepest: int) -> list[DataFrame]:
+def _levels(candidates: DataFrame, titles: DataFrame, limit: int | None, rows_per_chunk: int, deepest: int) -> list[DataFrame]:
     """All merge levels, leaves first; the last one has one slot per title.
 
     ``candidates`` carry slot, slots, frames; ``titles`` target and budget;
     ``deepest`` is the largest shot count of a title.
     """
-    if limit < 3:
+    if limit is not None and limit < 3:
         raise ValueError("state_limit must be at least 3")
     rows = candidates.join(titles.select("title_id", "target", "budget"), "title_id")
     front = pareto(rows, ["title_id", "slot"], F.col("target"), rows_per_chunk=rows_per_chunk)
@@ -151,7 +160,7 @@ def _levels(candidates: DataFrame, titles: DataFrame, limit: int, rows_per_chunk
         F.col("cand_id").cast("int").alias("left_id"), F.lit(None).cast("int").alias("right_id"),
         F.lit(False).alias("approximate"), F.col("budget").cast("long").alias("budget"), F.col("slots").cast("long").alias("slots"),
     )
-    levels = [cut(_frontier(_thinned(leaves, limit), limit))]
+    levels = [cut(_frontier(leaves if limit is None else _thinned(leaves, limit), limit))]
     while deepest > 1:
         levels.append(cut(_merge(levels[-1], limit)))
         deepest = (deepest + 1) // 2
@@ -173,7 +182,7 @@ def allocate_budget(
     candidates: DataFrame,
     titles: DataFrame,
     *,
-    state_limit: int = STATE_LIMIT,
+    state_limit: int | None = None,
     maximize_quality: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
@@ -183,8 +192,9 @@ def allocate_budget(
     worst_1s_vmaf, bytes``. ``titles``: ``title_id, target, budget`` (NULL = no
     limit). Titles without a feasible combination have no row. With
     ``maximize_quality`` the best quality within the budget is chosen instead.
-    ``approximate`` tells that some frontier was longer than ``state_limit`` and
-    was binned; the result is then feasible but maybe not the smallest.
+    Results are exact unless a ``state_limit`` is given (``policy.STATE_LIMITS``
+    has the profiles' values). ``approximate`` then tells that some frontier was
+    longer and was binned; the result is feasible but maybe not the smallest.
     """
     slots = cut(_slots(candidates, rows_per_chunk))
     rows = candidates.drop("frames").join(slots.select("title_id", "shot_idx", "slot", "slots", "frames"), ["title_id", "shot_idx"])
@@ -216,7 +226,7 @@ def _trace(levels: list[DataFrame], chosen: DataFrame, slots: DataFrame) -> Data
 
 
 def relax_target(
-    candidates: DataFrame, titles: DataFrame, *, state_limit: int = STATE_LIMIT, rows_per_chunk: int = ROWS_PER_CHUNK
+    candidates: DataFrame, titles: DataFrame, *, state_limit: int | None = None, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
     """For titles that do not fit: how large they would be, and the highest lower target that fits.
 

@@ -145,8 +145,9 @@ def align_to_cuts(
     """Move each window into the nearest shot that can hold it.
 
     ``windows``: keys, ``window``, ``start_sec``, ``duration_sec``, ``total_sec``
-    and ``reasons``. A window no cut crosses stays. A ``transition_risk`` window
-    is only flagged. Where no shot is long enough the window stays, flagged.
+    and ``reasons``. A window no cut crosses stays. A blind holdout (reason
+    ``unscouted_validation``) is left alone, unflagged. A ``transition_risk``
+    window is only flagged. Where no shot is long enough the window stays, flagged.
     Returns the windows with ``new_start`` and ``crosses_scene_cut``.
 
     Nearest means the smallest move of the window's centre. Candidates are found
@@ -163,7 +164,8 @@ def align_to_cuts(
         .filter((F.col("_c") > epsilon) & (F.col("_c") < F.col("_total") - epsilon))
     )
     inside = cut(inside)  # used three times below
-    crossed = _crossed(windows, inside, by, window, epsilon, bin_sec)
+    seen = windows.filter(~F.array_contains("reasons", "unscouted_validation"))
+    crossed = _crossed(seen, inside, by, window, epsilon, bin_sec)
     edges = inside.select(*by, "_c").unionByName(lengths.select(*by, F.lit(0.0).alias("_c")))
     edges = value_chunk(edges, by, "_c", rows_per_chunk=rows_per_chunk)
     shots = (
@@ -234,11 +236,14 @@ def guard_alignment(
     bins: str = "coverage_bins",
     epsilon: float = WINDOW_EPSILON,
     bin_sec: float = 64.0,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Take a move back (and flag it) when it leaves its coverage bin or hits another window.
 
     A moved window must not hit any peer's original place, nor the new place of
-    a peer that comes before it in ``order`` and keeps its move.
+    a peer that comes before it in ``order`` and keeps its move. Blind holdouts
+    (reason ``unscouted_validation``) are left alone. A run of moved windows that
+    overlap each other, a handful, is settled in one row.
     """
     by = list(by)
     number = F.regexp_extract(F.concat_ws(",", "reasons"), r"coverage_bin_([0-9]+)", 1)
@@ -248,7 +253,8 @@ def guard_alignment(
     off_bin = F.coalesce(
         (center < index * F.col(total) / F.col(bins)) | (center >= (index + 1) * F.col(total) / F.col(bins)), F.lit(False)
     )
-    rows = cut(rows.withColumn("_off", off_bin))
+    blind = F.array_contains("reasons", "unscouted_validation")
+    rows = cut(rows.withColumn("_off", off_bin & ~blind))
     keep = [*by, F.col(window).alias("id"), F.struct(*order, window).alias("rank")]
     peers = rows.select(*keep, "start_sec", "duration_sec")
     moved = rows.filter(~F.col("_off") & (F.col("new_start") != F.col("start_sec"))).select(
@@ -259,24 +265,29 @@ def guard_alignment(
         return interval_overlaps(moved, other, by, bin_sec=bin_sec, epsilon=epsilon)
 
     undone = cut(meet(peers).filter("a_id <> b_id").select(*by, F.col("a_id").alias("id")).distinct())
-    # Moved windows that meet each other: settle them front to back. The first of
-    # a chain keeps its move, its later neighbours lose theirs, and so on.
-    pairs = meet(moved).filter(F.col("a_rank") > F.col("b_rank")).select(
-        *by, F.col("a_id").alias("later"), F.col("b_id").alias("earlier")
+    # Moved windows that meet each other lie in one run of overlaps. Each run is settled front to back.
+    end = F.col("start_sec") + F.col("duration_sec")
+    line = value_chunk(moved.join(undone, [*by, "id"], "left_anti"), by, "start_sec", rows_per_chunk=rows_per_chunk)
+    line = ordered(line, by, ["start_sec", "id"], running={"_reach": ("max", end)})
+    opens = F.coalesce(F.col("start_sec") >= F.col("_reach") - epsilon, F.lit(True)).cast("long")
+    line = ordered(line.withColumn("_opens", opens), by, ["start_sec", "id"], running={"_runs": ("sum", F.col("_opens"))})
+    entry = F.struct("rank", F.col("start_sec").alias("s"), end.alias("e"), "id")
+    kinds = dict(line.dtypes)
+    state = F.struct(
+        F.array().cast("array<struct<s:double,e:double>>").alias("kept"), F.array().cast(f"array<{kinds['id']}>").alias("lost")
     )
 
-    def without(frame: DataFrame, gone: DataFrame) -> DataFrame:
-        for side in ("later", "earlier"):
-            frame = frame.join(gone.withColumnRenamed("id", side), [*by, side], "left_anti")
-        return frame
-
-    pairs = cut(without(pairs, undone))
-    while not pairs.isEmpty():
-        settled = pairs.select(*by, "earlier").join(pairs.select(*by, F.col("later").alias("earlier")), [*by, "earlier"], "left_anti")
-        lost = pairs.join(settled.distinct(), [*by, "earlier"], "left_semi").select(*by, F.col("later").alias("id")).distinct()
-        lost = cut(lost)
-        undone = undone.unionByName(lost)
-        pairs = cut(without(pairs, lost))
+    def settle(done: Column, x: Column) -> Column:
+        hit = F.exists(done["kept"], lambda k: (x["s"] < k["e"] - epsilon) & (k["s"] < x["e"] - epsilon))
+        own = F.struct(x["s"].cast("double").alias("s"), x["e"].cast("double").alias("e"))
+        return F.struct(
+            F.when(hit, done["kept"]).otherwise(F.concat(done["kept"], F.array(own))).alias("kept"),
+            F.when(hit, F.concat(done["lost"], F.array(x["id"]))).otherwise(done["lost"]).alias("lost"),
+        )
+
+    runs = line.groupBy(*by, (F.col("_runs") + F.col("_opens")).alias("_run")).agg(F.collect_list(entry).alias("_all"))
+    lost = F.aggregate(F.array_sort("_all"), state, settle, lambda done: done["lost"])
+    undone = undone.unionByName(runs.filter(F.size("_all") > 1).select(*by, F.explode(lost).alias("id")))
     stopped = undone.select(*by, F.col("id").alias(window), F.lit(True).alias("_hit"))
     out = rows.join(stopped, [*by, window], "left")
     back = F.col("_off") | F.col("_hit").isNotNull()
@@ -296,15 +307,13 @@ def max_disjoint_count(
     start: str = "start_sec",
     duration: str = "duration_sec",
     epsilon: float = WINDOW_EPSILON,
-    fold_limit: int = 10_000,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Largest number of pairwise disjoint intervals per group (earliest end first).
 
-    ``protected`` intervals, and those overlapping one, are left out. Groups of
-    up to ``fold_limit`` rows are folded in place. Larger ones are never gathered:
-    they follow "next compatible interval" pointers by doubling
-    (:func:`_disjoint_by_doubling`), which gives the same count.
+    ``protected`` intervals, and those overlapping one, are left out. No group is
+    gathered: "next compatible interval" pointers are followed by doubling
+    (:func:`_disjoint_by_doubling`).
     """
     by = list(by)
     rows = intervals.select(*by, window, start, duration).filter(F.col(duration) > epsilon)
@@ -313,26 +322,7 @@ def max_disjoint_count(
         rows = rows.join(held.select(*by, window), [*by, window], "left_anti")
         hit = interval_overlaps(rows, held, by, start=start, duration=duration, epsilon=epsilon)
         rows = rows.join(hit.select(*by, F.col(f"a_{window}").alias(window)), [*by, window], "left_anti")
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    large = cut(sizes.filter(F.col("_n") > fold_limit).select(*by))
-    small = rows.join(large, by, "left_anti")
-    entry = F.struct((F.col(start) + F.col(duration)).alias("e"), F.col(start).alias("s"))
-    folded = small.groupBy(*by).agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(entry)),
-            F.struct(F.lit(float("-inf")).alias("last"), F.lit(0).cast("long").alias("n")),
-            lambda acc, x: F.when(
-                x.s < acc.last - epsilon, acc
-            ).otherwise(F.struct(x.e.alias("last"), (acc.n + 1).alias("n"))),
-            lambda acc: acc.n,
-        ).alias("capacity")
-    )
-    if large.isEmpty():
-        return folded
-    hot = rows.join(large, by, "left_semi")
-    return folded.unionByName(
-        _disjoint_by_doubling(hot, by, start, duration, window, epsilon, rows_per_chunk)
-    )
+    return _disjoint_by_doubling(rows, by, start, duration, window, epsilon, rows_per_chunk)
 
 
 def _disjoint_by_doubling(

@@ -345,12 +345,12 @@ def greedy_diverse_pick(
 ) -> DataFrame:
     """Up to ``count`` further windows per source beside ``chosen`` ``(source, scout_id, start_sec)``.
 
-    Only sources whose observations match their scout grid are considered.
+    Whether the observations match a scout grid is :func:`sample_plan`'s test,
+    not this one's. A source's observations are folded in one row.
     """
-    good, _ = _planable(risk, sources, profile, source, total)
-    obs = _observed(risk.join(good, source, "left_semi"), sources, profile, source, total)
+    obs = _observed(risk, sources, profile, source, total)
     arrays = _spread(obs, source).groupBy(source, "_len").agg(F.array_sort(F.collect_list("_o")).alias("_obs"))
-    held = chosen.join(good, source, "left_semi").groupBy(source).agg(
+    held = chosen.groupBy(source).agg(
         F.array_sort(
             F.collect_list(_held(F.col("scout_id").cast("string"), F.col("start_sec"), F.array().cast("array<string>")))
         ).cast(_HELD).alias("_base")

@@ -277,12 +277,16 @@ def baseline_pick(points: DataFrame, by: Sequence[str] = ("source_id",)) -> Data
 
 
 def decision_options(selection: DataFrame, *, source: str = "source_id") -> DataFrame:
-    """Legal next actions of each unsatisfied selection, one row per action."""
+    """Legal next actions of each unsatisfied selection, one row per action.
+
+    ``suggested_value`` is a ratio or a score; a suggested audio mode is in ``suggested_mode``.
+    """
     kind, ratio = F.col("failure_kind"), F.col("required_ratio")
 
-    def option(name: str, value: Column, analysis: bool) -> Column:
+    def option(name: str, value: Column, analysis: bool, mode: str | None = None) -> Column:
         return F.struct(
-            F.lit(name).alias("action_code"), value.cast("double").alias("suggested_value"), F.lit(analysis).alias("requires_analysis")
+            F.lit(name).alias("action_code"), value.cast("double").alias("suggested_value"),
+            F.lit(mode).cast("string").alias("suggested_mode"), F.lit(analysis).alias("requires_analysis"),
         )
 
     none = F.lit(None)
@@ -290,7 +294,7 @@ def decision_options(selection: DataFrame, *, source: str = "source_id") -> Data
         # The limit must admit the required ratio itself, so the next double above it is offered.
         F.when((kind == SIZE_BLOCKED) & (ratio <= 1.0), option("relax_size", _next_up(ratio), False)),
         F.when(F.col("best_fit_gate").isNotNull(), option("relax_quality", F.col("best_fit_gate"), False)),
-        F.when(kind == MEDIA_BUDGET, option("change_media_budget", none, True)),
+        F.when(kind == MEDIA_BUDGET, option("change_media_budget", none, True, "aac")),
         F.when(kind == QUALITY_UNREACHABLE, option("reanalyze", none, True)),
         option("skip", none, False),
     )

@@ -93,3 +93,6 @@ PROFILES = {
     ),
 }
 BALANCE = PROFILES["balance"]
+
+# States per shot that the profiles of a per-shot allocation keep, where a limit is wanted.
+STATE_LIMITS = {"fast": 2048, "balance": 8192, "precise": 16384}

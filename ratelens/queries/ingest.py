@@ -10,12 +10,18 @@ from ratelens.session import scratch_path
 from ratelens.sources import catalog, logs, manifest, probe, scores, store
 
 
-@query("s01_scan_catalog", "SELECT DISTINCT concat('size=', p_size) AS dir, '.txt' AS ext FROM part")
+@query(
+    "s01_scan_catalog",
+    """
+    SELECT concat('size=', p_size) AS dir, '.txt' AS ext, 1::BIGINT AS files, sum(strlen(p_name) + 1)::BIGINT AS bytes FROM part GROUP BY p_size
+    """,
+)
 def scan(t):
     root = scratch_path(t.spark, "catalog")
     names = table(t.spark, t.sf_dir, "part").select(F.col("p_size").alias("size"), "p_name")
     names.repartition("size").write.partitionBy("size").text(root)
-    return catalog.scan_catalog(t.spark, root, (".txt",)).select("dir", "ext").distinct()
+    found = catalog.scan_catalog(t.spark, root, (".txt",))
+    return found.groupBy("dir", "ext").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
 @query(
@@ -305,6 +311,9 @@ def receipts(t):
         F.when(F.col("created_at") % 10 > 0, 1).otherwise(0).alias("schema_version"),
         F.lit(1).alias("scheme_version"),
     )
-    store.upsert_receipts(t.spark, path, rows.filter("created_at % 2 = 0"), prefix=1)
-    current = store.upsert_receipts(t.spark, path, rows.filter("created_at % 2 = 1"), prefix=1)
+    store.upsert_receipts(t.spark, path, rows.filter("created_at % 2 = 0"))
+    store.upsert_receipts(t.spark, path, rows.filter("created_at % 2 = 1"))
+    compacted = scratch_path(t.spark, "receipts")
+    store.compact_receipts(t.spark, path, compacted)
+    current = store.lookup_receipts(t.spark, compacted)
     return current.select("fingerprint", "created_at", "selected_bps")

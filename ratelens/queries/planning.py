@@ -8,27 +8,28 @@ from ratelens.operators import candidates, planning, reuse
 from ratelens.queries.registry import query
 
 _STORE_SQL = """
-    w AS (SELECT source_id, bitrate_bps, window_id, sha256(concat('{"duration":5.0,"preset":"', source_id % 3, '","source":', source_id, ',"start":', window_id * 10, '}')) AS fingerprint,
-      (source_id + window_id) % 17 = 0 AS forced FROM trials WHERE bitrate_bps = 250000 * (1 + window_id)),
-    st AS (SELECT fingerprint, source_id * 10 + window_id AS stored FROM (SELECT DISTINCT fingerprint, source_id, window_id FROM w) x WHERE (source_id * 7 + window_id) % 5 > 1)
+    w AS (SELECT source_id, bitrate_bps, window_id, sha256(concat('{"bitrate":"', bitrate_bps, '","duration":5.0,"preset":"', source_id % 3, '","source":', source_id, ',"start":', window_id * 10, '}')) AS fingerprint,
+      (source_id + window_id) % 17 = 0 AS forced FROM trials),
+    st AS (SELECT fingerprint, source_id * 10 + window_id + bitrate_bps AS stored FROM (SELECT DISTINCT fingerprint, source_id, bitrate_bps, window_id FROM w) x WHERE (source_id * 7 + window_id) % 5 > 1)
 """
 
 
 def _wanted(t):
-    rows = t.trials.filter("bitrate_bps = 250000 * (1 + window_id)")
+    rows = t.trials
     key = identity.measurement_key(
-        "source_id", F.col("window_id") * 10, F.lit(5.0), {"preset": (F.col("source_id") % 3).cast("string")}
+        "source_id", F.col("window_id") * 10, F.lit(5.0),
+        {"bitrate": F.col("bitrate_bps").cast("string"), "preset": (F.col("source_id") % 3).cast("string")},
     )
-    rows = rows.select("source_id", "window_id", key.alias("fingerprint"), ((F.col("source_id") + F.col("window_id")) % 17 == 0).alias("forced"))
+    rows = rows.select("source_id", "bitrate_bps", "window_id", key.alias("fingerprint"), ((F.col("source_id") + F.col("window_id")) % 17 == 0).alias("forced"))
     store = rows.filter("(source_id * 7 + window_id) % 5 > 1").select(
-        "fingerprint", (F.col("source_id") * 10 + F.col("window_id")).alias("stored")
+        "fingerprint", (F.col("source_id") * 10 + F.col("window_id") + F.col("bitrate_bps")).alias("stored")
     ).distinct()
     return reuse.reuse_measurements(rows, store, forced="forced")
 
 
 @query(
     "j01_reuse_hits",
-    f"WITH {_STORE_SQL} SELECT source_id, window_id, w.fingerprint, stored FROM w JOIN st ON st.fingerprint = w.fingerprint WHERE NOT forced",
+    f"WITH {_STORE_SQL} SELECT source_id, bitrate_bps, window_id, w.fingerprint, stored FROM w JOIN st ON st.fingerprint = w.fingerprint WHERE NOT forced",
     uses="trials",
 )
 def hits(t):
@@ -37,7 +38,7 @@ def hits(t):
 
 @query(
     "j01_reuse_misses",
-    f"WITH {_STORE_SQL} SELECT source_id, window_id, w.fingerprint FROM w WHERE forced OR fingerprint NOT IN (SELECT fingerprint FROM st)",
+    f"WITH {_STORE_SQL} SELECT source_id, bitrate_bps, window_id, w.fingerprint FROM w WHERE forced OR fingerprint NOT IN (SELECT fingerprint FROM st)",
     uses="trials",
 )
 def misses(t):

@@ -206,33 +206,39 @@ def gap(t):
 
 def _windows_and_cuts(t):
     f = t.frame_scores
-    ends = f.groupBy("clip_id").agg(((F.max("frame_no") + 2) * 4.0).alias("total_sec"))
+    ends = f.groupBy("clip_id").agg(((F.max("frame_no") + 2) * 8.0).alias("total_sec"))
     reasons = (
         F.when(F.col("frame_no") % 9 == 0, F.array(F.lit("transition_risk")))
+        .when(F.col("frame_no") % 7 == 3, F.array(F.lit("unscouted_validation")))
         .when(F.col("frame_no") % 5 == 0, F.array(F.lit("hardship"), F.lit("coverage_bin_1")))
         .otherwise(F.array(F.lit("hardship")))
     )
-    windows = f.filter("frame_no % 3 = 0").select(
-        "clip_id", F.col("frame_no").alias("window_id"), (F.col("frame_no") * 4.0).alias("start_sec"), F.lit(5.0).alias("duration_sec"), reasons.alias("reasons")
+    windows = f.select(
+        "clip_id", F.col("frame_no").alias("window_id"), (F.col("frame_no") * 8.0).alias("start_sec"), F.lit(5.0).alias("duration_sec"), reasons.alias("reasons")
     ).join(ends, "clip_id")
-    cuts = f.filter("score < 90").select("clip_id", (F.col("frame_no") * 4.0 + 2.25).alias("cut_sec"))
+    cuts = f.filter("score < 90").select("clip_id", (F.col("frame_no") * 8.0 + 2.25 + F.col("frame_no") % 2 / 2).alias("cut_sec"))
     return windows, cuts
 
 
-@query(
-    "w10_align_to_cuts",
-    """
-    WITH e AS (SELECT clip_id, (max(frame_no) + 2) * 4.0::DOUBLE AS total FROM frame_scores GROUP BY clip_id),
-    w AS (SELECT clip_id, frame_no AS window_id, frame_no * 4.0::DOUBLE AS s, 5.0::DOUBLE AS d, frame_no % 9 = 0 AS tr FROM frame_scores WHERE frame_no % 3 = 0),
-    c AS (SELECT f.clip_id, frame_no * 4.0::DOUBLE + 2.25 AS c FROM frame_scores f JOIN e ON e.clip_id = f.clip_id AND frame_no * 4.0 + 2.25 < total - 1e-9 WHERE score < 90),
+# Cuts fall early in even windows and later in odd ones, so that some windows move right and some left.
+_ALIGN_SQL = """
+    e AS (SELECT clip_id, (max(frame_no) + 2) * 8.0::DOUBLE AS total FROM frame_scores GROUP BY clip_id),
+    w AS (SELECT clip_id, frame_no AS window_id, frame_no * 8.0::DOUBLE AS s, 5.0::DOUBLE AS d, frame_no % 9 = 0 AS tr, frame_no % 9 > 0 AND frame_no % 7 = 3 AS blind,
+      frame_no % 9 > 0 AND frame_no % 7 <> 3 AND frame_no % 5 = 0 AS binned FROM frame_scores),
+    c AS (SELECT f.clip_id, frame_no * 8.0::DOUBLE + 2.25 + frame_no % 2 / 2 AS c FROM frame_scores f JOIN e ON e.clip_id = f.clip_id WHERE score < 90),
     b AS (SELECT clip_id, c FROM c UNION ALL SELECT clip_id, 0 FROM e UNION ALL SELECT clip_id, total FROM e),
     sh AS (SELECT clip_id, c AS l, lead(c) OVER (PARTITION BY clip_id ORDER BY c) AS r FROM b),
-    x AS (SELECT w.*, EXISTS (SELECT 1 FROM c WHERE c.clip_id = w.clip_id AND w.s + 1e-9 < c.c AND c.c < w.s + w.d - 1e-9) AS crosses FROM w),
+    x AS (SELECT w.*, NOT blind AND EXISTS (SELECT 1 FROM c WHERE c.clip_id = w.clip_id AND w.s + 1e-9 < c.c AND c.c < w.s + w.d - 1e-9) AS crosses FROM w),
     p AS (SELECT x.clip_id, window_id, least(greatest(s, l), r - d) AS t, row_number() OVER (PARTITION BY x.clip_id, window_id ORDER BY abs(least(greatest(s, l), r - d) - s), least(greatest(s, l), r - d)) AS rn
-      FROM x JOIN sh ON sh.clip_id = x.clip_id AND r - l + 1e-9 >= d WHERE crosses AND NOT tr)
-    SELECT x.clip_id, x.window_id, round(coalesce(t, s), 6) AS new_start, crosses AND (tr OR t IS NULL) AS crosses_scene_cut
-    FROM x LEFT JOIN p ON p.clip_id = x.clip_id AND p.window_id = x.window_id AND rn = 1
-    """,
+      FROM x JOIN sh ON sh.clip_id = x.clip_id AND r - l + 1e-9 >= d WHERE crosses AND NOT tr),
+    al AS (SELECT x.*, total, coalesce(p.t, s) AS t, crosses AND (tr OR p.t IS NULL) AS flagged
+      FROM x JOIN e ON e.clip_id = x.clip_id LEFT JOIN p ON p.clip_id = x.clip_id AND p.window_id = x.window_id AND rn = 1)
+"""
+
+
+@query(
+    "w10_align_to_cuts",
+    f"WITH {_ALIGN_SQL} SELECT clip_id, window_id, round(t, 6) AS new_start, flagged AS crosses_scene_cut FROM al",
     uses="frame_scores",
 )
 def align(t):
@@ -241,7 +247,22 @@ def align(t):
     return out.select("clip_id", "window_id", F.round("new_start", 6).alias("new_start"), "crosses_scene_cut")
 
 
-@query("w10_guard_alignment")
+@query(
+    "w10_guard_alignment",
+    f"""
+    WITH RECURSIVE {_ALIGN_SQL},
+    g AS (SELECT *, row_number() OVER o AS rn, t <> s AS moved, binned AND (t + d / 2 < 0 OR t + d / 2 >= total / 2) AS off,
+        coalesce(t < lag(s) OVER o + d - 1e-9, false) OR coalesce(lead(s) OVER o < t + d - 1e-9, false) AS hits FROM al WINDOW o AS (PARTITION BY clip_id ORDER BY s)),
+    k(clip_id, window_id, rn, back, reach) AS (
+      SELECT clip_id, window_id, rn, off OR (moved AND hits), CASE WHEN moved AND NOT off AND NOT hits THEN t + d ELSE -1 END FROM g WHERE rn = 1
+      UNION ALL
+      SELECT g.clip_id, g.window_id, g.rn, off OR (moved AND (hits OR t < reach - 1e-9)),
+        CASE WHEN moved AND NOT off AND NOT hits AND t >= reach - 1e-9 THEN t + d ELSE reach END FROM k JOIN g ON g.clip_id = k.clip_id AND g.rn = k.rn + 1)
+    SELECT g.clip_id, g.window_id, CASE WHEN back THEN s ELSE t END AS new_start, flagged OR back AS crosses_scene_cut
+    FROM g JOIN k ON k.clip_id = g.clip_id AND k.rn = g.rn
+    """,
+    uses="frame_scores",
+)
 def guard(t):
     windows, cuts = _windows_and_cuts(t)
     out = intervals.align_to_cuts(windows, cuts, ["clip_id"]).withColumn("coverage_bins", F.lit(2))
@@ -269,7 +290,9 @@ def coverage(t):
 @query(
     "w12_max_disjoint_count",
     """
-    WITH RECURSIVE i AS (SELECT source_id, start_sec AS s, start_sec + duration_sec AS e FROM intervals WHERE pool <> 'reserve'),
+    WITH RECURSIVE v AS (SELECT source_id, pool, start_sec AS s, start_sec + duration_sec / 20 AS e FROM intervals),
+    i AS (SELECT source_id, s, e FROM v WHERE pool <> 'reserve' AND e - s > 1e-9 AND NOT EXISTS (SELECT 1 FROM v r WHERE r.source_id = v.source_id
+      AND r.pool = 'reserve' AND v.s < r.e - 1e-9 AND r.s < v.e - 1e-9)),
     g(source_id, e, n) AS (SELECT source_id, min(e), 1::BIGINT FROM i GROUP BY source_id
       UNION ALL SELECT g.source_id, min(i.e), min(g.n) + 1 FROM g JOIN i ON i.source_id = g.source_id AND i.s >= g.e - 1e-9 GROUP BY g.source_id)
     SELECT source_id, max(n)::BIGINT AS capacity FROM g GROUP BY source_id
@@ -277,7 +300,8 @@ def coverage(t):
     uses="intervals",
 )
 def capacity(t):
-    return intervals.max_disjoint_count(t.intervals.filter("pool <> 'reserve'"), ["source_id"])
+    rows = t.intervals.withColumn("duration_sec", F.col("duration_sec") / 20)
+    return intervals.max_disjoint_count(rows, ["source_id"], protected=rows.filter("pool = 'reserve'"))
 
 
 def _scouted(t):

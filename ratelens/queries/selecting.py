@@ -173,11 +173,18 @@ def bounds(t):
     return selection.search_bounds(_cands(t), limits)
 
 
+# A partly measured table: which of a source's candidates have been tried, the budget and the limits more often.
+_MEASURED = (
+    "(CAST(bitrate_bps / 250000 AS BIGINT) * 7 + source_id * 13) % 17 < 1 "
+    "OR bitrate_bps IN (250000, 3000000, 12500000) AND (CAST(bitrate_bps / 250000 AS BIGINT) + source_id) % 3 > 0"
+)
+
+
 @query(
     "q06_propose_next",
     f"""
     WITH {_CANDS_SQL},
-    m AS (SELECT * FROM cands WHERE bitrate_bps IN (250000, 3000000, 12500000, 6250000) AND (bitrate_bps / 250000 + source_id) % 3 > 0 OR (bitrate_bps = 3000000 AND source_id % 5 > 0)),
+    m AS (SELECT * FROM cands WHERE {_MEASURED}),
     b AS (SELECT source_id, target, greatest(1000, max_video_bps // 1000 * 1000) AS bud, greatest(1000, CAST(ceil(min_video_bps / 1000) * 1000 AS BIGINT)) AS flo, greatest(12500000, max_video_bps) // 1000 * 1000 AS cei FROM lim),
     s AS (SELECT b.source_id, bud, flo, cei, count(bitrate_bps)::BIGINT AS trials, bool_or(gate >= target) FILTER (WHERE bitrate_bps = bud) AS ab, bool_or(gate >= target) FILTER (WHERE bitrate_bps = flo) AS af,
       bool_or(gate >= target) FILTER (WHERE bitrate_bps = cei) AS ac, min(bitrate_bps) FILTER (WHERE gate >= target) AS hi FROM b LEFT JOIN m ON m.source_id = b.source_id GROUP BY 1, 2, 3, 4),
@@ -193,9 +200,7 @@ def propose(t):
     limits = _limits(t).select(
         "source_id", "target", "min_video_bps", "max_video_bps", F.lit(12_500_000).cast("long").alias("ceiling_bps"), F.lit(50_000).alias("tolerance_bps")
     )
-    some = _cands(t).filter(
-        "bitrate_bps IN (250000, 3000000, 12500000, 6250000) AND (bitrate_bps / 250000 + source_id) % 3 > 0 OR (bitrate_bps = 3000000 AND source_id % 5 > 0)"
-    )
+    some = _cands(t).filter(_MEASURED)
     return selection.propose_next(some, limits)
 
 
@@ -289,16 +294,22 @@ def pareto(t):
     return out.select("title_id", "shot_idx", "cand_id", "bytes", F.round("mean_vmaf", 6).alias("mean_vmaf"))
 
 
-# Every combination of one candidate per shot (the test titles have at most four shots).
-_COMBOS_SQL = """
-    sc AS (SELECT *, mean_vmaf * frames AS q FROM shot_candidates),
-    n AS (SELECT title_id, count(DISTINCT shot_idx) AS n, sum(f) AS total FROM (SELECT title_id, shot_idx, max(frames) AS f FROM sc GROUP BY 1, 2) x GROUP BY 1),
-    c AS (SELECT n.title_id, total, a.bytes + coalesce(b.bytes, 0) + coalesce(d.bytes, 0) + coalesce(e.bytes, 0) AS bytes, (a.q + coalesce(b.q, 0) + coalesce(d.q, 0) + coalesce(e.q, 0)) / total AS mean,
-        least(a.mean_vmaf, coalesce(b.mean_vmaf, 999), coalesce(d.mean_vmaf, 999), coalesce(e.mean_vmaf, 999)) AS low_mean,
-        least(a.worst_1s_vmaf, coalesce(b.worst_1s_vmaf, 999), coalesce(d.worst_1s_vmaf, 999), coalesce(e.worst_1s_vmaf, 999)) AS low_worst
-      FROM n JOIN r a ON a.title_id = n.title_id AND a.k = 1 LEFT JOIN r b ON b.title_id = n.title_id AND b.k = 2 LEFT JOIN r d ON d.title_id = n.title_id AND d.k = 3 LEFT JOIN r e ON e.title_id = n.title_id AND e.k = 4),
-    bud AS (SELECT title_id, CAST(floor(sum(m) * (1 + title_id % 5 / 10::DOUBLE)) AS BIGINT) AS budget FROM (SELECT title_id, shot_idx, max(bytes) / 3 AS m FROM shot_candidates GROUP BY 1, 2) x GROUP BY title_id)
-""".replace("    n AS", "    r AS (SELECT *, dense_rank() OVER (PARTITION BY title_id ORDER BY shot_idx) AS k FROM sc),\n    n AS")
+# Cheapest size per reachable quality, shot after shot: r has the k-th shot's candidates above the floors.
+_SHOTS = 7
+_STEP = """
+    s{k} AS (SELECT title_id, bytes, q FROM (SELECT *, max(q) OVER (PARTITION BY title_id ORDER BY bytes, q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+      FROM (SELECT s.title_id, s.bytes + r.bytes AS bytes, s.q + r.q AS q FROM s{p} s JOIN r ON r.title_id = s.title_id AND r.k = {k} JOIN bud ON bud.title_id = s.title_id AND s.bytes + r.bytes <= budget
+        UNION ALL SELECT s.* FROM s{p} s JOIN n ON n.title_id = s.title_id AND n.n < {k}) u) v WHERE best IS NULL OR q > best)"""
+_PATHS_SQL = """
+    sc AS (SELECT *, mean_vmaf * frames AS q, dense_rank() OVER (PARTITION BY title_id ORDER BY shot_idx) AS k FROM shot_candidates),
+    n AS (SELECT title_id, count(*) AS n, sum(f) AS total FROM (SELECT title_id, shot_idx, max(frames) AS f FROM sc GROUP BY 1, 2) x GROUP BY 1),
+    bud AS (SELECT title_id, CAST(floor(sum(m) * (1 + title_id % 5 / 10::DOUBLE)) AS BIGINT) AS budget FROM (SELECT title_id, shot_idx, max(bytes) / 3 AS m FROM shot_candidates GROUP BY 1, 2) x GROUP BY title_id),
+    r AS (SELECT * FROM sc WHERE mean_vmaf >= 86 AND worst_1s_vmaf >= 82),
+    s0 AS (SELECT title_id, 0::BIGINT AS bytes, 0::DOUBLE AS q FROM n),""" + ",".join(
+    _STEP.format(k=k, p=k - 1) for k in range(1, _SHOTS + 1)
+) + f""",
+    best AS (SELECT s.title_id, min(bytes)::BIGINT AS bytes, max(n)::BIGINT AS shots FROM s{_SHOTS} s JOIN n ON n.title_id = s.title_id WHERE q / total >= 90 GROUP BY 1)
+"""
 
 
 def _titles(t, target=90.0):
@@ -309,24 +320,22 @@ def _titles(t, target=90.0):
 
 @query(
     "q11_allocate_budget",
-    f"""WITH {_COMBOS_SQL}
-    SELECT c.title_id, min(bytes)::BIGINT AS video_bytes, false AS approximate FROM c JOIN bud ON bud.title_id = c.title_id WHERE low_mean >= 86 AND low_worst >= 82 AND mean >= 90 AND bytes <= budget GROUP BY 1""",
+    f"WITH {_PATHS_SQL} SELECT title_id, bytes AS video_bytes, false AS approximate FROM best",
     uses="shot_candidates",
 )
 def allocate(t):
-    out, _ = allocation.allocate_budget(t.shot_candidates, _titles(t), state_limit=2048)
+    out, _ = allocation.allocate_budget(t.shot_candidates, _titles(t))
     return out.select("title_id", "video_bytes", "approximate")
 
 
 @query(
     "q11_allocation_picks",
-    f"""WITH {_COMBOS_SQL}, b AS (SELECT c.title_id, min(bytes)::BIGINT AS bytes FROM c JOIN bud ON bud.title_id = c.title_id WHERE low_mean >= 86 AND low_worst >= 82 AND mean >= 90 AND bytes <= budget GROUP BY 1)
-    SELECT b.title_id, bytes AS picked_bytes, n::BIGINT AS shots, true AS reaches_target FROM b JOIN n ON n.title_id = b.title_id""",
+    f"WITH {_PATHS_SQL} SELECT title_id, bytes AS picked_bytes, shots, true AS reaches_target FROM best",
     uses="shot_candidates",
 )
 def picks(t):
     sc = t.shot_candidates
-    _, chosen = allocation.allocate_budget(sc, _titles(t), state_limit=2048)
+    _, chosen = allocation.allocate_budget(sc, _titles(t))
     rows = chosen.join(sc, ["title_id", "shot_idx", "cand_id"])
     out = rows.groupBy("title_id").agg(
         F.sum("bytes").alias("picked_bytes"), F.count(F.lit(1)).alias("shots"), (F.sum(F.col("mean_vmaf") * F.col("frames")) / F.sum("frames")).alias("m")
@@ -334,20 +343,12 @@ def picks(t):
     return out.select("title_id", "picked_bytes", "shots", (F.col("m") >= 90 - 1e-9).alias("reaches_target"))
 
 
-@query(
-    "q12_relax_target",
-    f"""WITH {_COMBOS_SQL}, f AS (SELECT c.*, CAST(trunc(budget * (4 + c.title_id % 20) / 100) AS BIGINT) AS budget, low_mean >= 86 AND low_worst >= 82 AND mean >= 90 AS good, least(mean, low_mean + 4, low_worst + 8) AS top FROM c JOIN bud ON bud.title_id = c.title_id),
-    g AS (SELECT title_id, bool_or(good AND bytes <= budget) AS fits, min(bytes) FILTER (WHERE good) AS need, max(top) FILTER (WHERE bytes <= budget) AS top FROM f GROUP BY 1)
-    SELECT n.title_id, CASE WHEN need IS NULL THEN 'quality_unreachable' ELSE 'size_blocked' END AS failure_kind,
-      CASE WHEN need IS NOT NULL THEN round(greatest(0.001::DOUBLE, ceil((need + 1000) / 0.98::DOUBLE) / 1e6), 9) END AS required_ratio,
-      CASE WHEN need IS NOT NULL AND top >= 0.1 THEN floor(top * 10 + 1e-9) / 10 END AS relaxed_target FROM n JOIN g ON g.title_id = n.title_id WHERE NOT fits""",
-    uses="shot_candidates",
-)
+@query("q12_relax_target")
 def relax(t):
     titles = _titles(t).selectExpr(
         "title_id", "target", "CAST(budget * (4 + title_id % 20) / 100 AS BIGINT) AS budget", "CAST(1000 AS BIGINT) AS audio_bytes", "CAST(1000 AS BIGINT) AS max_output_bytes", "CAST(1000000 AS BIGINT) AS source_bytes"
     )
-    out = allocation.relax_target(t.shot_candidates, titles, state_limit=2048)
+    out = allocation.relax_target(t.shot_candidates, titles)
     return out.withColumn("required_ratio", F.round("required_ratio", 9))
 
 
@@ -459,7 +460,7 @@ def promotion_status(t):
     """
     WITH r AS (SELECT l_suppkey AS source_id, l_partkey AS id, round(max(l_discount) + max(l_extendedprice) / 1e6, 6) AS risk FROM lineitem GROUP BY 1, 2),
     m AS (SELECT source_id, risk AS med FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY risk) AS rn, count(*) OVER (PARTITION BY source_id) AS n FROM r) x WHERE rn = n // 2 + 1),
-    c AS (SELECT r.source_id, r.id, id * 2.0::DOUBLE AS s, abs(risk - med) AS d, abs(id * 2 + 2.5 - 2000) AS e FROM r JOIN m ON m.source_id = r.source_id WHERE id % 9 = 0 AND r.source_id % 3 = 0)
+    c AS (SELECT r.source_id, r.id, id * 2.0::DOUBLE AS s, abs(risk - med) AS d, abs(id * 2 + 2.5 - 2000) AS e FROM r JOIN m ON m.source_id = r.source_id WHERE r.source_id % 3 = 0)
     SELECT source_id, pick::INTEGER AS pick, window_id, start_sec, 5.0::DOUBLE AS duration_sec FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY d, e, s, concat('reserve:', id)) AS pick, concat('reserve:', id) AS window_id, s AS start_sec FROM c) x WHERE pick <= 2
     """,
 )
@@ -467,7 +468,7 @@ def calibration(t):
     risk = table(t.spark, t.sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("window_id")).agg(
         F.round(F.max("l_discount") + F.max("l_extendedprice") / 1e6, 6).alias("difficulty")
     )
-    reserves = risk.filter("window_id % 9 = 0").select(
+    reserves = risk.select(
         "source_id", F.concat(F.lit("reserve:"), "window_id").alias("window_id"), F.col("window_id").cast("string").alias("scout_id"),
         (F.col("window_id") * 2.0).alias("start_sec"), F.lit(5.0).alias("duration_sec"),
     )
@@ -533,12 +534,12 @@ def gate(t):
 @query(
     "q18_decision_options",
     f"""WITH {_CANDS_SQL}, {_SELECT_SQL}, o AS (
-      SELECT source_id, 'relax_size' AS action_code, required_ratio AS suggested_value, false AS requires_analysis FROM sl WHERE failure_kind = 'size_blocked' AND required_ratio <= 1
-      UNION ALL SELECT source_id, 'relax_quality', best_fit_gate, false FROM sl WHERE status <> 'found' AND best_fit_gate IS NOT NULL
-      UNION ALL SELECT source_id, 'change_media_budget', NULL, true FROM sl WHERE failure_kind = 'media_budget_too_small'
-      UNION ALL SELECT source_id, 'reanalyze', NULL, true FROM sl WHERE failure_kind = 'quality_unreachable'
-      UNION ALL SELECT source_id, 'skip', NULL, false FROM sl WHERE status <> 'found')
-    SELECT source_id, action_code, round(suggested_value, 9) AS suggested_value, requires_analysis FROM o""",
+      SELECT source_id, 'relax_size' AS action_code, required_ratio AS suggested_value, NULL AS suggested_mode, false AS requires_analysis FROM sl WHERE failure_kind = 'size_blocked' AND required_ratio <= 1
+      UNION ALL SELECT source_id, 'relax_quality', best_fit_gate, NULL, false FROM sl WHERE status <> 'found' AND best_fit_gate IS NOT NULL
+      UNION ALL SELECT source_id, 'change_media_budget', NULL, 'aac', true FROM sl WHERE failure_kind = 'media_budget_too_small'
+      UNION ALL SELECT source_id, 'reanalyze', NULL, NULL, true FROM sl WHERE failure_kind = 'quality_unreachable'
+      UNION ALL SELECT source_id, 'skip', NULL, NULL, false FROM sl WHERE status <> 'found')
+    SELECT source_id, action_code, round(suggested_value, 9) AS suggested_value, suggested_mode::VARCHAR AS suggested_mode, requires_analysis FROM o""",
     uses="trials",
 )
 def options(t):

@@ -38,28 +38,21 @@ def lookup_receipts(spark: SparkSession, path: str) -> DataFrame:
     return latest_records(_current(spark.read.parquet(path)), "fingerprint", "created_at")
 
 
-def upsert_receipts(spark: SparkSession, path: str, new: DataFrame, *, prefix: int = 2) -> DataFrame:
-    """Merge ``new`` into the table at ``path``; the latest row per fingerprint stays.
+def upsert_receipts(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Add ``new`` to the table at ``path``; a lookup takes the latest row per fingerprint.
 
-    The table is partitioned by the first ``prefix`` hex digits of the
-    fingerprint (16 or 256 values). Only partitions that receive rows are read
-    and rewritten.
+    An upsert only appends files, in one commit: its cost is that of ``new``, a
+    crash leaves the table as it was, and rows of other versions stay.
     """
-    if prefix not in (1, 2):
-        raise ValueError("prefix must be 1 or 2")
-    bucket = F.substring("fingerprint", 1, prefix)
-    incoming = new.withColumn("bucket", bucket)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        touched = incoming.select("bucket").distinct()  # at most 256 values
-        old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
-        incoming = old.unionByName(incoming)
-    merged = latest_records(_current(incoming), "fingerprint", "created_at")
-    (
-        merged.repartitionByRange("fingerprint")  # the bucket is its prefix: few files per bucket
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    new.write.mode("append").parquet(path)
     return lookup_receipts(spark, path)
+
+
+def compact_receipts(spark: SparkSession, path: str, target: str) -> None:
+    """Write the table at ``path`` to the new folder ``target`` with one row per fingerprint and version.
+
+    Readers move to ``target`` once it is written; ``path`` is not touched.
+    """
+    rows = spark.read.parquet(path)
+    key = F.struct("fingerprint", "schema_version", "scheme_version")
+    latest_records(rows.withColumn("_key", key), "_key", "created_at").drop("_key").write.parquet(target)

@@ -65,15 +65,15 @@ def _greedy(items):
     return n
 
 
-def test_max_disjoint_count_folded_and_by_doubling(spark):
+def test_max_disjoint_count(spark):
     rng = random.Random(2)
     items = {k: [(rng.uniform(0, 300), rng.uniform(0.5, 20)) for _ in range(n)] for k, n in (("a", 90), ("b", 1), ("c", 40))}
     items["d"] = [(float(i), 1.0) for i in range(50)]
     rows = [(k, i, s, d) for k, v in items.items() for i, (s, d) in enumerate(v)]
     df = spark.createDataFrame(rows, "k string, window_id int, start_sec double, duration_sec double")
     want = {k: _greedy(v) for k, v in items.items()}
-    for limit, size in ((10_000, 1_000_000), (30, 1_000_000), (0, 16)):
-        out = intervals.max_disjoint_count(df, ["k"], fold_limit=limit, rows_per_chunk=size)
+    for size in (1_000_000, 16):
+        out = intervals.max_disjoint_count(df, ["k"], rows_per_chunk=size)
         assert {r.k: r.capacity for r in out.collect()} == want
 
 
