@@ -188,7 +188,7 @@ def _search(sought, slop: int):
                 found_begin.append(begin)
                 found_end.append(np.minimum(start - shard.starts[log] + width, shard.words[log]))
                 found_case.append(cases[rows])
-        if not found_log:
+        if not sum(map(len, found_log)):
             return []
         log, begin = np.concatenate(found_log), np.concatenate(found_begin)
         end, case = np.concatenate(found_end), np.concatenate(found_case)
