@@ -203,8 +203,7 @@ _FRAME_SQL = {
 
 
 def _numbered_events(spark: SparkSession, sf_dir: str, *, with_before: bool = False) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("_micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    chunked = value_chunk(events, ["user_id"], "_micros")
+    chunked = value_chunk(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
     return ordered(
         chunked,
         ["user_id"],

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens import policy
-from ratelens.plans.ordered import ROWS_PER_CHUNK, ordered, value_chunk
+from ratelens.plans.ordered import ordered, value_chunk
 from ratelens.session import cut
 
 
@@ -29,7 +29,7 @@ def pareto(
     gain: str = "mean_vmaf",
     worst: str | None = "worst_1s_vmaf",
     tie: str = "cand_id",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Candidates above the local floors whose gain beats everything cheaper.
 
@@ -136,7 +136,7 @@ def _thinned(leaves: DataFrame, limit: int) -> DataFrame:
     return small.unionByName(kept)
 
 
-def _slots(shots: DataFrame, rows_per_chunk: int) -> DataFrame:
+def _slots(shots: DataFrame, rows_per_chunk: int | None) -> DataFrame:
     """Dense 0-based slot of every (title, shot) and the title's shot count and frames."""
     once = shots.groupBy("title_id", "shot_idx").agg(F.max("frames").cast("long").alias("frames"))
     sizes = once.groupBy("title_id").agg(F.count(F.lit(1)).alias("slots"), F.sum("frames").alias("total_frames"))
@@ -145,7 +145,7 @@ def _slots(shots: DataFrame, rows_per_chunk: int) -> DataFrame:
     return rows.select("title_id", "shot_idx", "frames", "slot").join(sizes, "title_id")
 
 
-def _levels(candidates: DataFrame, titles: DataFrame, limit: int | None, rows_per_chunk: int, deepest: int) -> list[DataFrame]:
+def _levels(candidates: DataFrame, titles: DataFrame, limit: int | None, rows_per_chunk: int | None, deepest: int) -> list[DataFrame]:
     """All merge levels, leaves first; the last one has one slot per title.
 
     ``candidates`` carry slot, slots, frames; ``titles`` target and budget;
@@ -184,7 +184,7 @@ def allocate_budget(
     *,
     state_limit: int | None = None,
     maximize_quality: bool = False,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(allocations, picks): one candidate per shot with the fewest bytes that reach the title's target.
 
@@ -226,7 +226,7 @@ def _trace(levels: list[DataFrame], chosen: DataFrame, slots: DataFrame) -> Data
 
 
 def relax_target(
-    candidates: DataFrame, titles: DataFrame, *, state_limit: int | None = None, rows_per_chunk: int = ROWS_PER_CHUNK
+    candidates: DataFrame, titles: DataFrame, *, state_limit: int | None = None, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """For titles that do not fit: how large they would be, and the highest lower target that fits.
 

@@ -56,29 +56,21 @@ def rolling_means(
     size: Column,
     *,
     frames_per_chunk: int = FRAMES_PER_CHUNK,
-    bounded: bool | None = None,
 ) -> DataFrame:
     """Mean of every full window of ``size`` consecutive rows, keyed by its last position.
 
     ``pos`` is a dense 0-based position and ``size`` may differ per group, which
     a window frame cannot express. Each row enters the running sum at its
-    position and leaves it ``size`` later. Groups longer than a chunk are cut
-    into chunks: a row is also sent to the following chunk when a window there
-    still reaches back to it, so chunks are independent. ``bounded`` says that no
-    group is longer (checked here when not given).
+    position and leaves it ``size`` later. Groups are cut into chunks: a row is
+    also sent to the following chunk when a window there still reaches back to
+    it, so chunks are independent.
     """
     by = list(by)
     rows = df.select(*by, F.col(pos).cast("long").alias("_p"), F.col(value).alias("_v"), size.cast("long").alias("_s"))
-    if bounded is None:
-        top = df.agg(F.max(pos)).first()[0]
-        bounded = top is None or top < frames_per_chunk
-    keys = by if bounded else [*by, CHUNK]
-    if bounded:
-        rows = rows.withColumn("_own", F.lit(True))
-    else:
-        own = frame_chunk(F.col("_p"), frames_per_chunk)
-        last = frame_chunk(F.col("_p") + F.col("_s") - 1, frames_per_chunk)
-        rows = rows.select("*", F.explode(F.sequence(own, last)).alias(CHUNK)).withColumn("_own", F.col(CHUNK) == own)
+    keys = [*by, CHUNK]
+    own = frame_chunk(F.col("_p"), frames_per_chunk)
+    last = frame_chunk(F.col("_p") + F.col("_s") - 1, frames_per_chunk)
+    rows = rows.select("*", F.explode(F.sequence(own, last)).alias(CHUNK)).withColumn("_own", F.col(CHUNK) == own)
     events = rows.select(
         *keys,
         "_s",
@@ -157,7 +149,6 @@ def pool_scores(
     rate = F.when(F.col(fps) > 0, F.col(fps).cast("double")).otherwise(F.lit(default_fps))
     rows = frame_scores.select(*by, frame, score, rate.alias("_rate"))
     rows = frame_chunks(rows, frame, frames_per_chunk=frames_per_chunk)
-    bounded = CHUNK not in rows.columns
     rows = ordered(
         rows, by, [frame], running={"_pos": ("sum", F.lit(1).cast("long"))}, before={"_before": frame}
     )
@@ -168,8 +159,7 @@ def pool_scores(
     clips = _cadence(steps, by)
     size = F.greatest(F.lit(1), F.ceil(F.col("_rate") / F.greatest(F.lit(1), F.col("cadence"))))
     rolled = rolling_means(
-        rows.join(clips.select(*by, "cadence"), by), by, "_pos", score, size, frames_per_chunk=frames_per_chunk,
-        bounded=bounded or None,
+        rows.join(clips.select(*by, "cadence"), by), by, "_pos", score, size, frames_per_chunk=frames_per_chunk
     )
     worst = rolled.groupBy(*by).agg(F.min("mean").alias("_low"))
     p10 = nearest_rank(frame_scores, by, score, {"p10": 0.10})

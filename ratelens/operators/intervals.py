@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.plans.ordered import FRAMES_PER_CHUNK, ROWS_PER_CHUNK, frame_chunks, ordered, value_chunk
+from ratelens.plans.ordered import FRAMES_PER_CHUNK, frame_chunks, ordered, value_chunk
 from ratelens.policy import SCENE_CHANGE_THRESHOLD, WINDOW_EPSILON
 from ratelens.session import cut
 
@@ -83,11 +83,11 @@ def has_self_overlap(
     duration: str = "duration_sec",
     tie: str = "window_id",
     epsilon: float = WINDOW_EPSILON,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Per group: does any interval start before an earlier one has ended? No pairs are built."""
     by = list(by)
-    rows = value_chunk(intervals, by, start, rows_per_chunk=rows_per_chunk)
+    rows = value_chunk(intervals, by, [start, tie], rows_per_chunk=rows_per_chunk)
     end = F.col(start) + F.col(duration)
     rows = ordered(rows, by, [start, tie], running={"_before": ("max", end)})
     return rows.groupBy(*by).agg(
@@ -104,7 +104,7 @@ def largest_gap(
     start: str = "start_sec",
     duration: str = "duration_sec",
     total: str = "total_sec",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Window of ``min_length`` centred in the widest free gap of each source; NULL if none is wide enough.
 
@@ -114,7 +114,7 @@ def largest_gap(
     # The end of the source closes the last gap like one more interval.
     tail = totals.select(*by, F.col(total).cast("double").alias("_s"), F.lit(0.0).alias("_d"), F.lit(1).alias("_tail"))
     rows = intervals.select(*by, F.col(start).alias("_s"), F.col(duration).alias("_d"), F.lit(0).alias("_tail")).unionByName(tail)
-    rows = value_chunk(rows, by, "_s", rows_per_chunk=rows_per_chunk)
+    rows = value_chunk(rows, by, ["_s", "_tail", "_d"], rows_per_chunk=rows_per_chunk)
     end = F.when(F.col("_tail") == 0, F.col("_s") + F.col("_d"))
     rows = ordered(rows, by, ["_s", "_tail", "_d"], running={"_before": ("max", end)})
     low = F.greatest(F.lit(0.0), F.coalesce("_before", F.lit(0.0)))
@@ -140,7 +140,7 @@ def align_to_cuts(
     cut_time: str = "cut_sec",
     epsilon: float = WINDOW_EPSILON,
     bin_sec: float = 64.0,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Move each window into the nearest shot that can hold it.
 
@@ -193,7 +193,7 @@ def _crossed(windows: DataFrame, cuts: DataFrame, by: list[str], window: str, ep
     return hit.groupBy(*by, window).agg(F.lit(True).alias("_x"))
 
 
-def _nearest_shot(moving: DataFrame, shots: DataFrame, by: list[str], window: str, epsilon: float, rows_per_chunk: int) -> DataFrame:
+def _nearest_shot(moving: DataFrame, shots: DataFrame, by: list[str], window: str, epsilon: float, rows_per_chunk: int | None) -> DataFrame:
     """Start of each window after the smallest move into a shot at least as long as it.
 
     The windows of a plan share one duration (the profile's), so "long enough" is
@@ -208,8 +208,8 @@ def _nearest_shot(moving: DataFrame, shots: DataFrame, by: list[str], window: st
     lefts = spots.select(*keys, F.col("_hi").alias("_at"), F.lit(0).alias("_q"), F.col("_hi").alias("_left"), F.lit(None).cast("double").alias("_right"), F.lit(None).cast("string").alias("_w"))
     rights = spots.select(*keys, F.col("_lo").alias("_at"), F.lit(2).alias("_q"), F.lit(None).cast("double").alias("_left"), F.col("_lo").alias("_right"), F.lit(None).cast("string").alias("_w"))
     asks = moving.select(*keys, F.col("start_sec").alias("_at"), F.lit(1).alias("_q"), F.lit(None).cast("double").alias("_left"), F.lit(None).cast("double").alias("_right"), F.col(window).cast("string").alias("_w"))
-    line = value_chunk(lefts.unionByName(rights).unionByName(asks), keys, "_at", rows_per_chunk=rows_per_chunk)
     order = ["_at", "_q", F.coalesce("_w", F.lit(""))]
+    line = value_chunk(lefts.unionByName(rights).unionByName(asks), keys, order, rows_per_chunk=rows_per_chunk)
     line = ordered(line, keys, order, running={"_before": ("max", F.col("_left"))})
     back = [F.desc("_at"), F.desc("_q"), F.desc(F.coalesce("_w", F.lit("")))]
     line = ordered(line, keys, back, running={"_after": ("min", F.col("_right"))}, descending=True)
@@ -236,7 +236,7 @@ def guard_alignment(
     bins: str = "coverage_bins",
     epsilon: float = WINDOW_EPSILON,
     bin_sec: float = 64.0,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Take a move back (and flag it) when it leaves its coverage bin or hits another window.
 
@@ -267,7 +267,7 @@ def guard_alignment(
     undone = cut(meet(peers).filter("a_id <> b_id").select(*by, F.col("a_id").alias("id")).distinct())
     # Moved windows that meet each other lie in one run of overlaps. Each run is settled front to back.
     end = F.col("start_sec") + F.col("duration_sec")
-    line = value_chunk(moved.join(undone, [*by, "id"], "left_anti"), by, "start_sec", rows_per_chunk=rows_per_chunk)
+    line = value_chunk(moved.join(undone, [*by, "id"], "left_anti"), by, ["start_sec", "id"], rows_per_chunk=rows_per_chunk)
     line = ordered(line, by, ["start_sec", "id"], running={"_reach": ("max", end)})
     opens = F.coalesce(F.col("start_sec") >= F.col("_reach") - epsilon, F.lit(True)).cast("long")
     line = ordered(line.withColumn("_opens", opens), by, ["start_sec", "id"], running={"_runs": ("sum", F.col("_opens"))})
@@ -307,7 +307,7 @@ def max_disjoint_count(
     start: str = "start_sec",
     duration: str = "duration_sec",
     epsilon: float = WINDOW_EPSILON,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Largest number of pairwise disjoint intervals per group (earliest end first).
 
@@ -326,7 +326,7 @@ def max_disjoint_count(
 
 
 def _disjoint_by_doubling(
-    rows: DataFrame, by: list[str], start: str, duration: str, window: str, epsilon: float, rows_per_chunk: int
+    rows: DataFrame, by: list[str], start: str, duration: str, window: str, epsilon: float, rows_per_chunk: int | None
 ) -> DataFrame:
     """The greedy count as the length of a pointer chain.
 
@@ -342,7 +342,8 @@ def _disjoint_by_doubling(
     asks = items.select(
         *by, (F.col("_x.e") - epsilon).alias("_at"), F.lit(0).alias("_q"), none.alias("_offer"), F.col("_x").alias("_ask")
     )
-    line = value_chunk(offers.unionByName(asks), by, "_at", rows_per_chunk=rows_per_chunk)
+    order = ["_at", "_q", F.coalesce("_offer.id", "_ask.id")]
+    line = value_chunk(offers.unionByName(asks), by, order, rows_per_chunk=rows_per_chunk)
     back = [F.desc("_at"), F.desc("_q"), F.desc(F.coalesce("_offer.id", "_ask.id"))]
     line = ordered(line, by, back, running={"_next": ("min", F.col("_offer"))}, descending=True)
     hops = line.filter(F.col("_q") == 0).select(

@@ -13,7 +13,7 @@ from ratelens.policy import Profile
 
 
 def midranks(
-    df: DataFrame, by: Sequence[str], ranks: dict[str, str], *, rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, by: Sequence[str], ranks: dict[str, str], *, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Tie-averaged rank within the group, scaled to [0, 1], for each ``output -> column``; 0.5 for a single row.
 
@@ -22,7 +22,7 @@ def midranks(
     collapse before the shuffle, and the ranks are joined back.
     """
     by = list(by)
-    hot = hot_keys(df, by, rows_per_chunk=rows_per_chunk)
+    hot = hot_keys(df, by, rows_per_chunk=rows_per_chunk or ROWS_PER_CHUNK)
     if hot is None:
         return _windowed_ranks(df, by, ranks)
     cold = _windowed_ranks(df.join(hot, by, "left_anti"), by, ranks)
@@ -40,7 +40,7 @@ def _windowed_ranks(df: DataFrame, by: list[str], ranks: dict[str, str]) -> Data
     return out
 
 
-def _joined_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], rows_per_chunk: int) -> DataFrame:
+def _joined_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], rows_per_chunk: int | None) -> DataFrame:
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     out = df.join(sizes, by)
     for name, column in ranks.items():
@@ -55,7 +55,7 @@ def _joined_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], rows_per_
 
 
 def midrank(
-    df: DataFrame, by: Sequence[str], value: str, *, out: str = "midrank", rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, by: Sequence[str], value: str, *, out: str = "midrank", rows_per_chunk: int | None = None
 ) -> DataFrame:
     return midranks(df, by, {out: value}, rows_per_chunk=rows_per_chunk)
 

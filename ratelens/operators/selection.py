@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ratelens import policy
 from ratelens.functions.rate import ceil_candidate, floor_candidate
-from ratelens.plans.ordered import ROWS_PER_CHUNK, ordered, value_chunk
+from ratelens.plans.ordered import ordered, value_chunk
 
 FOUND, UNSATISFIED = "found", "constraint_unsatisfied"
 SIZE_BLOCKED, QUALITY_UNREACHABLE, MEDIA_BUDGET = "size_blocked", "quality_unreachable", "media_budget_too_small"
@@ -68,13 +68,13 @@ def select_candidate(candidates: DataFrame, limits: DataFrame, *, source: str =
     )
 
 
-def _with_next(candidates: DataFrame, by: Sequence[str], rows_per_chunk: int) -> DataFrame:
+def _with_next(candidates: DataFrame, by: Sequence[str], rows_per_chunk: int | None) -> DataFrame:
     rows = value_chunk(candidates, by, "bitrate_bps", rows_per_chunk=rows_per_chunk)
     return ordered(rows, by, ["bitrate_bps"], after={"next_bps": "bitrate_bps", "next_gate": "gate"})
 
 
 def threshold_bitrate(
-    candidates: DataFrame, target: Column, by: Sequence[str] = ("source_id",), *, rows_per_chunk: int = ROWS_PER_CHUNK
+    candidates: DataFrame, target: Column, by: Sequence[str] = ("source_id",), *, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Bitrate where the target is crossed: interpolated in the first failing-to-passing bracket, else lowest passing."""
     rows = _with_next(candidates.withColumn("_target", target), by, rows_per_chunk)
@@ -166,7 +166,7 @@ def propose_next(measured: DataFrame, limits: DataFrame, *, source: str = "sourc
 
 def propose_next_for_shots(
     measured: DataFrame, limits: DataFrame, by: Sequence[str] = ("title_id", "shot_idx"), *, max_trials: int = 5,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Per shot: half, base and double rate first; then bisect the bracket, double, or halve.
 
@@ -208,7 +208,7 @@ def propose_next_for_shots(
 
 
 def nonmonotone_points(
-    candidates: DataFrame, tolerance: float = 0.5, by: Sequence[str] = ("source_id",), *, rows_per_chunk: int = ROWS_PER_CHUNK
+    candidates: DataFrame, tolerance: float = 0.5, by: Sequence[str] = ("source_id",), *, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Neighbouring bitrates where the higher one scores lower by more than ``tolerance``."""
     rows = _with_next(candidates, by, rows_per_chunk)

@@ -11,7 +11,7 @@ from ratelens import policy
 from ratelens.functions.rate import predicted_bytes
 from ratelens.operators.frames import rolling_means
 from ratelens.operators.intervals import largest_gap
-from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, ROWS_PER_CHUNK, frame_chunks, ordered, value_chunk
+from ratelens.plans.ordered import FRAMES_PER_CHUNK, frame_chunks, ordered, value_chunk
 from ratelens.session import cut, spill
 
 
@@ -64,7 +64,7 @@ def promote_failed(
     refinement_round: int = 1,
     source: str = "source_id",
     total: str = "total_sec",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(windows, status) after failed holdouts joined the search pool.
 
@@ -122,7 +122,7 @@ def promote_failed(
 
 def calibration_windows(
     reserves: DataFrame, risk: DataFrame, blocked: DataFrame, *, source: str = "source_id", total: str = "total_sec",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Two reserves nearest the source's median risk, then nearest mid-timeline, for sources near the size limit.
 
@@ -179,18 +179,20 @@ def final_gate(
     ``frame_scores``: contiguous ``frame_no``, ``score``, ``fps``. ``shots``:
     ``shot_idx`` 0..n-1 with half-open frames. If the whole clip misses the
     target but no shot fails its floors, the shot with the largest
-    frame-weighted deficit fails. Adds the clip's mean as ``clip_mean``.
+    frame-weighted deficit fails. Adds the clip's mean and worst second as
+    ``clip_mean`` and ``clip_worst_1s``, and ``covered``: do the scores cover
+    exactly the frames of the shots? A clip that is not covered is not to pass.
     """
     shots = cut(shots)  # small, and read by every step
     second = F.greatest(F.lit(1), F.ceil("fps"))
     clips = frame_scores.groupBy(clip).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("score").alias("clip_mean"), F.max(second).cast("long").alias("_sec")
+        F.count(F.lit(1)).alias("_n"), F.avg("score").alias("clip_mean"), F.max(second).cast("long").alias("_sec"),
+        F.min("frame_no").alias("_first"), F.max("frame_no").alias("_top"), F.count_distinct("frame_no").alias("_frames"),
     )
     clips = clips.withColumn("_size", F.least("_n", "_sec"))
     starts = shots.select(clip, F.col("start_frame").alias("frame_no"), "shot_idx", F.col("start_frame").alias("_start"))
     rows = frame_scores.select(clip, "frame_no", "score", second.alias("_second")).join(starts, [clip, "frame_no"], "left")
     rows = frame_chunks(rows, "frame_no", frames_per_chunk=frames_per_chunk)
-    bounded = CHUNK not in rows.columns
     rows = ordered(
         rows, [clip], ["frame_no"], running={"_shot": ("max", F.col("shot_idx")), "_from": ("max", F.col("_start"))}
     )
@@ -201,22 +203,24 @@ def final_gate(
     rows = spill(rows, "gate-frames")  # one ordered pass over the frames, read four times below
     clips = cut(clips)
     keys = [clip, "shot_idx"]
-    inside = rolling_means(rows, keys, "_pos", "score", F.col("_second"), frames_per_chunk=frames_per_chunk, bounded=bounded or None)
+    inside = rolling_means(rows, keys, "_pos", "score", F.col("_second"), frames_per_chunk=frames_per_chunk)
     per_shot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.avg("score").alias("mean_vmaf"))
     per_shot = per_shot.join(inside.groupBy(*keys).agg(F.min("mean").alias("_low")), keys, "left")
     per_shot = per_shot.withColumn("worst_1s_vmaf", F.coalesce("_low", "mean_vmaf")).drop("_low")
 
     # Windows crossing a cut: for each cut only the (size - 1) window starts that reach over it.
     sized = rows.select(clip, "frame_no", "score").join(clips.select(clip, "_size"), clip)
-    across = rolling_means(sized, [clip], "frame_no", "score", F.col("_size"), frames_per_chunk=frames_per_chunk, bounded=bounded or None)
+    across = rolling_means(sized, [clip], "frame_no", "score", F.col("_size"), frames_per_chunk=frames_per_chunk)
     across = across.select(clip, (F.col("last_pos") - F.col("size") + 1).alias("_w"), F.col("mean").alias("_m"))
     cuts = shots.filter("shot_idx > 0").join(clips.select(clip, "_n", "_size"), clip)
     low = F.greatest(F.lit(0).cast("long"), F.col("start_frame") - F.col("_size") + 1)
     high = F.least(F.col("start_frame"), F.col("_n") - F.col("_size") + 1) - 1
     cuts = cuts.filter(high >= low).select(clip, (F.col("shot_idx") - 1).alias("shot_idx"), F.explode(F.sequence(low, high)).alias("_w"))
     boundary = cuts.join(across, [clip, "_w"]).groupBy(*keys).agg(F.min("_m").alias("_edge"))
-    last = shots.groupBy(clip).agg(F.max("shot_idx").alias("_last"))
-    out = per_shot.join(last, clip).join(boundary, keys, "left").join(clips.select(clip, "clip_mean"), clip)
+    whole = across.groupBy(clip).agg(F.min("_m").alias("clip_worst_1s"))
+    last = shots.groupBy(clip).agg(F.max("shot_idx").alias("_last"), F.max("end_frame").alias("_end"))
+    covered = (F.col("_first") == 0) & (F.col("_n") == F.col("_frames")) & (F.col("_n") == F.col("_end")) & (F.col("_top") == F.col("_n") - 1)
+    out = per_shot.join(last, clip).join(boundary, keys, "left").join(clips.join(whole, clip, "left"), clip)
     out = out.withColumn("boundary_worst_1s", F.when(F.col("shot_idx") < F.col("_last"), F.coalesce("_edge", F.lit(100.0))))
     mean_floor, worst_floor = max(0.0, target - policy.SHOT_MEAN_FLOOR_DROP), max(0.0, target - policy.SHOT_WORST_FLOOR_DROP)
     own = (F.col("mean_vmaf") < mean_floor) | (F.col("worst_1s_vmaf") < worst_floor)
@@ -230,5 +234,6 @@ def final_gate(
     )
     pick = (F.col("clip_mean") < target) & ~F.col("_any") & (F.col("shot_idx") == F.col("_worst_shot"))
     return out.join(state, clip).select(
-        *keys, "frames", "mean_vmaf", "worst_1s_vmaf", "boundary_worst_1s", (F.col("_failed") | pick).alias("failed"), "clip_mean"
+        *keys, "frames", "mean_vmaf", "worst_1s_vmaf", "boundary_worst_1s", (F.col("_failed") | pick).alias("failed"), "clip_mean",
+        F.coalesce("clip_worst_1s", "clip_mean").alias("clip_worst_1s"), covered.alias("covered"),
     )

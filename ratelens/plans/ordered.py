@@ -1,19 +1,18 @@
 """Ordered computations inside a group whose size is not bounded.
 
 A plain ``Window.partitionBy(key).orderBy(x)`` sends every row of a key to one
-task. One clip, source or title may hold a third of all rows, so raw rows are
-only windowed like that after a check that no key is too large. Where one is:
+task. One clip, source or title may hold a third of all rows, so, at every size:
 
-1. rows get a *chunk*: a range of the order column. Frame numbers are dense, so
-   ``frame div 65536`` is enough (:func:`frame_chunks`). For other columns only
-   the hot keys are cut, into equal ranges of their own span
+1. rows get a *chunk*: a range of the order columns. Frame numbers are dense, so
+   ``frame div 65536`` is enough (:func:`frame_chunks`). Other rows are dealt by
+   ranges of (key, order), which splits by rows, whatever the key or its values
    (:func:`value_chunk`);
 2. the window runs on ``(key, chunk)``;
 3. what the earlier chunks contribute is joined in: one small row per chunk
    (:func:`ordered`).
 
-Both checks are one map-side-combined aggregate over narrow columns. A frame
-without the chunk column needs no cutting and gets the plain window.
+No job looks at sizes. Ranges come from a sample, so :func:`value_chunk` writes
+the chunked rows once, and the window and the carry both read that copy.
 """
 
 from __future__ import annotations
@@ -23,13 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.session import cut
+from ratelens.session import cut, spill
 
 FRAMES_PER_CHUNK = 1 << 16
+#: Rows from which :func:`hot_keys` calls a key large.
 ROWS_PER_CHUNK = 1_000_000
-#: A key outside the ``MAX_HOT_KEYS`` largest ones holds less than 1/4096 of all
-#: rows, so it needs no cutting; that bounds the broadcast in value_chunk.
-MAX_HOT_KEYS = 4096
 
 CHUNK = "_chunk"
 
@@ -41,53 +38,38 @@ def frame_chunk(position: Column, frames_per_chunk: int = FRAMES_PER_CHUNK) -> C
 def frame_chunks(
     df: DataFrame, frame: str, *, frames_per_chunk: int = FRAMES_PER_CHUNK, out: str = CHUNK
 ) -> DataFrame:
-    """Add ``out`` when some group may span more than one chunk of frame numbers."""
-    low, high = df.agg(F.min(frame), F.max(frame)).first()
-    if low is None or high - low < frames_per_chunk:
-        return df
+    """Add ``out``: the range of frame numbers that each row lies in."""
     return df.withColumn(out, frame_chunk(F.col(frame), frames_per_chunk))
 
 
 def value_chunk(
     df: DataFrame,
     by: Sequence[str],
-    value: Column | str,
+    order: Column | str | Sequence[Column | str],
     *,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
     out: str = CHUNK,
 ) -> DataFrame:
-    """Add ``out`` when some key is too large: a range index of ``value`` for such keys, 0 for others.
+    """``df``, written out, with ``out``: the range of (``by``, ``order``) that each row lies in.
 
-    At most ``MAX_HOT_KEYS`` keys can hold 1/4096 of the rows or more, which
-    bounds both the result of the check and the broadcast, whatever the input
-    size. Chunk bounds are arithmetic on exact count/min/max, so evaluating the
-    frame twice gives the same chunks.
+    Give all order columns, so that even rows of one key and one value can be
+    split. There are as many ranges as Spark makes shuffle partitions, or, with
+    ``rows_per_chunk``, as many as it takes (that counts the rows first).
     """
-    value = F.col(value) if isinstance(value, str) else value
-    value = value.cast("double")
-    spans = (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        .filter((F.col("_n") > rows_per_chunk) & (F.col("_hi") > F.col("_lo")))
-        .orderBy(F.desc("_n"), *by)
-        .limit(MAX_HOT_KEYS)
-        .withColumn("_parts", F.ceil(F.col("_n") / F.lit(rows_per_chunk)))
-    )
-    hot = spans.collect()  # at most MAX_HOT_KEYS rows
-    if not hot:
-        return df
-    known = F.broadcast(df.sparkSession.createDataFrame(hot, spans.schema))
-    part = F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts"))
-    chunk = F.coalesce(F.least(part, F.col("_parts") - 1), F.lit(0)).cast("long")
-    return df.join(known, list(by), "left").withColumn(out, chunk).drop("_n", "_lo", "_hi", "_parts")
+    order = [order] if isinstance(order, str | Column) else list(order)
+    keys = [*by, *order]
+    if rows_per_chunk is None:
+        ranged = df.repartitionByRange(*keys)
+    else:
+        ranged = df.repartitionByRange(max(1, -(-df.count() // rows_per_chunk)), *keys)
+    return spill(ranged.withColumn(out, F.spark_partition_id().cast("long")), "chunks")
 
 
 def hot_keys(df: DataFrame, by: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame | None:
-    """The keys with more than ``rows_per_chunk`` rows (at most ``MAX_HOT_KEYS``), or None."""
+    """The keys with more than ``rows_per_chunk`` rows, written out, or None."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk)
-    top = sizes.orderBy(F.desc("_n"), *by).limit(MAX_HOT_KEYS)
-    found = top.collect()  # at most MAX_HOT_KEYS rows
-    return F.broadcast(df.sparkSession.createDataFrame(found, top.schema).select(*by)) if found else None
+    found = spill(sizes.select(*by), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def _fold(kind: str, column: Column) -> Column:

@@ -518,8 +518,9 @@ def expand(t):
     a AS (SELECT sh.*, clip_mean, CASE WHEN sh.shot < mx THEN coalesce(edge, 100) END AS edge FROM sh JOIN c ON c.clip_id = sh.clip_id JOIN (SELECT clip_id, max(shot) AS mx FROM sh GROUP BY 1) x ON x.clip_id = sh.clip_id
       LEFT JOIN bd ON bd.clip_id = sh.clip_id AND bd.shot = sh.shot),
     fl AS (SELECT *, mean < 76 OR worst < 72 OR coalesce(edge < 72, false) OR coalesce(lag(edge < 72) OVER (PARTITION BY clip_id ORDER BY shot), false) AS f FROM a),
-    an AS (SELECT *, bool_or(f) OVER (PARTITION BY clip_id) AS anyf, row_number() OVER (PARTITION BY clip_id ORDER BY (80 - mean) * frames DESC, shot) AS rn FROM fl)
-    SELECT clip_id, shot::BIGINT AS shot_idx, frames, round(mean, 8) AS mean_vmaf, round(worst, 8) AS worst_1s_vmaf, round(edge, 8) AS boundary_worst_1s, f OR (clip_mean < 80 AND NOT anyf AND rn = 1) AS failed, round(clip_mean, 8) AS clip_mean FROM an
+    an AS (SELECT *, bool_or(f) OVER (PARTITION BY clip_id) AS anyf, row_number() OVER (PARTITION BY clip_id ORDER BY (80 - mean) * frames DESC, shot) AS rn FROM fl),
+    cw AS (SELECT clip_id, min(m) AS low FROM rl WHERE frame_no >= len - 1 GROUP BY 1)
+    SELECT an.clip_id, shot::BIGINT AS shot_idx, frames, round(mean, 8) AS mean_vmaf, round(worst, 8) AS worst_1s_vmaf, round(edge, 8) AS boundary_worst_1s, f OR (clip_mean < 80 AND NOT anyf AND rn = 1) AS failed, round(clip_mean, 8) AS clip_mean, round(low, 8) AS clip_worst_1s, true AS covered FROM an JOIN cw ON cw.clip_id = an.clip_id
     """,
     uses="frame_scores frame_metrics",
 )
@@ -527,7 +528,7 @@ def gate(t):
     shots = shots_from_cuts(t.frame_metrics, ["clip_id"])
     shots = position(value_chunk(shots, ["clip_id"], "start_frame"), ["clip_id"], ["start_frame"], out="shot_idx")
     out = verification.final_gate(t.frame_scores, shots, 80.0)
-    rounded = ("mean_vmaf", "worst_1s_vmaf", "boundary_worst_1s", "clip_mean")
+    rounded = ("mean_vmaf", "worst_1s_vmaf", "boundary_worst_1s", "clip_mean", "clip_worst_1s")
     return out.select(*[F.round(c, 8).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
 

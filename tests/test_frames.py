@@ -125,7 +125,41 @@ def test_ordered_results_do_not_depend_on_chunks(spark):
     total = {"hot": sum(r[1] for r in rows if r[0] == "hot"), "cold": 10}
     for a, b in zip(sorted(plain.collect(), key=lambda r: (r.k, r.id)), sorted(down.collect(), key=lambda r: (r.k, r.id))):
         assert a.s + a.x + b.s == total[a.k]
-    assert "_chunk" not in frame_chunks(df, "x").columns
+    assert {r._chunk for r in frame_chunks(df, "x", frames_per_chunk=100).select("_chunk").distinct().collect()} == set(range(10))
+
+
+def test_chunks_split_by_rows_whatever_the_values(spark):
+    piled = [("a", 0, 0), ("a", 100_000, 1)] + [("a", 500 + i % 50, 2 + i) for i in range(900)]
+    single = [("b", 7, i) for i in range(900)]
+    df = spark.createDataFrame(piled + single, "k string, x long, id long")
+    cut = value_chunk(df, ["k"], ["x", "id"], rows_per_chunk=100)
+    sizes = [r["count"] for r in cut.groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 400
+    got = {(r.k, r.id): r.n for r in ordered(cut, ["k"], ["x", "id"], running={"n": ("sum", F.lit(1))}).collect()}
+    for k in "ab":
+        line = sorted((r[1], r[2]) for r in piled + single if r[0] == k)
+        assert [got[k, i] for _, i in line] == list(range(len(line)))
+
+
+def test_chunking_runs_no_job_that_only_looks_at_sizes(spark):
+    df = spark.createDataFrame([("a", i, i) for i in range(50)], "k string, x long, id long")
+    tracker, seen = spark.sparkContext.statusTracker(), []
+
+    def jobs(build):
+        group = f"counted-{len(seen)}"
+        seen.append(group)
+        spark.sparkContext.setJobGroup(group, group)
+        out = build()
+        found = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("other", "other")
+        return out, found
+
+    _, none = jobs(lambda: frame_chunks(df, "x"))
+    assert none == 0
+    # The range sample and the write; then what the chunks carry over, written as well.
+    cut, wrote = jobs(lambda: value_chunk(df, ["k"], ["x", "id"]))
+    _, carried = jobs(lambda: ordered(cut, ["k"], ["x", "id"], running={"n": ("sum", F.lit(1))}))
+    assert wrote <= 3 and carried <= 4
 
 
 def test_score_documents(spark):
