@@ -49,23 +49,29 @@ def _limits(t):
     )
 
 
-_SELECT_SQL = """
-    el AS (SELECT l.source_id, bitrate_bps, gate, predicted_bytes, predicted_ratio, gate >= target AS pass, predicted_bytes <= max_output_bytes AS fit, gate >= target + margin AS pref
-      FROM lim l JOIN cands c ON c.source_id = l.source_id AND bitrate_bps >= min_video_bps AND (cap = 0 OR bitrate_bps <= cap)),
-    ag AS (SELECT source_id, coalesce(min(bitrate_bps) FILTER (WHERE pass AND fit AND pref), min(bitrate_bps) FILTER (WHERE pass AND fit)) AS ch,
-      min(bitrate_bps) FILTER (WHERE pass) AS req, max(gate) FILTER (WHERE fit) AS bg FROM el GROUP BY 1),
-    bf AS (SELECT el.source_id, min(bitrate_bps) AS bf FROM el JOIN ag ON ag.source_id = el.source_id AND fit AND gate = bg GROUP BY 1),
-    pk AS (SELECT l.*, max_video_bps < min_video_bps AS tight, ch, req, bf, bg, r.predicted_bytes AS rb, r.predicted_ratio AS rr, coalesce(ch, req, bf) AS sel
-      FROM lim l LEFT JOIN ag ON ag.source_id = l.source_id LEFT JOIN bf ON bf.source_id = l.source_id LEFT JOIN cands r ON r.source_id = l.source_id AND r.bitrate_bps = req),
-    sl AS (SELECT pk.source_id, CASE WHEN NOT tight AND ch IS NOT NULL THEN 'found' ELSE 'constraint_unsatisfied' END AS status,
-      CASE WHEN tight THEN 'media_budget_too_small' WHEN ch IS NOT NULL THEN NULL WHEN rb > pk.max_output_bytes THEN 'size_blocked' ELSE 'quality_unreachable' END AS failure_kind,
+def _select_sql(n: str = "") -> str:
+    """The selection over the limits ``lim{n}``, as CTEs up to ``sl{n}``."""
+    return f"""
+    el{n} AS (SELECT l.source_id, bitrate_bps, gate, predicted_bytes, predicted_ratio, gate >= target AS pass, predicted_bytes <= max_output_bytes AS fit, gate >= target + margin AS pref
+      FROM lim{n} l JOIN cands c ON c.source_id = l.source_id AND bitrate_bps >= min_video_bps AND (cap = 0 OR bitrate_bps <= cap)),
+    ag{n} AS (SELECT source_id, coalesce(min(bitrate_bps) FILTER (WHERE pass AND fit AND pref), min(bitrate_bps) FILTER (WHERE pass AND fit)) AS ch,
+      min(bitrate_bps) FILTER (WHERE pass) AS req, max(gate) FILTER (WHERE fit) AS bg FROM el{n} GROUP BY 1),
+    bf{n} AS (SELECT el{n}.source_id, min(bitrate_bps) AS bf FROM el{n} JOIN ag{n} ON ag{n}.source_id = el{n}.source_id AND fit AND gate = bg GROUP BY 1),
+    pk{n} AS (SELECT l.*, max_video_bps < min_video_bps AS tight, ch, req, bf, bg, r.predicted_bytes AS rb, r.predicted_ratio AS rr, coalesce(ch, req, bf) AS sel
+      FROM lim{n} l LEFT JOIN ag{n} ON ag{n}.source_id = l.source_id LEFT JOIN bf{n} ON bf{n}.source_id = l.source_id LEFT JOIN cands r ON r.source_id = l.source_id AND r.bitrate_bps = req),
+    sl{n} AS (SELECT pk{n}.source_id, CASE WHEN NOT tight AND ch IS NOT NULL THEN 'found' ELSE 'constraint_unsatisfied' END AS status,
+      CASE WHEN tight THEN 'media_budget_too_small' WHEN ch IS NOT NULL THEN NULL WHEN rb > pk{n}.max_output_bytes THEN 'size_blocked' ELSE 'quality_unreachable' END AS failure_kind,
       CASE WHEN tight THEN 0 ELSE coalesce(sel, 0) END::BIGINT AS selected_bps, CASE WHEN NOT tight THEN s.gate END AS gate,
       CASE WHEN NOT tight THEN s.predicted_bytes END AS predicted_bytes, CASE WHEN NOT tight AND ch IS NULL THEN rr END AS required_ratio,
       CASE WHEN NOT tight AND ch IS NULL THEN req END AS required_bps, CASE WHEN NOT tight THEN bf END AS best_fit_bps, CASE WHEN NOT tight THEN bg END AS best_fit_gate
-      FROM pk LEFT JOIN cands s ON s.source_id = pk.source_id AND s.bitrate_bps = sel)
+      FROM pk{n} LEFT JOIN cands s ON s.source_id = pk{n}.source_id AND s.bitrate_bps = sel)
 """
 
 
+_SELECT_SQL = _select_sql()
+
+
+
 @query(
     "q01_predict_size",
     f"""
@@ -204,9 +210,22 @@ def propose(t):
     return selection.propose_next(some, limits)
 
 
-@query("q06_propose_next_for_shots")
+@query(
+    "q06_propose_next_for_shots",
+    """
+    WITH m AS (SELECT title_id, shot_idx, (cand_id * 750000 + 750000)::BIGINT AS b, mean_vmaf AS g, 86 + title_id % 6 AS target FROM shot_candidates),
+    l AS (SELECT *, lead(b) OVER w AS nb, lead(g) OVER w AS ng FROM m WINDOW w AS (PARTITION BY title_id, shot_idx ORDER BY b)),
+    a AS (SELECT title_id, shot_idx, count(*)::BIGINT AS trials, arg_min((b + nb) // 2000 * 1000, b) FILTER (WHERE g < target AND ng >= target) AS mid,
+        max(g) < max(target) AS short, least(6000000, max(b) * 2) AS dbl, greatest(250000, min(b) // 2000 * 1000) AS half FROM l GROUP BY 1, 2),
+    st AS (SELECT a.title_id, a.shot_idx, min(s.b) AS b FROM a CROSS JOIN (VALUES (750000), (1500000), (3000000)) s(b)
+      WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.title_id = a.title_id AND m.shot_idx = a.shot_idx AND m.b = s.b) GROUP BY 1, 2),
+    n AS (SELECT a.*, coalesce(st.b, mid, CASE WHEN short THEN dbl ELSE half END) AS nx FROM a LEFT JOIN st ON st.title_id = a.title_id AND st.shot_idx = a.shot_idx)
+    SELECT title_id, shot_idx, trials, CASE WHEN trials < 7 AND NOT EXISTS (SELECT 1 FROM m WHERE m.title_id = n.title_id AND m.shot_idx = n.shot_idx AND m.b = nx) THEN nx END::BIGINT AS next_bps FROM n
+    """,
+    uses="shot_candidates",
+)
 def propose_shots(t):
-    m = t.shot_candidates.select("title_id", "shot_idx", (F.col("cand_id") * 500_000 + 250_000).alias("bitrate_bps"), F.col("mean_vmaf").alias("gate"))
+    m = t.shot_candidates.select("title_id", "shot_idx", (F.col("cand_id") * 750_000 + 750_000).cast("long").alias("bitrate_bps"), F.col("mean_vmaf").alias("gate"))
     limits = m.select("title_id", "shot_idx").distinct().selectExpr(
         "title_id", "shot_idx", "CAST(86 + title_id % 6 AS DOUBLE) AS target", "CAST(1500000 AS BIGINT) AS base_bps", "CAST(250000 AS BIGINT) AS min_video_bps",
         "CAST(6000000 AS BIGINT) AS ceiling_bps",
@@ -548,13 +567,27 @@ def options(t):
     return out.withColumn("suggested_value", F.round("suggested_value", 9))
 
 
-@query("q19_resolve_policy")
+@query(
+    "q19_resolve_policy",
+    f"""WITH {_CANDS_SQL}, {_SELECT_SQL},
+    pol AS (SELECT sl.*, lim.* EXCLUDE (source_id), failure_kind = 'size_blocked' AND lim.source_id % 3 = 0 AND required_ratio <= 1 AS by_size,
+      failure_kind = 'size_blocked' AND lim.source_id % 3 = 1 AND best_fit_gate IS NOT NULL AS by_quality FROM sl JOIN lim ON lim.source_id = sl.source_id),
+    lim2 AS (SELECT source_id, (CASE WHEN by_quality THEN best_fit_gate ELSE target END) AS target, margin, min_video_bps, cap,
+      CASE WHEN by_size THEN greatest(1, CAST(floor(source_bytes * nextafter(required_ratio, 1.0::DOUBLE)) AS BIGINT)) ELSE max_output_bytes END AS max_output_bytes,
+      CASE WHEN by_size THEN greatest(max_video_bps, min_video_bps) ELSE max_video_bps END AS max_video_bps FROM pol WHERE by_size OR by_quality),
+    {_select_sql("2")},
+    al AS (SELECT *, true AS relaxed FROM sl2 UNION ALL SELECT *, false FROM sl WHERE source_id NOT IN (SELECT source_id FROM lim2))
+    SELECT source_id, status, failure_kind, selected_bps, gate, predicted_bytes, round(required_ratio, 9) AS required_ratio, required_bps, best_fit_bps, best_fit_gate, relaxed,
+      CASE WHEN failure_kind = 'size_blocked' AND required_ratio > 1 THEN 'smart_predicted_oversize' WHEN failure_kind = 'quality_unreachable' AND source_id % 2 = 0 THEN 'smart_analysis' END AS skip_origin FROM al""",
+    uses="trials",
+)
 def policy(t):
     limits = _limits(t).selectExpr(
         "*", "CASE source_id % 3 WHEN 0 THEN 'relax_size' WHEN 1 THEN 'relax_quality' ELSE 'ask' END AS size_policy",
         "CASE WHEN source_id % 2 = 0 THEN 'skip' ELSE 'ask' END AS quality_policy",
     )
-    return selection.resolve_policy(_cands(t), limits)
+    out = selection.resolve_policy(_cands(t), limits)
+    return out.drop("predicted_ratio", "max_output_bytes").withColumn("required_ratio", F.round("required_ratio", 9))
 
 
 @query(
