@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm.graph import components
-from ratelens.llm.words import SPACED, combine, hash_words, mix, per_batch
+from ratelens.llm.words import SPACED, combine, hash_words, mix, per_batch, slices
 from ratelens.session import spill
 
 BANDS, ROWS = 40, 5
@@ -33,10 +33,10 @@ SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
 BLOCK = 512
+_SLICE = 4 << 20
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
 _FACTOR = (_SEEDS[:SAMPLES] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 _SHIFT = (_SEEDS[SAMPLES:] >> np.uint64(32)).astype(np.uint32)[:, None]
-_BAND = np.repeat(np.arange(BANDS, dtype=np.uint64), ROWS).reshape(BANDS, ROWS)
 
 
 def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -95,8 +95,18 @@ def _list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
 
 
+def _sliced(one):
+    """``one`` over parts of a few megabytes of text of each batch."""
+
+    def over(batches):
+        for batch in batches:
+            yield from map(one, slices(batch, "text", _SLICE))
+
+    return over
+
+
 def _features(words: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         samples = np.empty((n, SAMPLES), np.uint32)
         sizes = np.empty(n, np.int64)
@@ -114,15 +124,15 @@ def _features(words: int):
             names=["id", "n", "d1", "d2", "bands", "sketch"],
         )
 
-    return per_batch(run)
+    return _sliced(one)
 
 
 def _packed_sets(words: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [s.tobytes() for s in _sets(batch.column("text"), words)]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "shingles"])
 
-    return per_batch(run)
+    return _sliced(one)
 
 
 def _similar(common: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
