@@ -16,6 +16,7 @@ from ratelens import policy
 from ratelens.functions.rate import ceil_candidate, floor_candidate
 from ratelens.plans.ordered import ordered, value_chunk
 
+PREDICTED_MARGIN = 0.8  # fixed value: points by which a predicted rate must pass for a lower one to be tried
 FOUND, UNSATISFIED = "found", "constraint_unsatisfied"
 SIZE_BLOCKED, QUALITY_UNREACHABLE, MEDIA_BUDGET = "size_blocked", "quality_unreachable", "media_budget_too_small"
 
@@ -116,11 +117,20 @@ def propose_next(measured: DataFrame, limits: DataFrame, *, source: str = "sourc
     Order: budget, floor (if the budget passes) or ceiling (if it fails), then
     bisection between the highest failing and the lowest passing bitrate.
     ``limits``: ``target``, ``min_video_bps``, ``max_video_bps``, ``ceiling_bps``,
-    ``tolerance_bps``.
+    ``tolerance_bps``, and where one is known ``predicted_bps``. A predicted rate
+    comes first. If it passes, the search is over, after one more rate a third of
+    the way down where it passes by ``PREDICTED_MARGIN``; if it fails, the order
+    above follows.
     """
+    predicted = F.col("predicted_bps").cast("long") if "predicted_bps" in limits.columns else F.lit(None).cast("long")
+    lowest = ceil_candidate("min_video_bps")
     bounds = limits.select(
         source,
         "target",
+        F.when(
+            predicted.isNotNull(),
+            F.least(floor_candidate(F.greatest(lowest, predicted)), floor_candidate(F.greatest("ceiling_bps", "max_video_bps"))),
+        ).alias("_predicted"),
         floor_candidate("max_video_bps").alias("_budget"),
         ceil_candidate("min_video_bps").alias("_floor"),
         floor_candidate(F.greatest("ceiling_bps", "max_video_bps")).alias("_ceiling"),
@@ -133,8 +143,10 @@ def propose_next(measured: DataFrame, limits: DataFrame, *, source: str = "sourc
         return F.bool_or(F.when(rate == F.col(column), passes))
 
     low_pass = F.min(F.when(passes, rate))
-    state = rows.groupBy(source, "_budget", "_floor", "_ceiling", "_stop").agg(
+    state = rows.groupBy(source, "_budget", "_floor", "_ceiling", "_stop", "_predicted").agg(
         F.count("bitrate_bps").alias("trials"),
+        at("_predicted").alias("_at_predicted"),
+        F.bool_or(F.when(rate == F.col("_predicted"), F.col("gate") >= F.col("target") + PREDICTED_MARGIN)).alias("_well"),
         at("_budget").alias("_at_budget"),
         at("_floor").alias("_at_floor"),
         at("_ceiling").alias("_at_ceiling"),
@@ -149,8 +161,13 @@ def propose_next(measured: DataFrame, limits: DataFrame, *, source: str = "sourc
     low = F.greatest(start, F.coalesce("_low", start))
     middle = floor_candidate(F.floor((low + F.col("_high")) / 2))
     wide = (F.col("_high") - low) > F.col("_stop")
+    third = F.floor((F.col("_predicted") - F.col("_floor")) / 3)
+    nearby = floor_candidate(F.greatest("_floor", F.col("_predicted") - F.greatest("_stop", third)))
     step = (
-        F.when(F.col("_at_budget").isNull(), F.col("_budget"))
+        F.when(F.col("_predicted").isNotNull() & F.col("_at_predicted").isNull(), F.col("_predicted"))
+        .when(F.col("_at_predicted") & F.col("_well"), nearby)
+        .when(F.col("_at_predicted"), F.lit(None))
+        .when(F.col("_at_budget").isNull(), F.col("_budget"))
         .when(F.col("_at_budget") & F.col("_at_floor").isNull(), F.col("_floor"))
         .when(F.col("_at_budget") & F.col("_at_floor"), F.lit(None))
         .when(~F.col("_at_budget") & F.col("_at_ceiling").isNull(), F.col("_ceiling"))

@@ -62,6 +62,7 @@ def promote_failed(
     *,
     sample_sec: float = policy.BALANCE.sample_duration_sec,
     refinement_round: int = 1,
+    refinement_limit: int | None = None,
     source: str = "source_id",
     total: str = "total_sec",
     rows_per_chunk: int | None = None,
@@ -71,10 +72,16 @@ def promote_failed(
     ``windows``: ``pool, window_id, start_sec, duration_sec, reasons, scout_id``.
     ``failed``: ``(source, window_id)``. A failed blind holdout is replaced from
     the widest unobserved gap; a source left without holdouts takes its first
-    reserve. Sources that run out get status ``failed`` with a reason. Only
+    reserve. Sources that run out get status ``failed`` with a reason, as do all
+    in a round beyond ``refinement_limit``, whose windows stay as they are. Only
     sources with a failed holdout are returned.
     """
     touched = failed.select(source).distinct()
+    if refinement_limit is not None and refinement_round > refinement_limit:
+        over = F.lit("holdouts still fail after the last refinement round")
+        return windows.join(touched, source, "left_semi"), touched.select(
+            source, F.lit("failed").alias("status"), over.alias("reason")
+        )
     rows = windows.join(touched, source, "left_semi").join(failed.select(source, "window_id", F.lit(True).alias("_f")), [source, "window_id"], "left")
     lost = (F.col("pool") == "holdout") & F.col("_f").isNotNull()
     rows = cut(rows.withColumn("_lost", lost).drop("_f"))  # read by every step below

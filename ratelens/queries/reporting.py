@@ -107,8 +107,8 @@ def cases(t):
 @query(
     "r04_case_errors",
     """
-    SELECT case_id, CASE case_id % 20 WHEN 1 THEN 'analysis_wall_seconds must be a finite non-negative number' WHEN 2 THEN 'final_encode_wall_seconds must be greater than zero'
-      WHEN 3 THEN 'smart_passed is required' ELSE 'oracle_bps must be a positive integer or null' END AS reason FROM measurements WHERE case_id % 20 IN (1, 2, 3, 4)
+    SELECT case_id, CASE case_id % 20 WHEN 1 THEN 'analysis_wall_seconds: missing, negative or not finite' WHEN 2 THEN 'final_encode_wall_seconds: not above 0'
+      WHEN 3 THEN 'smart_passed: missing' ELSE 'oracle_bps: not above 0' END AS reason FROM measurements WHERE case_id % 20 IN (1, 2, 3, 4)
     """,
     uses="measurements",
 )

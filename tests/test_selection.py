@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ratelens.operators import allocation, prediction, reports, selection
+from ratelens.operators import allocation, prediction, reports, selection, verification
 from ratelens.sources import catalog, store
 from ratelens.streaming import live
 
@@ -18,6 +18,30 @@ def _pick(spark, cands, limit):
     return selection.select_candidate(c, spark.createDataFrame([(1, *limit)], LIMITS)).first()
 
 
+def test_a_predicted_rate_comes_first(spark):
+    predicted = [2_000_400, 2_000_400, 2_000_400, 2_000_400, None, 100, 2_000_400]
+    limits = spark.createDataFrame(
+        [(i, 80.0, 500_000, 4_000_000, 8_000_000, 50_000, p) for i, p in enumerate(predicted)],
+        "source_id int, target double, min_video_bps long, max_video_bps long, ceiling_bps long, tolerance_bps int, predicted_bps long",
+    )
+    rows = [(1, 2_000_000, 80.5), (2, 2_000_000, 81.0), (3, 2_000_000, 70.0), (6, 2_000_000, 81.0), (6, 1_500_000, 79.0)]
+    measured = spark.createDataFrame(rows, "source_id int, bitrate_bps long, gate double")
+    got = {r.source_id: r.next_bps for r in selection.propose_next(measured, limits).collect()}
+    assert got == {0: 2_000_000, 1: None, 2: 1_500_000, 3: 4_000_000, 4: 4_000_000, 5: 500_000, 6: None}
+
+
+def test_no_refinement_beyond_the_limit(spark):
+    windows = spark.createDataFrame(
+        [("a", "holdout", "h", 5.0, 2.0, ["x"], "s1"), ("b", "holdout", "h", 5.0, 2.0, ["x"], "s1")],
+        "source_id string, pool string, window_id string, start_sec double, duration_sec double, reasons array<string>, scout_id string",
+    )
+    failed = spark.createDataFrame([("a", "h")], "source_id string, window_id string")
+    totals = spark.createDataFrame([("a", 60.0)], "source_id string, total_sec double")
+    kept, status = verification.promote_failed(windows, failed, windows, totals, refinement_round=3, refinement_limit=2)
+    assert [(r.source_id, r.pool) for r in kept.collect()] == [("a", "holdout")]
+    assert [r.status for r in status.collect()] == ["failed"]
+
+
 def test_soft_margin_and_size(spark):
     cands = [(1_600_000, 90.2, 1600, 0.16), (1_700_000, 90.7, 1700, 0.17), (900_000, 85.0, 900, 0.09)]
     r = _pick(spark, cands, (90.0, 0.4, 250_000, 0, 10_000, 5_000_000))
