@@ -323,7 +323,8 @@ def near_copies(
     # Classes of equal sets; only their smallest item goes on.
     known = features.where("id IS NOT NULL AND n > 0")
     classes = known.groupBy("d1", "d2", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-    copies = classes.where("rows > 1").drop("rows")
+    # Written out, so that the join below can split the rows of a class that a third of all logs belong to.
+    copies = spill(classes.where("rows > 1").drop("rows"), "near-copies")
     members = spill(
         features.select("id", "n", "d1", "d2")
         .join(copies, ["d1", "d2", "n"], "left")
@@ -383,7 +384,9 @@ def near_copies(
     ).select(F.col("node").alias("id"), F.col("component").alias("pool"))
     pooled = spill(pools.join(parted.select("id", "part"), "id"), "near-pools")
     more = (
-        _block_pairs(pooled.join(sets, "id"), "pool", ["id", "part", "shingles"], alone=True)
+        _block_pairs(pooled, "pool", ["id", "part"], alone=True)
+        .join(sets, "id")
+        .repartition("pool", "p", "q")  # a pool's block pairs must not follow the pool into one task
         .groupBy("pool", "p", "q")
         .applyInArrow(_pool_links(percent), "a long, b long")
     )
