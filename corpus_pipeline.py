@@ -16,37 +16,42 @@ from ratelens.session import spill
 ORACLE_SQL = None
 
 
+#: Column that no table of documents is expected to have.
+KEY = "__key"
+
+
 def _key() -> Column:
     """``doc_id``, or for a document without one a negative number that its text determines."""
-    return F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text")).cast("long") - 2).alias("item_id")
+    return F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") % (1 << 62)) - 2)
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Documents whose key is not among ``keys``."""
-    left_out = spill(keys.select("item_id").distinct(), "left-out")
-    return docs.withColumn("item_id", _key()).join(left_out, "item_id", "left_anti").select(*docs.columns)
+    left_out = spill(keys.select(F.col("item_id").alias(KEY)).distinct(), "left-out")
+    return docs.withColumn(KEY, _key()).join(left_out, KEY, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from labelled ones whose crc32(doc_id) mod 5 is not 0."""
-    texts = docs.withColumnRenamed("doc_id", "item_id")
+    # The whole row goes along as one column, so that no extra column can clash.
+    texts = docs.select(F.col("doc_id").alias("item_id"), "text", F.struct(*docs.columns).alias("document"))
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("item_id"), "toxic")
     held_out = F.crc32(F.col("item_id").cast("string").cast("binary")) % 5 == 0
     model = fit_toxicity(texts, marks.where(~held_out))
-    scored = score_toxicity(texts, model, carry=tuple(c for c in texts.columns if c != "item_id"))
-    return scored.where("score < 0.5").withColumnRenamed("item_id", "doc_id").select(*docs.columns)
+    scored = score_toxicity(texts, model, carry=("document",))
+    return scored.where("score < 0.5").select("document.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-copies (five-word shingles, 80 %); repeated rows once."""
-    keyed = docs.withColumn("item_id", _key())
-    found = near_copies(keyed.select("item_id", F.col("text").alias("log")))
+    found = near_copies(docs.select(_key().alias("item_id"), F.col("text").alias("log")))
     once = _without(docs, found.where("NOT kept"))
-    repeated = spill(keyed.groupBy("item_id").count().where("count > 1").select("item_id"), "repeated")
-    rows = once.withColumn("item_id", _key())
+    keys = docs.select(_key().alias(KEY)).groupBy(KEY).agg(F.count("*").alias("rows"))
+    repeated = spill(keys.where("rows > 1").select(KEY), "repeated")
+    rows = once.withColumn(KEY, _key())
     return (
-        rows.join(repeated, "item_id", "left_anti")
-        .unionByName(rows.join(repeated, "item_id", "left_semi").dropDuplicates(["item_id"]))
+        rows.join(repeated, KEY, "left_anti")
+        .unionByName(rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY]))
         .select(*docs.columns)
     )
 
@@ -56,7 +61,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cases = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.col("item_id").alias("case_id"), F.col("text").alias("passage")
     )
-    leaks = passage_leaks(docs.select(_key(), F.col("text").alias("log")), cases)
+    leaks = passage_leaks(docs.select(_key().alias("item_id"), F.col("text").alias("log")), cases)
     return _without(docs, leaks.where("n_hit > 0"))
 
 

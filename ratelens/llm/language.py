@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ratelens.llm.words import slices
 from ratelens.session import spill
@@ -168,8 +169,8 @@ def _predict(samples):
     def over(batches):
         known = _languages(samples)
         for batch in batches:
-            for part in slices(batch, "subtitle", _SLICE):
-                letters, phrases = known.phrases(part.column("subtitle"))
+            for part in slices(batch, batch.num_columns - 1, _SLICE):
+                letters, phrases = known.phrases(part.column(part.num_columns - 1))
                 names = np.array([*known.names, UNKNOWN], object)
                 if known.names:
                     best = phrases.argmin(axis=1)
@@ -230,5 +231,5 @@ def subtitle_language(
     """
     samples = subtitles.sparkSession.sparkContext.broadcast(language_samples(labelled, text, lang))
     kept = subtitles.select(item, *carry, F.col(text).alias("subtitle"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_predict(samples), f"{fields}, lang_pred string, score double")
+    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return kept.mapInArrow(_predict(samples), StructType([*kept.schema.fields[:-1], *new]))

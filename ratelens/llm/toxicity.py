@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ratelens.llm.words import ALNUM, combine, hash_words, slices
 from ratelens.session import spill
 
 #: Marked texts that a model is fitted on, at most about; which ones depends on the id's hash alone.
-SAMPLE = 12_000
+SAMPLE = 20_000
 SLOT_BITS = 20
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 6.0, 0.0
@@ -116,7 +117,7 @@ def _score(weights):
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         table = weights.value
         texts, slots = [np.arange(part.num_rows)], [np.zeros(part.num_rows, np.int64)]
-        for found, bounds in _features(part.column("scored")):
+        for found, bounds in _features(part.column(part.num_columns - 1)):
             at = np.flatnonzero(table[found])
             texts.append(np.searchsorted(bounds, at, side="right") - 1)
             slots.append(found[at].astype(np.int64))
@@ -129,7 +130,7 @@ def _score(weights):
 
     def over(batches):
         for batch in batches:
-            for part in slices(batch, "scored", _SLICE):
+            for part in slices(batch, batch.num_columns - 1, _SLICE):
                 yield one(part)
 
     return over
@@ -148,5 +149,5 @@ def score_toxicity(
     rows = model.toPandas()  # 2^20 rows at most
     weights[rows["slot"].to_numpy(int)] = rows["weight"].to_numpy(float)
     kept = texts.select(item, *carry, F.col(text).alias("scored"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", score double"
+    schema = StructType([*kept.schema.fields[:-1], StructField("score", DoubleType())])
     return kept.mapInArrow(_score(texts.sparkSession.sparkContext.broadcast(weights)), schema)

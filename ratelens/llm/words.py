@@ -146,7 +146,7 @@ def combine(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return _mix(total)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch`` whose texts in ``column`` have ``most`` bytes together, or one text."""
     _, offsets = buffers(batch.column(column))
     at = 0

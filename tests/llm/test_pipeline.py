@@ -109,6 +109,18 @@ def test_run_is_the_stages_in_turn(spark, given):
     assert sum(r[-1] for r in ran) == pytest.approx(sum(r[2] for r in ran), abs=4)
 
 
+def test_extra_columns_of_any_name_come_through(spark, given):
+    extra = ["item_id", "score", "scored", "kept", "size", "family", "log", "spans", "redacted", "document", "rows", "part", "n_hit"]
+    rows = [r for r in given[1] if r[0] is not None]
+    docs = spark.createDataFrame([(*r, *(f"{n}-{r[0]}" for n in extra)) for r in rows], SCHEMA + "".join(f", `{n}` string" for n in extra))
+    for name, fn in corpus_pipeline.STAGES[:-1]:
+        docs = fn(spark, docs, given[0])
+        got = docs.collect()
+        assert docs.columns == [*(f.split()[0] for f in SCHEMA.split(", ")), *extra]
+        assert got and all(r[n] == f"{n}-{r.doc_id}" for r in got for n in extra)
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, given[0]).collect()) == len(got)
+
+
 def test_empty_tables(spark, given, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{given[0]}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
