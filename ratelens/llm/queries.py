@@ -11,11 +11,11 @@ from ratelens.llm.archives import archive_round_trip
 from ratelens.llm.credentials import credential_spans
 from ratelens.llm.language import subtitle_language
 from ratelens.llm.leakage import passage_leaks
-from ratelens.llm.licenses import license_scan
+from ratelens.llm.licenses import MARKER, OTHER_IDF, TEMPLATES, THRESHOLD, license_scan
 from ratelens.llm.mixing import mix_families
 from ratelens.llm.near_logs import near_copies
 from ratelens.llm.nearest_windows import top_windows
-from ratelens.llm.quality import clip_quality
+from ratelens.llm.quality import BINS, SMOOTH, clip_quality
 from ratelens.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,7 +201,50 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op7_license_scan")
+def _license_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+    words = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+    return f"""
+WITH tpl(license, txt) AS (VALUES {values}),
+tw AS (SELECT license, w, count(*) AS n FROM (SELECT license, unnest({words.format('txt')}) AS w FROM tpl) GROUP BY 1, 2),
+f AS (
+  SELECT doc_id, text AS content, doc_id % 64 = 0 AS is_license,
+    concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), CAST(doc_id // 64 AS VARCHAR)) AS folder,
+    CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE concat(doc_id, '.txt') END AS name FROM documents
+), held AS (
+  SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct({words.format('content')})) AS w FROM f)
+  WHERE w IN (SELECT w FROM tw) GROUP BY w
+), idf AS (
+  SELECT w, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(max(held.n), 0))) + 0.1 AS idf FROM tw LEFT JOIN held USING (w) GROUP BY w
+), shares AS (
+  SELECT license, w, tw.n * idf / sqrt(sum((tw.n * idf) ** 2) OVER (PARTITION BY license)) AS share FROM tw JOIN idf USING (w)
+), lines AS (
+  SELECT doc_id, i AS unit, l AS line FROM (
+    SELECT doc_id, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM f)
+  WHERE regexp_matches(l, '{MARKER}')
+  UNION ALL SELECT doc_id, 0, content FROM f WHERE is_license AND content IS NOT NULL
+), terms AS (
+  SELECT doc_id, unit, w, count(*) * coalesce(max(idf), {OTHER_IDF}) AS weight
+  FROM (SELECT doc_id, unit, unnest({words.format('line')}) AS w FROM lines) LEFT JOIN idf USING (w) GROUP BY 1, 2, 3
+), scored AS (
+  SELECT doc_id, license, round(dot / sqrt(square), 6) AS score
+  FROM (SELECT doc_id, unit, license, sum(weight * share) AS dot FROM terms JOIN shares USING (w) GROUP BY 1, 2, 3)
+  JOIN (SELECT doc_id, unit, sum(weight * weight) AS square FROM terms GROUP BY 1, 2) USING (doc_id, unit)
+), own AS (
+  SELECT doc_id, license, score FROM scored WHERE score >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
+), above AS (
+  SELECT folder, license FROM own JOIN f USING (doc_id) WHERE is_license
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, doc_id) = 1
+)
+SELECT concat_ws('/', f.folder, name) AS path, f.doc_id, own.license AS own_license, own.score,
+  above.license AS inherited_license, CASE WHEN above.license IS NOT NULL THEN f.folder END AS inherited_from,
+  coalesce(own.license, above.license) AS license
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN above ON above.folder = f.folder
+"""
+
+
+@_query("op7_license_scan", _license_sql())
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of the folders source/lang/(64 documents); the first of a folder is its licence file."""
     name = F.when(F.col("doc_id") % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
@@ -223,7 +266,69 @@ def op8_subtitle_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(_held_out("doc_id"), F.lit(False)))
 
 
-@_query("op9_clip_quality")
+def _quality_sql() -> str:
+    values = {
+        "symbols": r"""len(regexp_extract_all(t, '[^\p{L}\p{N}\s.,;:!?''"()-]')) / sz""",
+        "repeats": "1 - len(list_distinct(ws))::DOUBLE / len(ws)",
+        "capitals": r"len(regexp_extract_all(t, '\p{Lu}')) / sz",
+        "digits": r"len(regexp_extract_all(t, '\p{N}')) / sz",
+        "word_length": "sz / len(ws)",
+        "lines": "1 - len(list_distinct(ls))::DOUBLE / len(ls)",
+    }
+
+    def bin_of(name: str) -> str:
+        steps = " ".join(f"WHEN {name} <= {edge}::DOUBLE THEN {k}" for k, edge in enumerate(BINS[name]))
+        return f"CASE {steps} ELSE {len(BINS[name])} END AS b_{name}"
+
+    all_bins = ", ".join(f"('{name}', {k})" for name, edges in BINS.items() for k in range(len(edges) + 1))
+    long = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS p, b_{name} AS b FROM binned" for name in BINS)
+    # CRC-32 of the id's digits, bit by bit.
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), "
+        "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+        "lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+    )
+
+    def strength(rates: str, mean: str) -> str:
+        """Pseudo-marks by moments, as one scalar."""
+        return (
+            f"(SELECT CASE WHEN within IS NULL OR within = 0 THEN 1e3 WHEN weight - within = 0 OR (seen - within) / (weight - within) <= 0 THEN 1e3 "
+            f"ELSE least(1e3, greatest(1, (1 - (seen - within) / (weight - within)) / ((seen - within) / (weight - within)))) END FROM ("
+            f"SELECT sum((k - n * {mean}) ** 2 / n) AS seen, sum({mean} * (1 - {mean})) AS within, sum(n * ({mean} * (1 - {mean}))) AS weight FROM {rates} WHERE n > 1))"
+        )
+
+    return f"""
+WITH d AS (SELECT doc_id, source AS root, lang AS folder, coalesce(text, '') AS t FROM documents),
+p AS (SELECT *, greatest(length(t), 1)::DOUBLE AS sz, string_split_regex(trim(t), '\\s+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+v AS (SELECT doc_id, root, folder, {', '.join(f'{expr} AS {name}' for name, expr in values.items())} FROM p),
+binned AS (SELECT doc_id, root, folder, {', '.join(map(bin_of, BINS))} FROM v),
+long AS ({long}),
+known AS (SELECT doc_id, max(quality) AS good FROM labels WHERE {crc} % 5 <> 0 AND quality IS NOT NULL GROUP BY 1),
+counts AS (SELECT p, b, sum(good) AS g, sum(1 - good) AS h FROM long JOIN known USING (doc_id) GROUP BY 1, 2),
+cells AS (SELECT a.p, a.b, coalesce(g, 0) AS g, coalesce(h, 0) AS h FROM (VALUES {all_bins}) a(p, b) LEFT JOIN counts USING (p, b)),
+ev AS (
+  SELECT p, b, ln((g + {SMOOTH}::DOUBLE) / (sum(g) OVER w + count(*) OVER w * {SMOOTH}::DOUBLE)
+    / ((h + {SMOOTH}::DOUBLE) / (sum(h) OVER w + count(*) OVER w * {SMOOTH}::DOUBLE))) AS e FROM cells WINDOW w AS (PARTITION BY p)
+), own AS (SELECT doc_id, sum(e) AS evidence FROM long JOIN ev USING (p, b) GROUP BY 1),
+marked AS (SELECT root, folder, good FROM binned JOIN known USING (doc_id)),
+total AS (SELECT CASE WHEN count(*) = 0 THEN 0.5::DOUBLE ELSE (sum(good) + 0.5::DOUBLE) / (count(*) + 1) END AS rate FROM marked),
+r0 AS (SELECT root, count(*) AS n, sum(good) AS k, (SELECT rate FROM total) AS m FROM marked GROUP BY 1),
+r1 AS (SELECT root, (k + s * m) / (n + s) AS root_rate FROM r0, (SELECT {strength('r0', 'm')} AS s)),
+f0 AS (
+  SELECT a.root, a.folder, n, k, root_rate AS m FROM (SELECT root, folder, count(*) AS n, sum(good) AS k FROM marked GROUP BY 1, 2) a
+  JOIN r1 ON a.root IS NOT DISTINCT FROM r1.root
+), f1 AS (SELECT root, folder, (k + s * m) / (n + s) AS folder_rate FROM f0, (SELECT {strength('f0', 'm')} AS s)),
+out AS (
+  SELECT doc_id, evidence, coalesce(root_rate, rate) AS root_rate, coalesce(folder_rate, root_rate, rate) AS folder_rate
+  FROM binned JOIN own USING (doc_id) CROSS JOIN total LEFT JOIN r1 ON binned.root IS NOT DISTINCT FROM r1.root
+  LEFT JOIN f1 ON binned.root IS NOT DISTINCT FROM f1.root AND binned.folder IS NOT DISTINCT FROM f1.folder
+), scored AS (SELECT *, 1 / (1 + exp(-(ln(folder_rate / (1 - folder_rate)) + evidence))) AS score FROM out)
+SELECT doc_id, round(evidence, 8) AS evidence, round(root_rate, 8) AS root_rate, round(folder_rate, 8) AS folder_rate,
+  round(score, 8) AS score, score >= 0.5 AS kept, {crc} % 5 = 0 AS held_out FROM scored
+"""
+
+
+@_query("op9_clip_quality", _quality_sql())
 def op9_clip_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as logs, sources as roots, languages as folders; marks of documents that are not held out."""
     logs = _table(spark, sf_dir, "documents").select(
@@ -231,7 +336,8 @@ def op9_clip_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("good"))
     found = clip_quality(logs, marks.where(~_held_out("item_id"))).withColumnRenamed("item_id", "doc_id")
-    return found.withColumn("held_out", F.coalesce(_held_out("doc_id"), F.lit(False)))
+    rounded = {c: F.round(c, 8) for c in ("evidence", "root_rate", "folder_rate", "score")}
+    return found.withColumns(rounded).withColumn("held_out", F.coalesce(_held_out("doc_id"), F.lit(False)))
 
 
 @_query("op10_credentials")
