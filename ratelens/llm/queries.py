@@ -37,7 +37,29 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-@_query("op1_near_logs")
+_OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS s FROM w WHERE len(ws) > 1
+    UNION ALL SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT reach.doc_id, ways.y FROM reach JOIN ways ON ways.x = reach.other
+), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@_query("op1_near_logs", _OP1_SQL)
 def op1_near_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as logs; sets of two-word shingles."""
     logs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("log"))
