@@ -17,6 +17,7 @@ HEADLINE = (
     "q03_select_candidate", "q04_threshold_bitrate", "q10_pareto", "q11_allocate_budget", "q17_final_gate",
     "j01_reuse_hits", "j02_early_reject", "j06_disambiguate_outputs", "r01_space_savings", "r02_queue_metrics",
     "r05_evaluation_summary", "r06_evaluation_by_family", "s02_media_from_probe", "s05_phase_seconds", "t01_item_state_batch",
+    "w10_guard_alignment", "w12_max_disjoint_count", "s10_receipt_store",
 )
 
 
