@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ratelens.bindings import table
 from ratelens.functions import identity, media
-from ratelens.operators import candidates, planning, reuse
+from ratelens.operators import planning, reuse
 from ratelens.queries.registry import query
 
 _STORE_SQL = """
