@@ -4,7 +4,7 @@ import math
 import random
 import re
 
-from ratelens.llm.licenses import LICENSE_FILE, MARKER, OTHER_IDF, TEMPLATES, THRESHOLD, license_scan
+from ratelens.llm.licenses import LICENSE_FILE, MARKER, OTHER_IDF, TEMPLATES, THRESHOLD, full_texts, license_scan
 
 
 def words_of(text):
@@ -92,3 +92,36 @@ def test_odd_input(spark):
     got = sorted((r.path, r.license) for r in license_scan(df).collect())
     assert got == [("LICENSE", "MIT"), ("d/x", "MIT"), ("d/x", "MIT")]
     assert license_scan(df.where("false")).count() == 0
+
+
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_real_licence_files_titles_and_tags(spark):
+    held = "Copyright (c) 2016-2021, Jo Doe and others. All rights reserved.\n\n"
+    want = {"mit/LICENSE": "MIT", "plain/LICENSE": None, "gpl/COPYING": "GPL-3.0"}
+    files = [("mit/LICENSE", "The MIT License (MIT)\n\n" + held + MIT_BODY), ("plain/LICENSE", "clip shot frame rate\n" * 50)]
+    files += [("gpl/COPYING", "   GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007\n")]
+    for name, text in full_texts().items():  # wrapped and owned in another way
+        files.append((f"full/{name}/LICENSE.txt", held + " ".join(text.split())))
+        want[f"full/{name}/LICENSE.txt"] = name
+    lines = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "# SPDX-License-Identifier: (BSD-2-Clause OR MIT)": "BSD-2-Clause", "SPDX-License-Identifier: Zlib": None,
+        "MIT License": "MIT", "Apache License": "Apache-2.0", "Mozilla Public License Version 2.0": "MPL-2.0",
+        "BSD 2-Clause License": "BSD-2-Clause", "BSD 3-Clause License": "BSD-3-Clause",
+    }
+    for i, (line, name) in enumerate(lines.items()):
+        files.append((f"src/{i}.c", f"clip\n{line}\nshot"))
+        want[f"src/{i}.c"] = name
+    files += [(f"n/{i}", "the rate of a clip is under a version") for i in range(300)]
+    got = result(license_scan(spark.createDataFrame(files, "path string, content string")))
+    assert {path: got[path][0] for path in want} == want
