@@ -31,11 +31,12 @@ UNKNOWN = "und"
 SAMPLE_CHARS = 24_000
 #: Characters that one labelled subtitle gives, so that a sample has many of them.
 EACH_CHARS = 400
-#: Letters that are told apart; rarer ones count as one.
-ALPHABET = 62
+#: Letters whose moves are in dense tables, the most frequent ones; moves by others are in sorted lists. All are told apart.
+DENSE = 62
 LANE = 1024
 _SLICE = 2 << 20
-_SPACE, _RARE = 0, 1
+#: Symbols of a space, and of letters that no sample has.
+_SPACE, _NEW = 0, 1
 
 
 def _fold_table() -> np.ndarray:
@@ -65,8 +66,36 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), bounds
 
 
-def _automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``text``: state * width + symbol -> next state * width, 0 for none."""
+class _Moves:
+    """Transitions state * width + symbol -> next state * width, 0 for none."""
+
+    def __init__(self, moves: list[dict[int, int]], width: int, symbols: int):
+        self.width, self.symbols = width, symbols
+        self.table = np.zeros(len(moves) * width, np.int32)
+        rare = []
+        for state, own in enumerate(moves):
+            for symbol, to in own.items():
+                if symbol < width:
+                    self.table[state * width + symbol] = to * width
+                else:
+                    rare.append((state * width * symbols + symbol, to * width))
+        self.keys, self.to = np.array(sorted(rare), np.int64).reshape(-1, 2).T.copy()
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """``rare`` has the places of symbols beyond the dense ones."""
+        if not len(rare):
+            return self.table[state + symbol]
+        to = self.table[state + np.minimum(symbol, self.width - 1)]
+        to[rare] = 0
+        if len(self.keys):
+            key = state[rare].astype(np.int64) * self.symbols + symbol[rare]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[rare] = np.where(self.keys[place] == key, self.to[place], 0)
+        return to
+
+
+def _automaton(text: np.ndarray, width: int, symbols: int) -> _Moves:
+    """Transitions of the suffix automaton of ``text``, those by the first ``width`` of ``symbols`` in a table."""
     links, sizes, moves, last = [-1], [0], [{}], 0
     for symbol in text.tolist():
         state = len(links)
@@ -91,11 +120,7 @@ def _automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[state] = clone
         last = state
-    table = np.zeros(len(links) * width, np.int32)
-    for state, own in enumerate(moves):
-        for symbol, to in own.items():
-            table[state * width + symbol] = to * width
-    return table
+    return _Moves(moves, width, symbols)
 
 
 class Languages:
@@ -107,12 +132,12 @@ class Languages:
         folded = [_folded(t) for t in texts]
         letters, counts = np.unique(np.concatenate([*folded, np.zeros(0, np.uint32)]), return_counts=True)
         letters, counts = letters[letters > 0], counts[letters > 0]
-        kept = letters[np.lexsort((letters, -counts))[:ALPHABET]]
-        self.symbols = np.full(0x110000, _RARE, np.uint8)
+        letters = letters[np.lexsort((letters, -counts))]
+        self.symbols = np.full(0x110000, _NEW, np.int32)
         self.symbols[0] = _SPACE
-        self.symbols[kept] = np.arange(len(kept)) + 2
-        self.width = len(kept) + 2
-        self.tables = [_automaton(self._squeezed(f), self.width) for f in folded]
+        self.symbols[letters] = np.arange(len(letters)) + 2
+        self.width = min(len(letters), DENSE) + 2
+        self.tables = [_automaton(self._squeezed(f), self.width, len(letters) + 2) for f in folded]
 
     def _squeezed(self, folded: np.ndarray) -> np.ndarray:
         """Symbols of letters, one space for each run of anything else."""
@@ -144,15 +169,17 @@ class Languages:
         totals = np.zeros((len(sizes), len(self.names)), np.int64)
         states = [np.zeros(len(start), np.int32) for _ in self.names]
         counts = [np.zeros(len(start), np.int32) for _ in self.names]
-        padded = np.concatenate([symbols, np.zeros(1, np.uint8)]).astype(np.int32)
+        padded = np.concatenate([symbols, np.zeros(1, np.int32)])
         for step in range(int(length.max(initial=0))):
             n = int(active[step])
             symbol = padded[start[:n] + step]
+            rare = np.flatnonzero(symbol >= self.width)
+            root = np.zeros(n, np.int32)
             for state, count, table in zip(states, counts, self.tables):
-                to = table[state[:n] + symbol]
+                to = table(state[:n], symbol, rare)
                 over = to == 0
                 count[:n] += over | (state[:n] == 0)  # a phrase starts here
-                np.copyto(to, table[symbol], where=over)
+                np.copyto(to, table(root, symbol, rare), where=over)
                 state[:n] = to
         for k, count in enumerate(counts):
             totals[:, k] = np.bincount(text, count, len(sizes))
@@ -227,7 +254,9 @@ def subtitle_language(
     for ``und``. One row per row of ``subtitles``, repeated ones too. ``carry``
     names columns to hand through; others are not read.
 
-    Memory per worker: about 0.4 KB per sampled character and language.
+    Every letter of the samples is told apart, whatever the script; letters that
+    no sample has are a phrase each. Memory per worker: about 0.4 KB per sampled
+    character and language.
     """
     samples = subtitles.sparkSession.sparkContext.broadcast(language_samples(labelled, text, lang))
     kept = subtitles.select(item, *carry, F.col(text).alias("subtitle"))

@@ -87,3 +87,28 @@ def test_odd_input(spark, subtitles):
     assert subtitle_language(df.where("false"), subtitles).count() == 0
     untaught = subtitle_language(df, df.withColumn("lang", df.lang_pred).where("false")).collect()
     assert {r.lang_pred for r in untaught} == {"und"} and len(untaught) == 7
+
+
+def scripts(rng):
+    """Per language, 300 letters of one block: no two languages share an order of letters, some share the letters."""
+    han, hangul = range(0x4E00, 0x4E00 + 300), range(0xAC00, 0xAC00 + 300)
+    kana, cyrillic, greek = range(0x30A1, 0x30F0), range(0x430, 0x450), range(0x3B1, 0x3C2)
+    blocks = {"zh": han, "ja": [*kana, *han[:60]], "ko": hangul, "ru": cyrillic, "bg": cyrillic, "el": greek, "zh-x": han}
+    return {
+        name: ["".join(chr(rng.choice(block)) for _ in range(rng.randrange(2, 4))) for _ in range(150)]
+        for name, block in blocks.items()
+    }
+
+
+def test_many_scripts_are_told_apart():
+    rng = random.Random(5)
+    words = scripts(rng) | {lang: [make(rng, lang, 1) for _ in range(150)] for lang in SYLLABLES}
+    def text(lang, n):
+        return " ".join(rng.choice(words[lang]) for _ in range(n))
+    samples = {lang: text(lang, 1500) for lang in words}
+    texts = [(lang, text(lang, 25)) for lang in words for _ in range(6)] + [(None, "\u0e01\u0e02 \u4e01\u30a2 the \u0416")]
+    known = Languages(samples)
+    _, got = known.phrases(pa.array([t for _, t in texts]))
+    for i, (lang, one) in enumerate(texts):
+        assert got[i].tolist() == [phrases(one, plain(samples[n])) for n in known.names]
+        assert lang is None or known.names[got[i].argmin()] == lang
