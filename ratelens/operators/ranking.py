@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens import policy
-from ratelens.plans.ordered import ROWS_PER_CHUNK, hot_keys, ordered, value_chunk
+from ratelens.plans.ordered import ordered, value_chunk
 from ratelens.policy import Profile
 
 
@@ -17,40 +17,23 @@ def midranks(
 ) -> DataFrame:
     """Tie-averaged rank within the group, scaled to [0, 1], for each ``output -> column``; 0.5 for a single row.
 
-    Ordinary groups are ranked by windows that share one shuffle. Groups too
-    large for one task are ranked on counts of their distinct values, so ties
-    collapse before the shuffle, and the ranks are joined back.
+    Groups of any size are ranked on counts of their distinct values, so ties
+    collapse before the shuffle, and the ranks are joined back. Null values tie
+    with each other below all others; null keys are a group.
     """
     by = list(by)
-    hot = hot_keys(df, by, rows_per_chunk=rows_per_chunk or ROWS_PER_CHUNK)
-    if hot is None:
-        return _windowed_ranks(df, by, ranks)
-    cold = _windowed_ranks(df.join(hot, by, "left_anti"), by, ranks)
-    return cold.unionByName(_joined_ranks(df.join(hot, by, "left_semi"), by, ranks, rows_per_chunk))
-
-
-def _windowed_ranks(df: DataFrame, by: list[str], ranks: dict[str, str]) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    out = df
-    for name, column in ranks.items():
-        line = Window.partitionBy(*by).orderBy(column)
-        ties = F.count(F.lit(1)).over(line.rangeBetween(Window.currentRow, Window.currentRow))
-        middle = F.rank().over(line) - 1 + (ties - 1) / 2.0
-        out = out.withColumn(name, F.when(n == 1, F.lit(0.5)).otherwise(middle / F.nullif(n - 1, F.lit(0))))
-    return out
-
-
-def _joined_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], rows_per_chunk: int | None) -> DataFrame:
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    out = df.join(sizes, by)
+    # Nulls inside structs are equal, in groups, orders and joins.
+    key = F.struct(*by) if by else F.lit(0)
+    out = df.withColumn("_k", key)
     for name, column in ranks.items():
-        counts = df.groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        counts = value_chunk(counts, by, "_v", rows_per_chunk=rows_per_chunk)
-        below = ordered(counts, by, ["_v"], running={"_below": ("sum", F.col("_c"))})
+        counts = df.groupBy(key.alias("_k"), F.struct(F.col(column).alias("v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        counts = value_chunk(counts, ["_k"], "_v", rows_per_chunk=rows_per_chunk)
+        sizes = counts.groupBy("_k").agg(F.sum("_c").alias("_n"))
+        below = ordered(counts, ["_k"], ["_v"], running={"_below": ("sum", F.col("_c"))}).join(sizes, "_k")
         middle = F.col("_below") + (F.col("_c") - 1) / 2.0
-        below = below.select(*by, F.col("_v").alias(column), middle.alias(f"_m_{name}"))
-        rank = F.when(F.col("_n") == 1, 0.5).otherwise(F.col(f"_m_{name}") / F.nullif(F.col("_n") - 1, F.lit(0)))
-        out = out.join(below, [*by, column], "left").withColumn(name, rank).drop(f"_m_{name}")
+        rank = F.when(F.col("_n") == 1, F.lit(0.5)).otherwise(middle / F.nullif(F.col("_n") - 1, F.lit(0)))
+        below = below.select("_k", "_v", rank.alias(name))
+        out = out.withColumn("_v", F.struct(F.col(column).alias("v"))).join(below, ["_k", "_v"]).drop("_v")
     return out.select(*df.columns, *ranks)
 
 
@@ -68,7 +51,7 @@ def _unit(value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
 
 
-def score_risk(observations: DataFrame, by: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def score_risk(observations: DataFrame, by: Sequence[str], *, rows_per_chunk: int | None = None) -> DataFrame:
     """Adds the risk components and ``difficulty`` (their weighted sum) to scout observations.
 
     Missing dark / flat / noise / text columns count as 0.

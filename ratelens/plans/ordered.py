@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from ratelens.session import cut, spill
 
 FRAMES_PER_CHUNK = 1 << 16
-#: Rows from which :func:`hot_keys` calls a key large.
-ROWS_PER_CHUNK = 1_000_000
 
 CHUNK = "_chunk"
 
@@ -65,13 +63,6 @@ def value_chunk(
     return spill(ranged.withColumn(out, F.spark_partition_id().cast("long")), "chunks")
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame | None:
-    """The keys with more than ``rows_per_chunk`` rows, written out, or None."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_chunk)
-    found = spill(sizes.select(*by), "hot-keys")
-    return None if found.isEmpty() else found
-
-
 def _fold(kind: str, column: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](column)
 

@@ -2,9 +2,10 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ratelens.operators import intervals, selection, verification
+from ratelens.operators import intervals, ranking, selection, verification
 
 
 def test_final_gate_is_chunk_independent(spark):
@@ -48,3 +49,24 @@ def test_thresholds_of_a_hot_source(spark):
     pairs = selection.nonmonotone_points(df, 0.5).count()
     assert pairs == sum(b[2] < a[2] - 0.5 for a, b in zip(rows, rows[1:]))
     assert selection.nonmonotone_points(df, 0.5, rows_per_chunk=20).count() == pairs
+
+
+def test_ranks_of_nulls_do_not_depend_on_chunks(spark):
+    rng = random.Random(12)
+    values = [None, None, float("nan"), 0.0, -0.0, *[float(rng.randrange(6)) for _ in range(20)]]
+    rows = [(k, i, rng.choice(values), rng.choice(values)) for k in ("a", "b", None) for i in range(40)] + [("one", 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id int, v double, w double").repartition(4)
+    n = F.count(F.lit(1)).over(Window.partitionBy("k"))
+    want = df
+    for name, column in (("rv", "v"), ("rw", "w")):
+        line = Window.partitionBy("k").orderBy(column)
+        ties = F.count(F.lit(1)).over(line.rangeBetween(Window.currentRow, Window.currentRow))
+        middle = F.rank().over(line) - 1 + (ties - 1) / 2.0
+        want = want.withColumn(name, F.when(n == 1, F.lit(0.5)).otherwise(middle / F.nullif(n - 1, F.lit(0))))
+    want = {(r.k, r.id): (r.rv, r.rw) for r in want.collect()}
+    for size in (None, 3):
+        got = {(r.k, r.id): (r.rv, r.rw) for r in ranking.midranks(df, ["k"], {"rv": "v", "rw": "w"}, rows_per_chunk=size).collect()}
+        assert got == want
+    seen = df.select("k", "id", F.col("v").alias("si_p90"), F.col("w").alias("ti_p90"), F.lit(1.0).alias("max_scene_score"))
+    for size in (None, 3):
+        assert ranking.score_risk(seen, ["k"], rows_per_chunk=size).where("difficulty IS NULL").count() == 0
