@@ -17,6 +17,7 @@ from ratelens.llm.near_logs import near_copies
 from ratelens.llm.nearest_windows import top_windows
 from ratelens.llm.quality import BINS, SMOOTH, clip_quality
 from ratelens.llm.toxicity import fit_toxicity, score_toxicity
+from ratelens.llm.window_codes import ENTRIES, PARTS, ROUNDS, SCALE, window_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,6 +384,65 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _codes_sql() -> str:
+    def nearest(book: str) -> str:
+        """Per part: squared distance and entry in one number, the nearest and lowest one."""
+        return (
+            f"SELECT row, x.n, x.part, any_value(x.label) AS label, any_value(x.x) AS x, any_value(x.vec_id) AS vec_id, "
+            f"min(CAST(list_dot_product(x.x, x.x) - 2 * list_dot_product(x.x, b.x) + list_dot_product(b.x, b.x) AS BIGINT) * {ENTRIES} + entry) AS best "
+            f"FROM parts x JOIN {book} b USING (n, part) GROUP BY 1, 2, 3"
+        )
+
+    rounds = ""
+    for r in range(ROUNDS):
+        rounds += f""", near{r} AS MATERIALIZED ({nearest(f'book{r}')}),
+sums{r} AS (
+  SELECT n, part, best % {ENTRIES} AS entry, place, CAST(sum(x[place]) AS BIGINT) AS s, count(*) AS c
+  FROM (SELECT n, part, best, x, unnest(range(1, len(x) + 1)) AS place FROM near{r}) GROUP BY 1, 2, 3, 4
+), mean{r} AS (
+  SELECT n, part, entry, list(CAST((s - (s % c + c) % c) // c AS DOUBLE) ORDER BY place) AS x FROM sums{r} GROUP BY 1, 2, 3
+), book{r + 1} AS MATERIALIZED (
+  SELECT n, part, entry, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN mean{r} m USING (n, part, entry)
+)"""
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, label, len(embedding) AS n,
+    list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT row, vec_id, label, n, part, v[part * n // {PARTS} + 1 : (part + 1) * n // {PARTS}] AS x
+  FROM v, (SELECT unnest(range(0, {PARTS})) AS part)
+), first AS (
+  SELECT n, vec_id, v, row_number() OVER (PARTITION BY n ORDER BY vec_id NULLS LAST) - 1 AS entry
+  FROM (SELECT n, vec_id, min(v) AS v FROM v GROUP BY n, vec_id) QUALIFY entry < {ENTRIES}
+), book0 AS MATERIALIZED (
+  SELECT n, part, entry, v[part * n // {PARTS} + 1 : (part + 1) * n // {PARTS}] AS x
+  FROM first, (SELECT unnest(range(0, {PARTS})) AS part)
+){rounds}, last AS ({nearest(f'book{ROUNDS}')}),
+hashed AS (
+  SELECT n, sha256(string_agg(array_to_string(list_transform(x, lambda c: CAST(CAST(c AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS h
+  FROM book{ROUNDS} GROUP BY n
+), coded AS (
+  SELECT row, n, any_value(vec_id) AS vec_id, any_value(label) AS label,
+    string_agg(printf('%02x', best % {ENTRIES}), '' ORDER BY part) AS code, CAST(sum(best // {ENTRIES}) AS BIGINT) AS error
+  FROM last GROUP BY row, n
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN hashed USING (n)
+"""
+
+
+@_query("op11_window_codes", _codes_sql())
+def op11_window_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as windows' feature vectors, their labels as pools."""
+    windows = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("window_id"), F.col("embedding").alias("features"), F.col("label").alias("pool")
+    )
+    return window_codes(windows).select(
+        F.col("window_id").alias("vec_id"), "code", "error", F.col("pool_error").alias("label_error"), "codebooks_sha256"
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return dict(QUERIES)
 
