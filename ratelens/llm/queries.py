@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ratelens.llm.archives import archive_round_trip
 from ratelens.llm.credentials import credential_spans
+from ratelens.llm.divergence import root_divergence
 from ratelens.llm.language import subtitle_language
 from ratelens.llm.leakage import passage_leaks
 from ratelens.llm.licenses import MARKER, OTHER_IDF, TEMPLATES, THRESHOLD, license_scan
@@ -443,6 +444,47 @@ def op11_window_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+t AS MATERIALIZED (SELECT row, lang, source, unnest(w) AS term FROM d),
+keep AS MATERIALIZED (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 30),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM t JOIN keep USING (lang, term) GROUP BY 1, 2, 3),
+nl AS (SELECT lang, term, sum(c) AS c FROM n GROUP BY 1, 2),
+v AS (SELECT lang, count(*) AS v, sum(c) AS total FROM nl GROUP BY 1),
+q AS MATERIALIZED (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (v.total + 5 * v.v) AS q FROM nl JOIN v USING (lang)
+), gs AS (
+  SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(s.total, 0) AS total FROM g LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(c) AS total FROM n GROUP BY 1, 2) s ON s.lang = g.lang AND s.source = g.source
+), p AS MATERIALIZED (
+  SELECT gs.lang, gs.source, keep.term, coalesce(n.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 5)) // (gs.total + 5 * gs.v) AS p
+  FROM gs JOIN keep ON keep.lang = gs.lang LEFT JOIN n ON n.lang = gs.lang AND n.source = gs.source AND n.term = keep.term
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS i, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) GROUP BY 1, 2, 3) z
+      ON z.lang = a.lang AND z.s = a.source AND z.i = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p.p - q.q FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q)
+) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@_query("op12_root_divergence", _OP12_SQL)
+def op12_root_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sidecar subtitles, their sources as roots."""
+    subtitles = _table(spark, sf_dir, "documents").select(
+        F.col("text").alias("subtitle"), F.col("lang").alias("language"), F.col("source").alias("root")
+    )
+    return root_divergence(subtitles).withColumnsRenamed({"language": "lang", "root": "source"})
+
+
 def llm_queries() -> dict[str, Query]:
     return dict(QUERIES)
 
