@@ -16,6 +16,7 @@ from ratelens.llm.licenses import MARKER, OTHER_IDF, TEMPLATES, THRESHOLD, licen
 from ratelens.llm.mixing import mix_families
 from ratelens.llm.near_logs import near_copies
 from ratelens.llm.nearest_windows import top_windows
+from ratelens.llm.private_spans import private_spans
 from ratelens.llm.quality import BINS, SMOOTH, clip_quality
 from ratelens.llm.toxicity import fit_toxicity, score_toxicity
 from ratelens.llm.window_codes import ENTRIES, PARTS, ROUNDS, SCALE, window_codes
@@ -485,6 +486,27 @@ def op12_root_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root_divergence(subtitles).withColumnsRenamed({"language": "lang", "root": "source"})
 
 
+@_query("op13_private_spans")
+def op13_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tool logs."""
+    logs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("log"))
+    spans = F.col("spans")
+
+    def joined(some):
+        return F.array_join(
+            F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return private_spans(logs).select(
+        F.col("item_id").alias("doc_id"), count("email"), count("ip"), count("card"), count("phone"),
+        F.sha2(joined(F.filter(spans, lambda s: s["kind"] != "context")), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return dict(QUERIES)
 
