@@ -9,7 +9,6 @@ itself. Text comes back by a join, and only for the terms that are reported.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.words import buffers, slices
+from ratelens.llm.words import buffers, hash_words, slices
 from ratelens.session import spill
 
 #: Subtitles of a language that a term must occur in to be kept.
@@ -61,8 +60,9 @@ def terms_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return plain.dictionary_encode(), np.searchsorted(begins, offsets)
 
 
-def digest(term: str, bits: int = DIGEST_BITS) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest()) >> (64 - bits)
+def digests(terms: pa.Array, bits: int = DIGEST_BITS) -> np.ndarray:
+    """One number of ``bits`` bits for each of the terms, which are not empty."""
+    return (hash_words(terms, np.ones(256, bool))[0] >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _slice_counts(part: pa.RecordBatch, bits: int, with_terms: bool) -> tuple[pa.Table, pa.Table]:
@@ -77,19 +77,18 @@ def _slice_counts(part: pa.RecordBatch, bits: int, with_terms: bool) -> tuple[pa
     cells, n = np.unique(np.repeat(group, per_text) * size + code, return_counts=True)
     once = np.unique(np.repeat(np.arange(len(group)), per_text) * size + code)
     _, docs = np.unique(group[once // size] * size + once % size, return_counts=True)
-    words = terms.dictionary.to_pylist()
-    digests = np.array([digest(w, bits) for w in words], np.int64)
+    own = digests(terms.dictionary, bits)
     names = [pa.array([g[i] for g in groups], pa.large_string()) for i in (0, 1)]
     at = pa.array(cells // size)
     counts = pa.table(
-        [*[name.take(at) for name in names], pa.array(digests[cells % size]), pa.array(n), pa.array(docs),
+        [*[name.take(at) for name in names], pa.array(own[cells % size]), pa.array(n), pa.array(docs),
          terms.dictionary.take(pa.array(cells % size)) if with_terms else pa.nulls(len(cells), pa.large_string())],
         schema=_COUNTS,
     )
     blank = [pa.nulls(len(groups), t) for t in _COUNTS.types[2:]]
     counts = pa.concat_tables([counts, pa.table([*names, *blank], schema=_COUNTS)])
-    empty = [pa.nulls(len(words), t) for t in _COUNTS.types]
-    dictionary = pa.table([*empty[:2], pa.array(digests), *empty[3:5], terms.dictionary], schema=_COUNTS)
+    empty = [pa.nulls(len(own), t) for t in _COUNTS.types]
+    dictionary = pa.table([*empty[:2], pa.array(own), *empty[3:5], terms.dictionary], schema=_COUNTS)
     return counts, dictionary
 
 
@@ -133,7 +132,10 @@ def _term_counts(texts: DataFrame, least: int, bits: int) -> tuple[DataFrame, Da
     parts = spill(texts.mapInArrow(_counted(bits, False), kind), "term-parts")
     groups = spill(parts.where("digest IS NULL AND language IS NOT NULL").select("language", "root").distinct(), "term-groups")
     counts = parts.where("n IS NOT NULL").drop("term")
+    # Most terms are rare: what is shuffled by root is only of digests that may be kept.
     candidates = counts.groupBy("language", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+    candidates = spill(candidates.select("language", "digest"), "term-candidates")
+    counts = counts.join(candidates, ["language", "digest"], "left_semi")
     named = parts.where("term IS NOT NULL").select("digest", "term")
     named = named.join(candidates.select("digest").distinct(), "digest", "left_semi")
     names = spill(named.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "term-names")
