@@ -362,7 +362,40 @@ def picks(t):
     return out.select("title_id", "picked_bytes", "shots", (F.col("m") >= 90 - 1e-9).alias("reaches_target"))
 
 
-@query("q12_relax_target")
+# Every distinct cap (highest grid step whose floors a candidate meets; 900 is the target itself) is solved on its own.
+_CAPS_SQL = """
+    sc AS (SELECT *, mean_vmaf * frames AS q, dense_rank() OVER (PARTITION BY title_id ORDER BY shot_idx) AS k,
+      list_max(list_filter(range(0, 901), lambda x: mean_vmaf >= greatest(0, x / 10::DOUBLE - 4) AND worst_1s_vmaf >= greatest(0, x / 10::DOUBLE - 8))) AS cap FROM shot_candidates),
+    n AS (SELECT title_id, count(*) AS n, sum(f) AS total FROM (SELECT title_id, shot_idx, max(frames) AS f FROM sc GROUP BY 1, 2) x GROUP BY 1),
+    bud AS (SELECT title_id, CAST(b * (4 + title_id % 20) / 100 AS BIGINT) AS budget FROM (
+      SELECT title_id, CAST(floor(sum(m) * (1 + title_id % 5 / 10::DOUBLE)) AS BIGINT) AS b FROM (SELECT title_id, shot_idx, max(bytes) / 3 AS m FROM shot_candidates GROUP BY 1, 2) x GROUP BY title_id)),
+    caps AS (SELECT DISTINCT title_id, cap AS step FROM sc WHERE cap IS NOT NULL),
+    r AS (SELECT sc.title_id, step, k, bytes, q FROM sc JOIN caps ON caps.title_id = sc.title_id AND cap >= step),
+    s0 AS (SELECT title_id, step, 0::BIGINT AS bytes, 0::DOUBLE AS q FROM caps),""" + ",".join(
+    """
+    s{k} AS (SELECT title_id, step, bytes, q FROM (SELECT *, max(q) OVER (PARTITION BY title_id, step ORDER BY bytes, q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+      FROM (SELECT s.title_id, s.step, s.bytes + r.bytes AS bytes, s.q + r.q AS q FROM s{p} s JOIN r ON r.title_id = s.title_id AND r.step = s.step AND r.k = {k}
+          JOIN bud ON bud.title_id = s.title_id AND (s.step = 900 OR s.bytes + r.bytes <= budget)
+        UNION ALL SELECT s.* FROM s{p} s JOIN n ON n.title_id = s.title_id AND n.n < {k}) u) v WHERE best IS NULL OR q > best)""".format(k=k, p=k - 1)
+    for k in range(1, _SHOTS + 1)
+) + f""",
+    ends AS (SELECT title_id, step, bytes, q / total AS mean FROM s{_SHOTS} JOIN n USING (title_id)),
+    need AS (SELECT title_id, min(bytes) AS need FROM ends WHERE step = 900 AND mean >= 90 - 1e-9 GROUP BY 1),
+    fit AS (SELECT title_id, max(least(step, 900, list_max(list_filter(range(0, 901), lambda x: mean >= x / 10::DOUBLE - 1e-9)))) AS step FROM ends JOIN bud USING (title_id) WHERE bytes <= budget GROUP BY 1)
+"""
+
+
+@query(
+    "q12_relax_target",
+    f"""
+    WITH {_CAPS_SQL}
+    SELECT title_id, CASE WHEN need IS NOT NULL THEN 'size_blocked' WHEN budget <= 0 THEN 'media_budget_too_small' ELSE 'quality_unreachable' END AS failure_kind,
+      CASE WHEN need IS NOT NULL THEN round(greatest(1000 / 1000000::DOUBLE, ceil((need + 1000) / 0.98::DOUBLE) / 1000000::DOUBLE), 9) END AS required_ratio,
+      CASE WHEN need IS NOT NULL AND step >= 0 THEN step / 10::DOUBLE END AS relaxed_target
+    FROM bud LEFT JOIN need USING (title_id) LEFT JOIN fit USING (title_id) WHERE need IS NULL OR need > budget
+    """,
+    uses="shot_candidates",
+)
 def relax(t):
     titles = _titles(t).selectExpr(
         "title_id", "target", "CAST(budget * (4 + title_id % 20) / 100 AS BIGINT) AS budget", "CAST(1000 AS BIGINT) AS audio_bytes", "CAST(1000 AS BIGINT) AS max_output_bytes", "CAST(1000000 AS BIGINT) AS source_bytes"
