@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from ratelens import policy
 from ratelens.plans.ordered import ordered, value_chunk
-from ratelens.session import cut
+from ratelens.session import cut, spill
 
 #: Means this close below a target reach it: sums of doubles differ by their order.
 MEAN_SLACK = 1e-9
 #: Prices tried per pass, and passes, each between two neighbouring prices of the one before.
-PRICES = 12
-PRICE_PASSES = 3
+PRICES = 16
+PRICE_PASSES = 2
 #: States of one shot range that meet those of its neighbour in one key.
 STATES_PER_PIECE = 1024
 
@@ -204,7 +204,7 @@ def _prices(leaves: DataFrame, goals: DataFrame, maximize: bool) -> DataFrame:
         known = [F.when(cheap, F.col("b0")).otherwise(F.col("b1")), F.when(cheap, F.col("q0")).otherwise(F.col("q1"))]
     slope = F.coalesce((F.col("b1") - F.col("b0")) / F.nullif(F.col("q1") - F.col("q0"), F.lit(0.0)), F.lit(0.0))
     spread = F.transform(F.sequence(F.lit(0), F.lit(PRICES)), lambda i: slope * F.pow(F.lit(4.0), i - PRICES // 2))
-    now = cut(open_.select(
+    now = spill(open_.select(
         "title_id", "goal", "budget", F.col("q1").alias("most_quality"), F.array_union(F.array(F.lit(0.0)), spread).alias("prices"),
         known[0].cast("long").alias("known_size"), known[1].alias("known_quality"),
         F.lit(0.0).alias("price"), F.col("b0").cast("double").alias("cost"),
@@ -234,7 +234,7 @@ def _prices(leaves: DataFrame, goals: DataFrame, maximize: bool) -> DataFrame:
             F.sequence(F.lit(0), F.lit(PRICES)),
             lambda i: F.when(low > 0, low * F.pow(high / F.nullif(low, F.lit(0.0)), i / PRICES)).otherwise(high * i / PRICES),
         )
-        now = cut(both.select(
+        now = spill(both.select(
             "title_id", "goal", "budget", "most_quality", F.array_distinct(between).alias("prices"),
             *[F.when(nearer, F.col(f"best.{c}")).otherwise(F.col(n)).alias(n) for c, n in (("b", "known_size"), ("q", "known_quality"))],
             *[F.when(better, F.col(f"dual.{c}")).otherwise(F.col(n)).alias(n) for c, n in (("price", "price"), ("cost", "cost"), ("v", "bound"))],
@@ -262,7 +262,7 @@ def _skyline(states: DataFrame, rows_per_chunk: int | None) -> DataFrame:
     rows = value_chunk(rows, keys[:2], "size", rows_per_chunk=rows_per_chunk)
     rows = ordered(rows, keys[:2], ["size"], running={"_best": ("max", F.col("quality"))})
     kept = rows.filter(F.col("_best").isNull() | (F.col("quality") > F.col("_best")))
-    return cut(kept.select(*states.columns, F.col("size").alias("state_id")))
+    return spill(kept.select(*states.columns, F.col("size").alias("state_id")))
 
 
 def _neighbours(level: DataFrame, pieces_of: int) -> DataFrame:
@@ -299,7 +299,7 @@ def _neighbours(level: DataFrame, pieces_of: int) -> DataFrame:
 
 def _leaves(rows: DataFrame, target: Column, rows_per_chunk: int | None) -> DataFrame:
     front = pareto(rows, ["title_id", "slot"], target, rows_per_chunk=rows_per_chunk)
-    return cut(front.select(
+    return spill(front.select(
         "title_id", "slot", F.col("bytes").cast("long").alias("size"), (F.col("mean_vmaf") * F.col("frames")).alias("quality"),
         F.col("cand_id").cast("long").alias("left_id"), F.lit(None).cast("long").alias("right_id"), F.col("slots").cast("long").alias("slots"),
     ))
