@@ -305,7 +305,7 @@ def _leaves(rows: DataFrame, target: Column, rows_per_chunk: int | None) -> Data
     ))
 
 
-def _exact_levels(leaves: DataFrame, bounds: DataFrame, deepest: int, rows_per_chunk: int | None, pieces_of: int = STATES_PER_PIECE) -> list[DataFrame]:
+def _exact_levels(leaves: DataFrame, bounds: DataFrame, deepest: int, rows_per_chunk: int | None) -> list[DataFrame]:
     """All merge levels, leaves first, of the titles in ``bounds``."""
     priced = leaves.join(bounds.select("title_id", "price", "slack"), "title_id").withColumn("_c", F.col("size") - F.col("price") * F.col("quality"))
     least = priced.groupBy("title_id", "slot").agg(F.min("_c").alias("_least"))
@@ -313,7 +313,7 @@ def _exact_levels(leaves: DataFrame, bounds: DataFrame, deepest: int, rows_per_c
     columns = ["title_id", "slot", "size", "quality", "regret", "left_id", "right_id", "slack", "slots"]
     levels = [_skyline(states.select(*columns), rows_per_chunk)]
     while deepest > 1:
-        levels.append(_skyline(_neighbours(levels[-1], pieces_of), rows_per_chunk))
+        levels.append(_skyline(_neighbours(levels[-1], STATES_PER_PIECE), rows_per_chunk))
         deepest = (deepest + 1) // 2
     return levels
 

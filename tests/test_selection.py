@@ -161,6 +161,74 @@ def test_allocation_matches_exhaustive_search(spark):
         assert r.b == want[r.title_id] and abs(r.m - got[r.title_id].mean_vmaf) < 1e-9 and r.m >= 90 - 1e-9
 
 
+def _best(shots, total, *, target=None, budget=None, floors=True, maximize=False):
+    """Smallest size that reaches ``target``, or the best quality within ``budget``, by trying every selection."""
+    best = None
+    for pick in itertools.product(*(cands for _, cands in shots)):
+        size, quality = sum(c[3] for c in pick), sum(c[1] * n for c, (n, _) in zip(pick, shots))
+        if floors and not all(c[1] >= max(0, target - 4) and c[2] >= max(0, target - 8) for c in pick):
+            continue
+        if (budget is not None and size > budget) or (not maximize and quality / total < target - 1e-9):
+            continue
+        rank = (-quality, size) if maximize else (size, -quality)
+        best = rank if best is None else min(best, rank)
+    return best
+
+
+def _random_titles(seed, n=40):
+    rng = random.Random(seed)
+    titles = {}
+    for title in range(n):
+        count = rng.choice((1, 2, 3, 4, 5))
+        titles[title] = [
+            (rng.randrange(1, 100), [(i, rng.randrange(820, 1000) / 10, rng.randrange(780, 990) / 10, rng.randrange(1, 400)) for i in range(rng.choice((1, 4, 5)))])
+            for _ in range(count)
+        ]
+    rows = [(t, idx * 3 + 1, i, n, q, w, b) for t, shots in titles.items() for idx, (n, cands) in enumerate(shots) for i, q, w, b in cands]
+    return titles, rows
+
+
+def test_exact_allocation_matches_exhaustive_search(spark, monkeypatch):
+    monkeypatch.setattr(allocation, "STATES_PER_PIECE", 3)
+    titles, rows = _random_titles(11)
+    df = spark.createDataFrame(rows, SHOT)
+    asked = {t: (88.0 + t % 5, None if t % 4 == 0 else 150 * len(shots)) for t, shots in titles.items()}
+    goals = spark.createDataFrame([(t, g, b) for t, (g, b) in asked.items()], "title_id int, target double, budget long")
+    for maximize in (False, True):
+        out, picks = allocation.allocate_budget(df, goals, maximize_quality=maximize)
+        got = {r.title_id: r for r in out.collect()}
+        sums = picks.join(df, ["title_id", "shot_idx", "cand_id"]).groupBy("title_id").agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
+        chosen = {r.title_id: r for r in sums.collect()}
+        for t, shots in titles.items():
+            total = sum(n for n, _ in shots)
+            want = _best(shots, total, target=asked[t][0], budget=asked[t][1], maximize=maximize)
+            assert (t in got) == (want is not None), (t, want)
+            if want:
+                size, quality = (want[1], -want[0]) if maximize else (want[0], -want[1])
+                assert got[t].video_bytes == size == chosen[t].b and chosen[t].n == len(shots), (t, maximize)
+                assert abs(got[t].mean_vmaf - quality / total) < 1e-9 and not got[t].approximate
+
+
+def test_relaxed_target_matches_trying_every_step(spark):
+    titles, rows = _random_titles(12)
+    asked = {t: (random.Random(t).choice((89.0, 90.05, 92.3)), 60 * len(shots)) for t, shots in titles.items()}
+    goals = [(t, g, b, 10, 20, 1000) for t, (g, b) in asked.items()] + [(99, 90.0, 5, 10, 20, 1000)]
+    schema = "title_id int, target double, budget long, audio_bytes long, max_output_bytes long, source_bytes long"
+    out = allocation.relax_target(spark.createDataFrame(rows, SHOT), spark.createDataFrame(goals, schema))
+    got = {r.title_id: (r.failure_kind, r.relaxed_target) for r in out.collect()}
+    for t, shots in titles.items():
+        total, (target, budget) = sum(n for n, _ in shots), asked[t]
+        need = _best(shots, total, target=target)
+        if need and need[0] <= budget:
+            assert t not in got
+        elif need is None:
+            assert got[t] == ("quality_unreachable", None)
+        else:
+            steps = [k / 10 for k in range(math.ceil(target * 10)) if _best(shots, total, target=k / 10, budget=budget)]
+            assert got[t] == ("size_blocked", max(steps, default=None)), t
+    assert 99 not in got and {k for k, _ in got.values()} == {"size_blocked", "quality_unreachable"}
+
+
 def test_binned_allocation_stays_feasible(spark):
     rows = [(1, s, n, 30, 86.0 + n * 0.3, 95.0, n + s) for s in range(3) for n in range(1, 40)]
     titles = spark.createDataFrame([(1, 90.0, 200)], "title_id int, target double, budget long")
