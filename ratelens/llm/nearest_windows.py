@@ -1,7 +1,7 @@
 """Exact highest inner products among windows' feature vectors, by a vector-approximation file.
 
-Every vector is also kept as one small cell number per component. A pass over
-these cells bounds each (query, window) score from above and below. Scores that
+Equal vectors are one class, with the smallest of its ids. Every class is also kept
+as one small cell number per component. A pass over these cells bounds each (query, class) score from above and below. Scores that
 cannot reach a query's k-th best lower bound are dropped; of the rest, exact
 vectors are read in the order of their bounds: first the k most promising, whose
 k-th exact score then says which others must still be read for the result to be
@@ -20,8 +20,8 @@ from ratelens.session import spill
 
 #: Queries that meet the cells in one pass; more take more passes.
 QUERIES_PER_PASS = 4096
-#: Scaled components are clamped to this, so that scores of up to 2,048 components fit a long.
-LARGEST = 1 << 26
+#: Candidates that a task holds before it lets those go that are still possible.
+HELD_ROWS = 1 << 20
 _ROWS = 512
 
 
@@ -29,15 +29,22 @@ def integer_vectors(windows: DataFrame, window: str, vector: str, scale: int = 2
     """(id, v): floor(scale * component) of usable vectors; rows of one id count once (the least vector)."""
     x = F.col(vector).cast("array<double>")
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    scaled = F.transform(
-        x, lambda c: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(c * F.lit(scale)))).cast("long")
-    )
-    return (
-        windows.where(F.col(window).isNotNull() & x.isNotNull() & usable)
-        .select(F.col(window).cast("long").alias("id"), scaled.alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
-    )
+    kept = windows.where(F.col(window).isNotNull() & x.isNotNull() & usable).select(F.col(window).cast("long").alias("id"), x.alias("x"))
+    largest, longest = kept.agg(
+        F.max(F.aggregate("x", F.lit(0.0), lambda m, c: F.greatest(m, F.abs(c)))), F.max(F.size("x"))
+    ).first()
+    if largest is not None and (scale * largest + 1) ** 2 * max(1, longest) >= 2.0**62:
+        raise ValueError(f"components of up to {largest} are too large: scores of {longest} components must fit a long")
+    scaled = F.transform("x", lambda c: F.floor(c * F.lit(scale)).cast("long"))
+    return kept.select("id", scaled.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+
+
+def _classes(vectors: DataFrame, most: int) -> DataFrame:
+    """(id, v, ids): equal vectors as one, under their smallest id, with their ``most`` smallest ids."""
+    order = Window.partitionBy("v").orderBy("id")
+    first = vectors.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    ids = F.sort_array(F.collect_list("id")).alias("ids")
+    return first.groupBy("v").agg(ids).select(F.col("ids")[0].alias("id"), "v", "ids")
 
 
 def _by_length(column: pa.Array):
@@ -81,8 +88,20 @@ def _bounds(sought, grid: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     """Cells of windows -> (query, id, low, high) that may be among the query's k best of this task."""
 
     def over(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         least: dict[int, np.ndarray] = {}
+        rows_held = 0
+
+        def flush():
+            for n, parts in held.items():
+                query, found, lower, upper = (np.concatenate(column) for column in zip(*parts))
+                keep = upper >= least[n].min(axis=1)[query]
+                columns = (sought.value[n][0][query], found, np.floor(lower), np.ceil(upper))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[keep].astype(np.int64)) for c in columns], names=["query", "id", "low", "high"]
+                )
+            held.clear()
+
         for batch in batches:
             cells, ids = batch.column("cells").to_pylist(), batch.column("id").to_numpy()
             lengths = np.array([len(c) for c in cells])
@@ -102,19 +121,15 @@ def _bounds(sought, grid: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
                         slack = _slack(np.abs(q).max(initial=0) * max(np.abs(low).max(), np.abs(high).max()) * n)
                     up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
                     upper, lower = high @ up + low @ down + slack, low @ up + high @ down - slack
-                    same = ids[rows][:, None] == q_ids[None, :]
-                    lower[same] = upper[same] = -np.inf
                     best = np.partition(np.concatenate([best, lower.T], axis=1), -k, axis=1)[:, -k:]
                     least[n] = best
-                    i, j = np.nonzero((upper >= best.min(axis=1)) & ~same)
+                    i, j = np.nonzero(upper >= best.min(axis=1))
                     held.setdefault(n, []).append((j, ids[rows][i], lower[i, j], upper[i, j]))
-        for n, parts in held.items():
-            query, found, lower, upper = (np.concatenate(column) for column in zip(*parts))
-            keep = upper >= least[n].min(axis=1)[query]
-            columns = (sought.value[n][0][query], found, np.floor(lower), np.ceil(upper))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[keep].astype(np.int64)) for c in columns], names=["query", "id", "low", "high"]
-            )
+                    rows_held += len(i)
+                    if rows_held >= HELD_ROWS:
+                        yield from flush()
+                        rows_held = 0
+        yield from flush()
 
     return over
 
@@ -143,7 +158,8 @@ def top_windows(
 ) -> DataFrame:
     """(query_id, rank, window, score): the ``k`` windows with the highest integer inner product per query.
 
-    Components count as floor(scale * component). A query's own id is no
+    Components count as floor(scale * component), without a bound but that a score
+    must fit a long; tables where it may not are refused. A query's own id is no
     candidate; ties go to the smaller id; a query with fewer candidates gets them
     all. Vectors that are null or hold a null or non-finite component, and rows
     with a null id, take no part; vectors of another length than the query's are
@@ -154,8 +170,11 @@ def top_windows(
     vectors are read, never the result.
     """
     spark = windows.sparkSession
-    vectors = spill(integer_vectors(windows, window, vector, scale), "window-vectors")
-    wanted = spill(integer_vectors(queries, window, vector, scale), "query-vectors")
+    # A class holds one query's own id at most, so k + 1 of its ids, and k + 1 classes, are enough.
+    vectors = spill(_classes(integer_vectors(windows, window, vector, scale), k + 1), "window-vectors")
+    asked = spill(integer_vectors(queries, window, vector, scale), "query-vectors")
+    alike = asked.groupBy("v").agg(F.min("id").alias("id"))
+    wanted = spill(alike, "query-classes")
     # One row per vector length and component.
     seen = (
         vectors.mapInArrow(per_batch(_ranges), "length long, place long, low long, high long")
@@ -171,13 +190,18 @@ def top_windows(
     result = None
     for sought in _passes(wanted):
         bounded = cells.mapInArrow(
-            _bounds(spark.sparkContext.broadcast(sought), grid, k), "query long, id long, low long, high long"
+            _bounds(spark.sparkContext.broadcast(sought), grid, k + 1), "query long, id long, low long, high long"
         )
-        best = _best(spill(bounded, "window-bounds"), vectors, wanted, k)
+        best = _best(spill(bounded, "window-bounds"), vectors, wanted, k + 1)
         result = best if result is None else result.unionByName(best)
     if result is None:
-        result = spark.createDataFrame([], "query long, rank int, id long, score long")
-    return result.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(window), "score")
+        return spark.createDataFrame([], f"query_id long, rank int, {window} long, score long")
+    members = asked.join(wanted.withColumnRenamed("id", "query"), "v").select("query", F.col("id").alias("query_id"))
+    found = result.join(vectors.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("id"))
+    # Of one query's vector, k + 1 classes with k + 1 ids each.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = found.join(members, "query").where("id != query_id").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(window), "score")
 
 
 def _best(bounded: DataFrame, vectors: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -192,7 +216,7 @@ def _best(bounded: DataFrame, vectors: DataFrame, wanted: DataFrame, k: int) ->
     rest = able.where(f"r > {k}").join(certain.select("query", "kth"), "query").where("high >= kth")
     scored = first.unionByName(_exact(rest, vectors, wanted))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query", "rank", "id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query", "id", "score")
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame, wanted: DataFrame) -> DataFrame:
