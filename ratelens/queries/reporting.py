@@ -208,6 +208,38 @@ def item_state_stream(t):
     return t.spark.read.parquet(path).drop("bucket")
 
 
+# Runs of an item end twelve hours after their last event; events of the first three days that come last are too late.
+_RUNS_SQL = """
+    WITH e AS (SELECT item_id, seq, ts, CASE state WHEN 'running_pass' THEN 'encoding' ELSE state END AS status, least(100, percent) AS progress, speed
+      FROM progress WHERE seq % 7 > 0 OR ts >= TIMESTAMP '2024-01-04'),
+    g AS (SELECT *, sum(first) OVER (PARTITION BY item_id ORDER BY ts, seq) AS run FROM (
+      SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY item_id ORDER BY ts, seq) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS first FROM e) x),
+    r AS (SELECT item_id, min(ts) AS run_start, max(ts) + INTERVAL 12 HOUR AS run_end, arg_max(status, seq) AS status, arg_max(progress, seq) AS progress,
+      arg_max(speed, seq) AS speed, max(seq) AS last_seq FROM g GROUP BY item_id, run)
+    SELECT item_id, epoch_us(run_start) AS start_us, epoch_us(run_end) AS end_us, status, progress, speed, last_seq FROM r
+    WHERE run_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)
+"""
+
+
+@query("t01_item_runs_stream", _RUNS_SQL, uses="progress")
+def item_runs_stream(t):
+    path, late = scratch_path(t.spark, "run-events"), (F.col("seq") % 7 == 0) & (F.col("ts") < "2024-01-04")
+    days = [("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2025-01-01")]
+    for start, end in days:
+        t.progress.where(~late & (F.col("ts") >= start) & (F.col("ts") < end)).coalesce(1).write.mode("append").parquet(path)
+    t.progress.where(late).coalesce(1).write.mode("append").parquet(path)
+    events = t.spark.readStream.schema(t.progress.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(t.spark, "runs")
+    run = (
+        live.item_runs(events, idle="12 hours", late="1 hour").writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_path(t.spark, "runs-state")).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    rows = t.spark.read.parquet(out)
+    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(run_{0} AS TIMESTAMP_NTZ)) AS {0}_us"
+    return rows.selectExpr("item_id", micros.format("start"), micros.format("end"), "status", "progress", "speed", "last_seq")
+
+
 @query(
     "t02_live_queue_metrics",
     f"""
@@ -225,10 +257,10 @@ def live_metrics(t):
         "item_id", "CAST(60 + item_id % 600 AS DOUBLE) AS duration_sec", "1 AS passes", "100000 AS source_bytes", "CAST(NULL AS BIGINT) AS output_bytes", "'smart' AS mode", "0 AS target_bps",
         "'copy' AS audio_mode", "0 AS audio_bitrate_bps", "'128k' AS audio_bitrate", "'hevc' AS codec", "CAST(NULL AS DOUBLE) AS max_output_ratio", "CAST(NULL AS STRING) AS skip_reason",
     )
-    state, out, mark = (scratch_path(t.spark, n) for n in ("live-state", "live-metrics", "live-checkpoint"))
-    run = live.start_live_metrics(_streamed(t, "live-events"), items, state, out, mark, buckets=4, availableNow=True)
+    facts, out, mark = (scratch_path(t.spark, n) for n in ("live-facts", "live-metrics", "live-checkpoint"))
+    run = live.start_live_metrics(_streamed(t, "live-events"), items, facts, out, mark, buckets=4, availableNow=True)
     run.awaitTermination()
-    metrics = t.spark.read.parquet(out)
+    metrics = t.spark.read.parquet(f"{out}/metrics")
     last = metrics.select(F.max("batch_id")).scalar()
     return metrics.filter(F.col("batch_id") == last).select(
         "total_items", "running_items", "queued_items", "failed_items", F.round("queue_percent", 6).alias("queue_percent"), F.round("eta_sec", 4).alias("eta_sec")
