@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelens.llm.credentials import redact_credentials
@@ -20,15 +20,26 @@ ORACLE_SQL = None
 KEY = "__key"
 
 
-def _key() -> Column:
-    """``doc_id``, or for a document without one a negative number that its text determines."""
-    return F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") % (1 << 62)) - 2)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key that rows share only if they have the same ``doc_id`` and the same text.
 
+    It is the ``doc_id``; a document without one gets a negative number that its
+    text determines. Of several texts under one ``doc_id`` that with the least hash
+    keeps it, and the others get numbers beyond all ids, from ``doc_id`` and text.
+    """
+    text = F.xxhash64("text", F.col("text").isNull())
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("__first"), F.max(text).alias("__last"))
+    several = spill(several.where("__first != __last").select(F.col("doc_id").alias("__id"), "__first"), "ambiguous-ids")
+    own = F.col("__first").isNull() | (text == F.col("__first"))
+    beyond = F.lit(1 << 62) + F.abs(F.xxhash64("doc_id", "text") % (1 << 61))
+    key = F.when(F.col("doc_id").isNull(), -F.abs(F.xxhash64("text") % (1 << 62)) - 2).when(own, F.col("doc_id")).otherwise(beyond)
+    return docs.join(several, docs["doc_id"] == several["__id"], "left").select(*[docs[c] for c in docs.columns], key.alias(KEY))
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Documents whose key is not among ``keys``."""
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of :func:`_keyed` whose key is not among ``keys``."""
     left_out = spill(keys.select(F.col("item_id").alias(KEY)).distinct(), "left-out")
-    return docs.withColumn(KEY, _key()).join(left_out, KEY, "left_anti").select(*docs.columns)
+    return rows.join(left_out, KEY, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +55,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-copies (five-word shingles, 80 %); repeated rows once."""
-    found = near_copies(docs.select(_key().alias("item_id"), F.col("text").alias("log")))
-    once = _without(docs, found.where("NOT kept"))
-    keys = docs.select(_key().alias(KEY)).groupBy(KEY).agg(F.count("*").alias("rows"))
+    rows = spill(_keyed(docs), "keyed")
+    found = near_copies(rows.select(F.col(KEY).alias("item_id"), F.col("text").alias("log")))
+    once = _without(rows, found.where("NOT kept"))
+    keys = rows.groupBy(KEY).agg(F.count("*").alias("rows"))
     repeated = spill(keys.where("rows > 1").select(KEY), "repeated")
-    rows = once.withColumn(KEY, _key())
     return (
-        rows.join(repeated, KEY, "left_anti")
-        .unionByName(rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY]))
+        once.join(repeated, KEY, "left_anti")
+        .unionByName(once.join(repeated, KEY, "left_semi").dropDuplicates([KEY]))
         .select(*docs.columns)
     )
 
@@ -61,8 +72,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cases = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.col("item_id").alias("case_id"), F.col("text").alias("passage")
     )
-    leaks = passage_leaks(docs.select(_key().alias("item_id"), F.col("text").alias("log")), cases)
-    return _without(docs, leaks.where("n_hit > 0"))
+    rows = spill(_keyed(docs), "keyed")
+    leaks = passage_leaks(rows.select(F.col(KEY).alias("item_id"), F.col("text").alias("log")), cases)
+    return _without(rows, leaks.where("n_hit > 0")).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
