@@ -7,7 +7,7 @@ from ratelens.functions import identity
 from ratelens.plans.ordered import position, value_chunk
 from ratelens.queries.registry import query
 from ratelens.session import scratch_path
-from ratelens.sources import catalog, logs, manifest, probe, scores, store
+from ratelens.sources import catalog, logs, manifest, probe, receipt_runs, scores, store
 
 
 @query(
@@ -317,3 +317,25 @@ def receipts(t):
     store.compact_receipts(t.spark, path, compacted)
     current = store.lookup_receipts(t.spark, compacted)
     return current.select("fingerprint", "created_at", "selected_bps")
+
+
+@query(
+    "s10_receipt_lookup",
+    """
+    WITH r AS (SELECT sha256(concat('{"group":', group_id, '}')) AS fingerprint, case_id AS created_at, selected_bps, error FROM measurements)
+    SELECT fingerprint, max(created_at) AS created_at, arg_max(selected_bps, created_at) AS selected_bps FROM r
+    WHERE created_at % 10 > 0 AND fingerprint IN (SELECT fingerprint FROM r WHERE error IS NOT NULL) GROUP BY fingerprint
+    """,
+    uses="measurements",
+)
+def receipt_lookup(t):
+    """Stored receipts of the groups that had a failed case; receipts came in five appends."""
+    root = scratch_path(t.spark, "receipt-runs")
+    rows = t.measurements.select(
+        identity.fingerprint({"group": "group_id"}).alias("fingerprint"), F.col("case_id").alias("created_at"), "selected_bps", "error",
+        F.when(F.col("created_at") % 10 > 0, 1).otherwise(0).alias("schema_version"), F.lit(1).alias("scheme_version"),
+    )
+    for k in range(5):
+        receipt_runs.append_run(t.spark, root, rows.where(F.pmod("created_at", F.lit(5)) == k).drop("error"), per_file=20_000)
+    found = receipt_runs.lookup_fingerprints(t.spark, root, rows.where("error IS NOT NULL"))
+    return found.select("fingerprint", "created_at", "selected_bps")
