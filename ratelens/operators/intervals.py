@@ -1,7 +1,8 @@
 """Intervals on a source's timeline: shots, overlaps, gaps, alignment, capacity.
 
 A source may hold a large share of all intervals. Ordered steps run per
-(source, chunk of the timeline); overlap joins meet per (source, time bin).
+(source, chunk of the timeline); overlap joins meet per (source, node of a dyadic
+timeline).
 """
 
 from __future__ import annotations
@@ -38,9 +39,30 @@ def shots_from_cuts(
     return shots.join(ends, by).select(*by, "start_frame", F.coalesce("_next", "_end").alias("end_frame"))
 
 
-def _binned(df: DataFrame, start: Column, end: Column, bin_sec: float) -> DataFrame:
-    first, last = F.floor(start / bin_sec), F.floor(end / bin_sec)
-    return df.select("*", F.explode(F.sequence(first, F.greatest(first, last))).alias("_bin"), first.alias("_first"))
+#: Powers of two that an interval's node may be long: about a microsecond to ten thousand years, in seconds.
+LEVELS = (-20, 38)
+
+
+def _node(at: Column, level: Column) -> Column:
+    """Which stretch of 2^level seconds a time lies in."""
+    return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _starts_within(points: DataFrame, spans: DataFrame, by: list[str], point: str, span: str, duration: str) -> DataFrame:
+    """Pairs in which ``point`` of the one side may lie in the interval (``span``, ``duration``) of the other, each pair once.
+
+    An interval lies in three or four nodes of its own level at most, that of its
+    length; a point lies in one node of every level that intervals have.
+    """
+    low, high = LEVELS
+    level = F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.log2(duration)))).cast("int")
+    spans = spans.filter(F.col(duration) > 0).withColumn("_level", level)
+    levels = [r["_level"] for r in spans.select("_level").distinct().collect()]  # as many as LEVELS has at most
+    end = F.col(span) + F.col(duration)
+    spans = spans.withColumn("_node", F.explode(F.sequence(_node(F.col(span), F.col("_level")), _node(end, F.col("_level")))))
+    points = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    points = points.withColumn("_node", _node(F.col(point), F.col("_level")))
+    return points.join(spans, [*by, "_level", "_node"]).drop("_level", "_node")
 
 
 def interval_overlaps(
@@ -51,28 +73,28 @@ def interval_overlaps(
     start: str = "start_sec",
     duration: str = "duration_sec",
     epsilon: float = WINDOW_EPSILON,
-    bin_sec: float = 64.0,
 ) -> DataFrame:
     """Overlapping pairs of two interval sets, columns prefixed ``a_`` and ``b_``.
 
-    Each interval is placed in the time bins it touches and pairs meet per (key,
-    bin), so a hot key is spread along its timeline. A pair is kept only in the
-    bin where the later of the two starts, which makes it appear once.
+    Two intervals overlap only if one of them starts in the other, so pairs are
+    found as starts in intervals, first those of ``a``, then the later ones of
+    ``b``. Both meet by equality per (key, level, node) of a dyadic timeline (see
+    :func:`_starts_within`): an interval of any length makes a few rows, however
+    dense or long the others are, and most starts in an interval's nodes lie in the
+    interval itself. Intervals with a null, or without length, hold no start.
     """
     by = list(by)
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        named = df.select(*by, *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in by])
-        begin = F.col(f"{tag}_{start}")
-        binned = _binned(named, begin, begin + F.col(f"{tag}_{duration}"), bin_sec)
-        return binned.withColumnRenamed("_first", f"_{tag}f")
+        return df.select(*by, *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in by])
 
+    left, right = side(a, "a"), side(b, "b")
     sa, sb = F.col(f"a_{start}"), F.col(f"b_{start}")
     meets = (sa < sb + F.col(f"b_{duration}") - epsilon) & (sb < sa + F.col(f"a_{duration}") - epsilon)
-    pairs = side(a, "a").join(side(b, "b"), [*by, "_bin"]).filter(
-        meets & (F.col("_bin") == F.greatest("_af", "_bf"))
-    )
-    return pairs.drop("_bin", "_af", "_bf")
+    inside_b = _starts_within(left, right, by, f"a_{start}", f"b_{start}", f"b_{duration}").filter(meets & (sb <= sa))
+    inside_a = _starts_within(right, left, by, f"b_{start}", f"a_{start}", f"a_{duration}").filter(meets & (sb > sa))
+    columns = [*by, *[c for c in left.columns if c not in by], *[c for c in right.columns if c not in by]]
+    return inside_b.select(*columns).unionByName(inside_a.select(*columns))
 
 
 def has_self_overlap(
@@ -139,7 +161,6 @@ def align_to_cuts(
     total: str = "total_sec",
     cut_time: str = "cut_sec",
     epsilon: float = WINDOW_EPSILON,
-    bin_sec: float = 64.0,
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Move each window into the nearest shot that can hold it.
@@ -165,7 +186,7 @@ def align_to_cuts(
     )
     inside = cut(inside)  # used three times below
     seen = windows.filter(~F.array_contains("reasons", "unscouted_validation"))
-    crossed = _crossed(seen, inside, by, window, epsilon, bin_sec)
+    crossed = _crossed(seen, inside, by, window, epsilon)
     edges = inside.select(*by, "_c").unionByName(lengths.select(*by, F.lit(0.0).alias("_c")))
     edges = value_chunk(edges, by, "_c", rows_per_chunk=rows_per_chunk)
     shots = (
@@ -185,11 +206,11 @@ def align_to_cuts(
     ).drop("_x", "_to")
 
 
-def _crossed(windows: DataFrame, cuts: DataFrame, by: list[str], window: str, epsilon: float, bin_sec: float) -> DataFrame:
+def _crossed(windows: DataFrame, cuts: DataFrame, by: list[str], window: str, epsilon: float) -> DataFrame:
     end = F.col("start_sec") + F.col("duration_sec")
-    w = _binned(windows.select(*by, window, "start_sec", "duration_sec"), F.col("start_sec"), end, bin_sec)
-    c = cuts.select(*by, "_c", F.floor(F.col("_c") / bin_sec).alias("_bin"))
-    hit = w.join(c, [*by, "_bin"]).filter((F.col("start_sec") + epsilon < F.col("_c")) & (F.col("_c") < end - epsilon))
+    w = windows.select(*by, window, "start_sec", "duration_sec")
+    pairs = _starts_within(cuts.select(*by, "_c"), w, by, "_c", "start_sec", "duration_sec")
+    hit = pairs.filter((F.col("start_sec") + epsilon < F.col("_c")) & (F.col("_c") < end - epsilon))
     return hit.groupBy(*by, window).agg(F.lit(True).alias("_x"))
 
 
@@ -235,7 +256,6 @@ def guard_alignment(
     total: str = "total_sec",
     bins: str = "coverage_bins",
     epsilon: float = WINDOW_EPSILON,
-    bin_sec: float = 64.0,
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Take a move back (and flag it) when it leaves its coverage bin or hits another window.
@@ -262,7 +282,7 @@ def guard_alignment(
     )
 
     def meet(other: DataFrame) -> DataFrame:
-        return interval_overlaps(moved, other, by, bin_sec=bin_sec, epsilon=epsilon)
+        return interval_overlaps(moved, other, by, epsilon=epsilon)
 
     undone = cut(meet(peers).filter("a_id <> b_id").select(*by, F.col("a_id").alias("id")).distinct())
     # Moved windows that meet each other lie in one run of overlaps. Each run is settled front to back.

@@ -29,15 +29,41 @@ def test_final_gate_is_chunk_independent(spark):
                 assert abs(r.boundary_worst_1s - min(crossing)) < 1e-9
 
 
-def test_overlaps_do_not_depend_on_bin_width(spark):
+OVERLAP = "k int, window_id int, start_sec double, duration_sec double"
+
+
+def _overlaps(spark, a, b):
+    found = intervals.interval_overlaps(spark.createDataFrame(a, OVERLAP), spark.createDataFrame(b, OVERLAP), ["k"])
+    return sorted((r.k, r.a_window_id, r.b_window_id) for r in found.collect())
+
+
+def _all_pairs(a, b):
+    return sorted((x[0], x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[2] + y[3] - 1e-9 and y[2] < x[2] + x[3] - 1e-9)
+
+
+def test_overlaps_of_any_length(spark):
     rng = random.Random(6)
-    a = [(1, i, rng.uniform(0, 500), rng.uniform(0.1, 80)) for i in range(60)]
-    b = [(1, i, rng.uniform(0, 500), rng.uniform(0.1, 80)) for i in range(60)]
-    schema = "k int, window_id int, start_sec double, duration_sec double"
-    want = {(x[1], y[1]) for x in a for y in b if x[2] < y[2] + y[3] - 1e-9 and y[2] < x[2] + x[3] - 1e-9}
-    for width in (3.0, 64.0, 10_000.0):
-        rows = intervals.interval_overlaps(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["k"], bin_sec=width).collect()
-        assert len(rows) == len(want) and {(r.a_window_id, r.b_window_id) for r in rows} == want
+
+    def some(n):
+        lengths = [lambda: 2.0 ** rng.uniform(-25, 20), lambda: rng.uniform(0.1, 80), lambda: float(rng.randrange(5)), lambda: 2.0 ** rng.randrange(-3, 9)]
+        return [(rng.randrange(2), i, float(rng.randrange(-40, 400)) + rng.choice((0, rng.random())), rng.choice(lengths)()) for i in range(n)]
+
+    a, b = some(150), some(150)
+    a += [(0, 900, 1e9, 1e-10), (0, 901, -5.0, -1.0), (0, 902, 3.0, 1e9)]
+    b += [(0, 900, 1e9, 1e-10), (0, 903, 3.0, 1e9), (0, 904, 3.0, 0.0), (None, 905, 3.0, 5.0)]
+    assert _overlaps(spark, a, b) == _all_pairs(a, b)
+    assert _overlaps(spark, a, a) == _all_pairs(a, a)
+    assert _overlaps(spark, a, []) == _overlaps(spark, [], b) == []
+
+
+def test_a_year_beside_short_intervals(spark):
+    year = 365 * 86_400.0
+    short = spark.range(200_000).selectExpr("1 AS k", "CAST(id AS INT) AS window_id", "id * 200.0D AS start_sec", "0.5D AS duration_sec")
+    long = spark.createDataFrame([(1, -1, 0.25, year), (1, -2, year + 0.25, 60.0)], OVERLAP)
+    pairs = intervals.interval_overlaps(short, long, ["k"])
+    inside = sum(1 for i in range(200_000) if i * 200.0 < year + 0.25 - 1e-9 and 0.25 < i * 200 + 0.5)
+    assert pairs.where("b_window_id = -1").count() == inside
+    assert pairs.where("b_window_id = -2").count() == sum(1 for i in range(200_000) if year + 0.25 - 0.5 < i * 200.0 < year + 60.25)
 
 
 def test_thresholds_of_a_hot_source(spark):
