@@ -10,42 +10,66 @@ from pyspark.sql import functions as F
 
 from ratelens import policy
 from ratelens.plans.ordered import CHUNK, FRAMES_PER_CHUNK, frame_chunk, frame_chunks, ordered
+from ratelens.session import cut
 
 
-def nearest_rank(
-    df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], *, resolution: float = 0.01
-) -> DataFrame:
+#: Ranks that the sketch of a group may be off by: one in so many of its rows.
+SKETCH_ACCURACY = 10_000
+
+
+def _bracket(value: Column, share: float) -> Column:
+    """Two values between which the element at that share of the ranks lies, from one mergeable sketch.
+
+    They are asked for four errors of the sketch to either side.
+    """
+    off = 4 / SKETCH_ACCURACY
+    return F.percentile_approx(value, [max(0.0, share - off), min(1.0, share + off)], SKETCH_ACCURACY)
+
+
+def _wanted(name: str, count: Column, bracket: Column, share: float) -> Column:
+    return F.struct(
+        F.lit(name).alias("name"), bracket[0].alias("low"), bracket[1].alias("high"),
+        F.greatest(F.lit(1), F.ceil(count * F.lit(share))).cast("long").alias("k"),
+    )
+
+
+def _counted_values(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, name, k, v, c): how often each value occurs; ``rows`` have by, name, k, low, high and v.
+
+    Values below the bracket are one row with a null value, those above it none, so
+    a group comes down to the few distinct values of the bracket before the shuffle.
+    """
+    value = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    return rows.filter(F.col("v") <= F.col("high")).groupBy(*by, "name", "k", value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _at_rank(counts: DataFrame, by: list[str], names: Sequence[str]) -> DataFrame:
+    """One column per name: the value at which the counts reach rank ``k``."""
+    upto = Window.partitionBy(*by, "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    exact = counts.withColumn("_upto", F.sum("c").over(upto)).filter(
+        F.col("v").isNotNull() & (F.col("k") <= F.col("_upto")) & (F.col("k") > F.col("_upto") - F.col("c"))
+    )
+    return exact.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in names])
+
+
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Element at rank ceil(n*share) of ``value`` per group, one column per entry of ``shares``.
 
-    Exact, in two passes. Pass one counts values per bucket of width
-    ``resolution``; the counts are combined map-side, so a group of any size
-    becomes at most range/resolution rows. Pass two looks only at the bucket that
-    holds the rank. NULL values are not counted.
+    Exact, in two passes. A quantile sketch per group, which merges map-side, gives
+    a narrow range that holds the rank, whatever the values look like. The second
+    pass counts what lies below it and how often each value in it occurs: a group
+    of any size comes down to about a thousandth of its rows. NULL values are not
+    counted.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    rows = rows.withColumn("_b", F.floor(F.col("_v") / F.lit(resolution)).cast("long"))
-    buckets = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in shares.items()])
-    found = (
-        buckets.withColumn("_upto", F.sum("_c").over(upto))
-        .withColumn("_n", F.sum("_c").over(whole))
-        .select("*", F.explode(ranks).alias("_r"))
-        .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.col("_r.p"))))
-        .filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
-        .select(*by, "_b", F.col("_r.name").alias("_name"), (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_k"))
+    rows = df.select(*by, F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    sketches = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), *[_bracket(F.col("v"), p).alias(f"_b{i}") for i, p in enumerate(shares.values())]
     )
-    inside = Window.partitionBy(*by, "_b", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    exact = (
-        rows.join(found, [*by, "_b"])
-        .groupBy(*by, "_b", "_name", "_k", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(inside))
-        .filter((F.col("_k") <= F.col("_upto")) & (F.col("_k") > F.col("_upto") - F.col("_c")))
-    )
-    return exact.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
+    wanted = [_wanted(name, F.col("_n"), F.col(f"_b{i}"), p) for i, (name, p) in enumerate(shares.items())]
+    ranges = sketches.select(*by, F.array(*wanted).alias("_w"))
+    asked = rows.join(ranges, by).select(*by, "v", F.inline("_w"))
+    return _at_rank(_counted_values(asked, by), by, list(shares))
 
 
 def rolling_means(
@@ -184,28 +208,43 @@ def scout_metrics(frame_metrics: DataFrame, by: Sequence[str], *, frame: str = "
         | F.col("scd_score").isNull()
         | ((F.col("scd_score") >= policy.SCENE_CHANGE_THRESHOLD) & F.col("scd_time").isNull())
     )
+    # A frame carries a scene time exactly when it is a cut frame.
+    still = F.when(F.col("scd_time").isNull() & (F.col(frame) > 0), F.col("ti"))
     clips = frame_metrics.groupBy(*by).agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if(incomplete).alias("_bad"),
         F.max("scd_score").alias("max_scene_score"),
         F.avg(F.coalesce("luma", F.lit(policy.NEUTRAL_LUMA))).alias("luma_mean"),
+        F.count("si").alias("_si"), _bracket(F.col("si"), 0.90).alias("_bsi"),
+        F.count(still).alias("_ti"), _bracket(still, 0.90).alias("_bti"),
     )
-    good = clips.filter(F.col("_bad") == 0)
-    cuts = cut_times(frame_metrics, by).groupBy(*by).agg(F.count(F.lit(1)).alias("cut_count"))
-    si = nearest_rank(frame_metrics, by, "si", {"si_p90": 0.90})
-    # A frame carries a scene time exactly when it is a cut frame.
-    still = frame_metrics.filter(F.col("scd_time").isNull() & (F.col(frame) > 0))
-    ti = nearest_rank(still, by, "ti", {"ti_p90": 0.90})
+    clips = cut(clips)  # one row per clip, used four times
+    good = clips.filter("_bad = 0 AND _ti > 0")
+    # The second and last pass over the frames: values in both ranges, and cut times, counted together.
+    none = F.lit(None)
+    wanted = F.array(
+        F.struct(_wanted("si_p90", F.col("_si"), F.col("_bsi"), 0.90).alias("w"), F.col("si").cast("double").alias("v")),
+        F.struct(_wanted("ti_p90", F.col("_ti"), F.col("_bti"), 0.90).alias("w"), still.cast("double").alias("v")),
+        F.struct(
+            F.struct(
+                F.lit("cut").alias("name"), F.col("scd_time").cast("double").alias("low"), F.col("scd_time").cast("double").alias("high"), none.cast("long").alias("k")
+            ).alias("w"),
+            F.col("scd_time").cast("double").alias("v"),
+        ),
+    )
+    asked = frame_metrics.join(good.select(*by, "_si", "_bsi", "_ti", "_bti"), by).select(*by, F.inline(wanted)).select(*by, "w.*", "v")
+    counts = cut(_counted_values(asked, by))
+    ranks = _at_rank(counts.filter("name <> 'cut'"), by, ["si_p90", "ti_p90"])
+    cuts = counts.filter("name = 'cut'").groupBy(*by).agg(F.count(F.lit(1)).alias("cut_count"))
     metrics = (
-        good.join(si, by)
-        .join(ti, by)
+        good.join(ranks, by)
         .join(cuts, by, "left")
         .select(
             *by, "frames", "si_p90", "ti_p90", F.coalesce("cut_count", F.lit(0)).cast("long").alias("cut_count"),
             "max_scene_score", "luma_mean",
         )
     )
-    enough = good.join(ti, by, "left_anti").select(*by, F.lit("not enough valid frame metrics").alias("reason"))
+    enough = clips.filter("_bad = 0 AND _ti = 0").select(*by, F.lit("not enough valid frame metrics").alias("reason"))
     broken = clips.filter(F.col("_bad") > 0).select(*by, F.lit("missing frame metric").alias("reason"))
     return metrics, broken.unionByName(enough)
 
