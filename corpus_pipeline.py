@@ -55,7 +55,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-copies (five-word shingles, 80 %); repeated rows once."""
-    rows = spill(_keyed(docs), "keyed")
+    rows = _keyed(docs)
     found = near_copies(rows.select(F.col(KEY).alias("item_id"), F.col("text").alias("log")))
     once = _without(rows, found.where("NOT kept"))
     keys = rows.groupBy(KEY).agg(F.count("*").alias("rows"))
@@ -72,7 +72,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cases = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         F.col("item_id").alias("case_id"), F.col("text").alias("passage")
     )
-    rows = spill(_keyed(docs), "keyed")
+    rows = _keyed(docs)
     leaks = passage_leaks(rows.select(F.col(KEY).alias("item_id"), F.col("text").alias("log")), cases)
     return _without(rows, leaks.where("n_hit > 0")).select(*docs.columns)
 
