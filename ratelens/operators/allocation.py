@@ -311,7 +311,8 @@ def _exact_levels(leaves: DataFrame, bounds: DataFrame, deepest: int, rows_per_c
     least = priced.groupBy("title_id", "slot").agg(F.min("_c").alias("_least"))
     states = priced.join(least, ["title_id", "slot"]).withColumn("regret", F.col("_c") - F.col("_least")).where("regret <= slack")
     columns = ["title_id", "slot", "size", "quality", "regret", "left_id", "right_id", "slack", "slots"]
-    levels = [_skyline(states.select(*columns), rows_per_chunk)]
+    # What is left of a frontier still is one.
+    levels = [spill(states.select(*columns, F.col("size").alias("state_id")))]
     while deepest > 1:
         levels.append(_skyline(_neighbours(levels[-1], STATES_PER_PIECE), rows_per_chunk))
         deepest = (deepest + 1) // 2

@@ -179,24 +179,46 @@ _PROGRESS_LINE = (
 )
 
 
-@query(
-    "s06_parse_progress",
-    """
+_PROGRESS_SQL = """
     SELECT event_id, 'running' AS state, elapsed AS elapsed_sec, CASE WHEN elapsed IS NOT NULL THEN round(least(100, greatest(0, elapsed / (100 + event_id % 50) * 100)), 6)::DOUBLE END AS percent,
       CASE m WHEN 1 THEN '1.5x' WHEN 2 THEN '2x' ELSE '' END AS speed, CASE m WHEN 1 THEN event_id % 9000 END AS frame
     FROM (SELECT event_id, event_id % 4 AS m, CASE event_id % 4 WHEN 1 THEN (event_id % 6) * 60 + 10 + event_id % 10 + 0.5
         WHEN 3 THEN (event_id % 3) * 3600 + 1 END::DOUBLE AS elapsed FROM events) x WHERE m > 0
-    """,
-)
-def progress(t):
-    lines = table(t.spark, t.sf_dir, "events").select(
+    """
+
+
+def _progress_lines(t):
+    return table(t.spark, t.sf_dir, "events").select(
         "event_id", (100 + F.col("event_id") % 50).alias("duration"), F.expr(_PROGRESS_LINE).alias("line")
     )
+
+
+def _parsed(lines):
     return logs.parse_progress(lines, "line", "duration").select(
         "event_id", "state", "elapsed_sec", F.round("percent", 6).alias("percent"), "speed", "frame"
     )
 
 
+@query("s06_parse_progress", _PROGRESS_SQL)
+def progress(t):
+    return _parsed(_progress_lines(t))
+
+
+@query("s06_parse_progress_stream", _PROGRESS_SQL)
+def progress_stream(t):
+    """The same lines as they come in, a file per micro-batch."""
+    path, out = scratch_path(t.spark, "progress-lines"), scratch_path(t.spark, "progress")
+    lines = _progress_lines(t)
+    lines.repartition(4).write.parquet(path)
+    stream = t.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run = (
+        _parsed(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(t.spark, "progress-mark"))
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return t.spark.read.parquet(out)
+
+
 def _manifest(t):
     """Manifests of 200 cases each, with one broken case of every kind among them."""
     root = scratch_path(t.spark, "manifests")
