@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ratelens import policy
 from ratelens.functions.identity import unit_hash
 from ratelens.operators import intervals, ranking, sampling
 from ratelens.queries.registry import query
@@ -83,10 +84,8 @@ def _unit_sql(label):
     return f"('0x' || substr(sha256(concat('smart-strata-v1:', source_id, ':', {label})), 1, 16))::UBIGINT::DOUBLE / pow(2, 64)"
 
 
-@query(
-    "w05_scout_grid",
-    f"""
-    WITH b AS (SELECT source_id, duration_sec AS len, least(5, duration_sec) AS bd, (duration_sec - 5) * (0.25::DOUBLE + 0.5::DOUBLE * {_unit_sql("'validation'")}) AS b0,
+_GRID_SQL = f"""
+    b AS (SELECT source_id, duration_sec AS len, least(5, duration_sec) AS bd, (duration_sec - 5) * (0.25::DOUBLE + 0.5::DOUBLE * {_unit_sql("'validation'")}) AS b0,
         least(32, greatest(20, 4 * greatest(1, least(greatest(3, least(6, CASE WHEN duration_sec < 600 THEN 4 WHEN duration_sec < 3600 THEN 5 ELSE 6 END)), CAST(floor(duration_sec / 5) AS INTEGER)))))::INTEGER AS n
       FROM sources WHERE duration_sec > 20),
     c AS (SELECT *, least(2, b0, len - b0 - bd) AS d, greatest(1, least(n - 1, CAST(round_even(n * b0 / (len - bd), 0) AS INTEGER))) AS l FROM b),
@@ -96,6 +95,13 @@ def _unit_sql(label):
     g AS (SELECT source_id, printf('scout-%03d', i + 1) AS window_id, 'scout' AS pool,
         CASE WHEN (hi - lo) / k >= d THEN lo + p * ((hi - lo) / k) + ((hi - lo) / k - d) * {_unit_sql("concat('scout:', i)")} ELSE lo + (hi - lo - d) * p / greatest(1, k - 1) END AS start_sec, d AS duration_sec FROM f
       UNION ALL SELECT source_id, 'holdout:unscouted', 'holdout', b0, bd FROM c)
+"""
+
+
+@query(
+    "w05_scout_grid",
+    f"""
+    WITH {_GRID_SQL}
     SELECT source_id, window_id, pool, round(start_sec, 5) AS start_sec, round(duration_sec, 5)::DOUBLE AS duration_sec FROM g
     """,
     uses="sources",
@@ -320,12 +326,54 @@ def _scouted(t):
     return cut(ranking.score_risk(rows, ["source_id"]))
 
 
-@query("w13_greedy_diverse_pick")
+def _drawn_sql(name):
+    return _unit_sql(f"concat('{name}:', window_id)")
+
+
+# _scouted in SQL: the grid's scouts with drawn metrics, their risk, and the window that each would become.
+_SCOUTED_SQL = f"""
+    {_GRID_SQL},
+    observed AS (SELECT source_id, window_id, start_sec, duration_sec, floor({_drawn_sql('si')} * 130)::DOUBLE AS si_p90,
+        floor({_drawn_sql('ti')} * 70)::DOUBLE AS ti_p90, floor({_drawn_sql('scene')} * 16)::DOUBLE AS max_scene_score, {_drawn_sql('dark')} AS dark
+      FROM g WHERE pool = 'scout'),
+    {_RISK_SQL.replace('FROM observations', 'FROM observed').replace(
+        '0.17::DOUBLE * transition AS difficulty', '0.17::DOUBLE * transition + 0.08::DOUBLE * dark AS difficulty').strip()},
+    spots AS (SELECT r.source_id, window_id AS id, r.start_sec, difficulty, len, r.start_sec + r.duration_sec / 2 AS center, least(5.0, len)::DOUBLE AS d,
+        least(greatest(0, r.start_sec + r.duration_sec / 2 - least(5.0, len)::DOUBLE / 2), greatest(0, len - least(5.0, len)::DOUBLE)) AS spot
+      FROM risk r JOIN b ON r.source_id = b.source_id)
+"""
+
+
+def _near_sql(a, b):
+    return f"abs({a} - {b}) < d - {policy.WINDOW_EPSILON!r}::DOUBLE"
+
+
+@query(
+    "w13_greedy_diverse_pick",
+    # With two picks and no reserve, only the first must leave room, for one window.
+    f"""
+    WITH {_SCOUTED_SQL},
+    held AS (SELECT source_id, id AS h_id, start_sec AS h_at FROM spots QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY difficulty DESC, id DESC) = 1),
+    gaps AS (SELECT s.*, h_at, abs(center - (h_at + d / 2)) AS gap, greatest(len / 3, 1)::DOUBLE AS spacing FROM spots s JOIN held h ON s.source_id = h.source_id AND id <> h_id),
+    line AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY 0.7::DOUBLE * difficulty + 0.3::DOUBLE * least(1, gap / spacing) DESC, difficulty DESC, start_sec, id DESC) AS r,
+      {_near_sql('spot', 'h_at')} AS hit FROM gaps),
+    free AS (SELECT source_id, id, spot FROM line WHERE NOT hit),
+    roomy AS (SELECT l.* FROM line l WHERE NOT hit AND EXISTS (SELECT 1 FROM free f WHERE f.source_id = l.source_id AND f.id <> l.id AND NOT ({_near_sql('f.spot', 'l.spot')}))),
+    one AS (SELECT *, 0 AS pick_no FROM roomy QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY r) = 1),
+    two AS (SELECT l.*, 1 AS pick_no FROM line l JOIN one o ON l.source_id = o.source_id WHERE l.r > o.r AND NOT l.hit AND NOT ({_near_sql('l.spot', 'o.spot').replace('< d', '< l.d')})
+      QUALIFY row_number() OVER (PARTITION BY l.source_id ORDER BY 0.7::DOUBLE * l.difficulty
+        + 0.3::DOUBLE * least(1, least(l.gap, abs(l.center - (o.spot + l.d / 2))) / l.spacing) DESC, l.difficulty DESC, l.start_sec, l.id DESC) = 1)
+    SELECT source_id, pick_no::INTEGER AS pick_no, id AS scout_id, round(spot, 5) AS start_sec, round(d, 5) AS duration_sec FROM (SELECT * FROM one UNION ALL SELECT * FROM two) x
+    """,
+    uses="sources",
+)
 def diverse(t):
     risk = _scouted(t)
     hardest = risk.groupBy("source_id").agg(F.max_by(F.struct("window_id", "start_sec"), F.struct("difficulty", "window_id")).alias("w"))
     chosen = hardest.select("source_id", F.col("w.window_id").alias("scout_id"), F.col("w.start_sec").alias("start_sec"))
-    return sampling.greedy_diverse_pick(risk, chosen, t.sources, 2)
+    return sampling.greedy_diverse_pick(risk, chosen, t.sources, 2).withColumns(
+        {c: F.round(c, 5) for c in ("start_sec", "duration_sec")}
+    )
 
 
 @query("w14_sample_plan")

@@ -7,8 +7,8 @@ from ratelens.queries import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 ORACLES = all_oracles()
-# Run by test_sampling / test_allocation on their own fixtures, with fewer rows.
-SLOW = {"w13_greedy_diverse_pick", "w14_sample_plan"}
+# Run by test_sampling on its own fixtures, with fewer rows.
+SLOW = {"w14_sample_plan"}
 
 
 @pytest.fixture(scope="module")
