@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ratelens import policy
 from ratelens.plans.ordered import ordered, value_chunk
 from ratelens.policy import Profile
+from ratelens.session import spill
+
+
+#: A value is common if it holds more than one in this many rows, so a column has fewer common values than this.
+COMMON = 1_000
 
 
 def midranks(
@@ -18,25 +23,48 @@ def midranks(
     """Tie-averaged rank within the group, scaled to [0, 1], for each ``output -> column``; 0.5 for a single row.
 
     Groups of any size are ranked on counts of their distinct values, so ties
-    collapse before the shuffle, and the ranks are joined back. Null values tie
-    with each other below all others; null keys are a group.
+    collapse before the shuffle. All columns of one type are counted and ranked
+    in one pass. The ranks are joined back: those of common (group, value)s are
+    few and broadcast, and their rows are dealt out evenly. Null values tie with
+    each other below all others; null keys are a group.
     """
     by = list(by)
     # Nulls inside structs are equal, in groups, orders and joins.
-    key = F.struct(*by) if by else F.lit(0)
-    out = df.withColumn("_k", key)
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    kinds: dict[str, list[str]] = {}
     for name, column in ranks.items():
-        counts = df.groupBy(key.alias("_k"), F.struct(F.col(column).alias("v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        counts = value_chunk(counts, ["_k"], "_v", rows_per_chunk=rows_per_chunk)
-        sizes = counts.groupBy("_k").agg(F.sum("_c").alias("_n"))
-        below = ordered(counts, ["_k"], ["_v"], running={"_below": ("sum", F.col("_c"))}).join(sizes, "_k")
-        middle = F.col("_below") + (F.col("_c") - 1) / 2.0
-        rank = F.when(F.col("_n") == 1, F.lit(0.5)).otherwise(middle / F.nullif(F.col("_n") - 1, F.lit(0)))
-        below = below.select("_k", "_v", rank.alias(name))
-        out = out.withColumn("_v", F.struct(F.col(column).alias("v"))).join(below, ["_k", "_v"]).drop("_v")
+        kinds.setdefault(df.select(column).dtypes[0][1], []).append(name)
+    out = df.withColumn("_k", key)
+    # Where a row of a common value goes does not matter, as long as they do not all go to one task.
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    deal = F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.lit(COMMON)).cast("int")
+    for names in kinds.values():
+        ranked = _value_ranks(df.withColumn("_k", key), {name: ranks[name] for name in names}, rows_per_chunk)
+        for number, name in enumerate(names):
+            own = ranked.where(F.col("_i") == number).select("_k", "_v", "_rank", "_common")
+            common = own.where("_common").select("_k", "_v", F.col("_rank").alias("_r0"))
+            rare = own.where("NOT _common").select("_k", "_v", F.lit(-1).alias("_deal"), F.col("_rank").alias("_r1"))
+            out = out.withColumn("_v", F.struct(F.col(ranks[name]).alias("v"))).join(F.broadcast(common), ["_k", "_v"], "left")
+            out = out.withColumn("_deal", F.when(F.col("_r0").isNull(), F.lit(-1)).otherwise(deal))
+            out = out.join(rare, ["_k", "_v", "_deal"], "left").withColumn(name, F.coalesce("_r0", "_r1"))
+            out = out.drop("_v", "_deal", "_r0", "_r1")
     return out.select(*df.columns, *ranks)
 
 
+def _value_ranks(df: DataFrame, ranks: dict[str, str], rows_per_chunk: int | None) -> DataFrame:
+    """(_k, _i, _v, _rank, _common), written out: the rank of each distinct value of column number ``_i``."""
+    value = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.struct(F.col(c).alias("v")).alias("v")) for i, c in enumerate(ranks.values())]))
+    each = df.select("_k", value.alias("_x")).select("_k", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v"))
+    counts = value_chunk(each.groupBy("_k", "_i", "_v").agg(F.count(F.lit(1)).alias("_c")), ["_k", "_i"], "_v", rows_per_chunk=rows_per_chunk)
+    sizes = counts.groupBy("_k", "_i").agg(F.sum("_c").alias("_n"))
+    total = counts.where("_i = 0").agg(F.sum("_c").alias("total"))
+    rows = ordered(counts, ["_k", "_i"], ["_v"], running={"_below": ("sum", F.col("_c"))}).join(sizes, ["_k", "_i"])
+    middle = F.col("_below") + (F.col("_c") - 1) / 2.0
+    rank = F.when(F.col("_n") == 1, F.lit(0.5)).otherwise(middle / F.nullif(F.col("_n") - 1, F.lit(0)))
+    common = F.col("_c") * COMMON > total.scalar()
+    return spill(rows.select("_k", "_i", "_v", rank.alias("_rank"), common.alias("_common")), "ranks")
+
+
 def midrank(
     df: DataFrame, by: Sequence[str], value: str, *, out: str = "midrank", rows_per_chunk: int | None = None
 ) -> DataFrame:

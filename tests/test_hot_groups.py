@@ -96,3 +96,33 @@ def test_ranks_of_nulls_do_not_depend_on_chunks(spark):
     seen = df.select("k", "id", F.col("v").alias("si_p90"), F.col("w").alias("ti_p90"), F.lit(1.0).alias("max_scene_score"))
     for size in (None, 3):
         assert ranking.score_risk(seen, ["k"], rows_per_chunk=size).where("difficulty IS NULL").count() == 0
+
+
+def test_common_values_are_ranked_like_others_and_dealt_out(spark):
+    """Two thirds of the rows share one value or none; columns of two types; the rank by counting."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        x = 0.0 if i % 3 == 0 else None if i % 3 == 1 else round(rng.random(), 2)
+        rows.append((i % 2 if i % 7 else None, i, x, rng.randrange(4), x and -x))
+    rows.append((9, -1, 1.0, 1, None))
+    df = spark.createDataFrame(rows, "source_id long, id long, a double, b long, c double").repartition(5)
+    names = {"a_rank": "a", "b_rank": "b", "c_rank": "c"}
+    out = ranking.midranks(df, ["source_id"], names, rows_per_chunk=200)
+    assert out.columns == [*df.columns, *names]
+    got = out.collect()
+    assert sorted(r.id for r in got) == sorted(r[1] for r in rows)
+    low = float("-inf")
+    for name, k in (("a_rank", 2), ("b_rank", 3), ("c_rank", 4)):
+        groups = {}
+        for r in rows:
+            groups.setdefault(r[0], []).append(low if r[k] is None else r[k])
+        for r in got:
+            own, v = groups[r.source_id], low if r[names[name]] is None else r[names[name]]
+            want = 0.5 if len(own) == 1 else (sum(x < v for x in own) + (own.count(v) - 1) / 2) / (len(own) - 1)
+            assert abs(r[name] - want) < 1e-12
+    # Every common value is broadcast: nothing but rare values meets by value.
+    ranks = ranking._value_ranks(df.withColumn("_k", F.struct("source_id")), {"b_rank": "b"}, None)
+    assert ranks.where("_common").count() == ranks.count() - 1
+    assert ranking.midranks(df.where("false"), ["source_id"], names).count() == 0
+    assert ranking.midranks(df.limit(10), [], {"r": "b"}).count() == 10
